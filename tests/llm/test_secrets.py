@@ -1,0 +1,80 @@
+import base64
+import hashlib
+import json
+import re
+
+import pyarrow.parquet as pq
+import pytest
+
+from meridian.llm import secrets
+
+MEDIUM = "/root/testdata/sf0.01"
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain(text):
+    t = text or ""
+    spans = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(spans, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def row(doc, text):
+    spans = plain(text)
+    n = lambda k: sum(s[0] == k for s in spans)
+    return doc, n("assign"), n("access"), n("hex"), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_query_against_brute_force(spark):
+    docs = pq.read_table(f"{MEDIUM}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    got = [tuple(r)[:5] for r in secrets.query(spark, MEDIUM).collect()]
+    assert sorted(got) == sorted(row(d, t) for d, t in zip(docs["doc_id"], docs["text"], strict=True))
+
+
+def length(n):
+    return bytes([n]) if n < 128 else bytes([0x82, n >> 8, n & 255])
+
+
+def der(tag, body):
+    return bytes([tag]) + length(len(body)) + body
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1] * 40)) for k in range(8)))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
+SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + bytes(64)
+
+
+def url(data):
+    return base64.urlsafe_b64encode(data).decode().rstrip("=")
+
+
+def test_structural_confirmation():
+    jwt = ".".join([url(json.dumps({"alg": "HS256"}).encode()), url(b'{"sub": 1}'), url(bytes(range(32)))])
+    assert ("jwt", 3, 3 + len(jwt)) in secrets.find(f"a: {jwt} b")
+    assert not secrets.find("eyAbCdEfGh.abcdef.abcdefghijk ordinary. text")
+    for data, kind in ((RSA, "der"), (PKCS8, "der"), (SSH, "openssh")):
+        text = base64.b64encode(data).decode()
+        assert (kind, 2, 2 + len(text)) in secrets.find(f"é {text} z")
+        assert kind in {k for k, _, _ in secrets.find(data.hex())}
+        body = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
+        pem = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+        assert ("pem", 0, len(pem)) in secrets.find(pem)
+        assert not [s for s in secrets.find(base64.b64encode(data[:-3]).decode() + "!") if s[0] == "der"]
+    assert not secrets.find(base64.b64encode(bytes(range(60))).decode())
+
+
+ODD = [(1, None), (2, ""), (3, "Token = 'abcdefghijkl' secret:short"), (3, "Token = 'abcdefghijkl' secret:short"), (4, "paſsword=abcdefghijklmnop Key api_Key:\"0123456789abcdef\""), (None, "AKIA" + "Z9" * 7 + " AKIAAKIA0123456789 AKIAX"), (5, "deadbeef" * 40000), (6, "secret=token=secret=abcdef012345")]
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, 1) for r in ODD], "doc_id long, text string, secrets int")
+    got = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.secrets if s.kind in ("assign", "access", "hex")]) for r in secrets.scan(docs).collect()]
+    assert sorted(got, key=str) == sorted(((d, plain(t)) for d, t in ODD), key=str)
+    assert secrets.scan(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("text", "want"), [("x token=abcdefghijkl y", "x [secret] y"), ("é token=0123456789abcdef0", "é [secret]"), ("clean", "clean"), (None, None)])
+def test_redaction(spark, text, want):
+    docs = secrets.scan(spark.createDataFrame([(text,)], "text string"))
+    assert secrets.redact(docs).first().text == want
