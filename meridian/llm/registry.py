@@ -1,7 +1,7 @@
 """All queries of the training-data operators and their DuckDB twins."""
 
-from . import bpe, decontaminate, secrets, simhash
+from . import bpe, decontaminate, quality, secrets, simhash
 
-MODULES = [bpe, decontaminate, secrets, simhash]
+MODULES = [bpe, decontaminate, quality, secrets, simhash]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
