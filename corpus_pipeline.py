@@ -1,8 +1,75 @@
-"""Corpus pipeline (stub until its stages exist)."""
+"""Corpus pipeline over ``documents``: quality, near-duplicates, benchmark passages, secrets, tokens.
+
+Every stage takes (spark, docs, sf_dir), works on all that the one before kept, and all
+but the last return the columns of ``documents``. SQL can't express the stages, so
+tests/llm/test_pipeline.py holds run() against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meridian.llm import bpe, decontaminate, quality, secrets, simhash
+from meridian.llm.common import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, learned from the labels, predicts as good."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(docs.select(COLUMNS), model).filter("predicted = 1").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Of rows that share that id one stays. Rows without an id stay only if their whole
+    group has none; which then remain all, as no id tells them apart.
+    """
+    found = simhash.near_duplicates(docs)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    first = Window.partitionBy("doc_id").orderBy("doc_id")
+    named = docs.select(COLUMNS).join(stay, F.col("doc_id") == F.col("kept"), "left_semi").withColumn("rank", F.row_number().over(first)).filter("rank = 1").select(COLUMNS)
+    lone = found.filter("doc_id is null and component_id is null").select("fp").distinct()
+    nameless = simhash.fingerprints(docs.filter("doc_id is null").select(*COLUMNS, F.col("text").alias("printed")), "printed").join(lone, "fp", "left_semi").select(COLUMNS)
+    return named.union(nameless)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark text."""
+    return decontaminate.contained(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in them replaced; n_chars follows the text."""
+    clean = secrets.redact(secrets.scan(docs.select(COLUMNS)))
+    changed = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return clean.withColumn("n_chars", changed).select(COLUMNS)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, checked by decoding them again."""
+    path = bpe.default_path()
+    tokens = bpe.encode(docs.select(COLUMNS), path, offsets=False).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text")
+    return bpe.digests(bpe.decode(tokens, path)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "ids_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("tokens", encode_tokens),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

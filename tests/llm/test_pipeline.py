@@ -1,0 +1,49 @@
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import tiktoken
+
+import corpus_pipeline
+from meridian.llm import bpe, quality
+from tests.llm import test_decontaminate, test_secrets, test_simhash
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+def plain(model):
+    docs = pq.read_table(f"{MEDIUM}/documents.parquet").to_pylist()
+    docs = [d for d in docs if model.score(np.array([quality.features(d["text"])]))[0] >= 0.3]
+    groups = test_simhash.plain_components([test_simhash.plain_fingerprint(d["text"]) for d in docs], [d["doc_id"] for d in docs])
+    docs = [d for d, g in zip(docs, groups, strict=True) if d["doc_id"] == g]
+    items = pq.read_table(f"{MEDIUM}/benchmark.parquet").to_pydict()
+    hit = test_decontaminate.plain([(d["doc_id"], d["text"]) for d in docs], list(zip(items["item_id"], items["text"], strict=True)))
+    docs = [d for d, h in zip(docs, hit, strict=True) if not h[-1]]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(bpe.default_path()), special_tokens={})
+    for d in docs:
+        text, out, at = d["text"], [], 0
+        for _, a, b in test_secrets.plain(text):
+            if a >= at:
+                out += [text[at:a], "[secret]"]
+            at = max(at, b)
+        text = "".join([*out, text[at:]])
+        tokens = library.encode_ordinary(text)
+        yield d["doc_id"], d["lang"], d["source"], len(text), len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest(), True
+
+
+def test_run_against_brute_force(spark):
+    model = quality.train(*(spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "labels")))
+    got = corpus_pipeline.run(spark, MEDIUM).drop("token_ids").select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "round_trip").collect()
+    assert sorted(map(tuple, got)) == sorted(plain(model))
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [(1, None, "en", "s", 3), (2, "", None, None, None), (None, "one two three", "en", "s", 1), (4, "one two three", "en", "s", 1), (4, "one two three", "en", "s", 1), (None, "quite other words here", None, None, 1), (5, "long text " * 9000, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, MEDIUM)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", None), ("4", "one two three"), ("None", "quite other words here"), ("5", "long text " * 9000)], key=lambda r: (r[0], r[1] or ""))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), MEDIUM).collect() == []
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert len(stage(spark, docs, MEDIUM).collect()) == len(rows)
