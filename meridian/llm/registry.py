@@ -1,7 +1,7 @@
 """All queries of the training-data operators and their DuckDB twins."""
 
-from . import bpe, decontaminate, host_rules, language, quality, secrets, simhash
+from . import bpe, decontaminate, host_rules, language, quality, secrets, simhash, token_counts
 
-MODULES = [bpe, host_rules, secrets, decontaminate, language, simhash, quality]
+MODULES = [bpe, host_rules, secrets, decontaminate, language, token_counts, simhash, quality]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
