@@ -1,4 +1,572 @@
-"""Registered queries over the provided tables and their DuckDB twins."""
+"""Registered queries over the provided tables and their DuckDB twins.
 
-QUERIES = {}
-ORACLES = {}
+Times are given as TIMESTAMP_NTZ in UTC and doubles rounded, so that both sides compare.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, parse, units
+from ..operators import activity, density, features, kinematics, modes, paths, proximity, routes
+from ..sources import pings as wire
+from ..sources import store
+from ..sources.shared import fresh_path, stored
+from ..streaming import jobs
+from . import fixtures
+
+NOW = datetime(2024, 1, 15, 12, 30)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# the great circle between two points of DuckDB columns
+METRES = "2 * 6371000.0::double * atan2(sqrt({a}), sqrt(1 - {a}))"
+
+
+def sql_metres(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    a = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2))"
+    return METRES.format(a=a)
+
+
+def sql_bearing(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    turn = f"(radians({lng2}) - radians({lng1}))"
+    return f"degrees(atan2(sin({turn}) * cos(radians({lat2})), cos(radians({lat1})) * sin(radians({lat2})) - sin(radians({lat1})) * cos(radians({lat2})) * cos({turn})))"
+
+
+def sql_round(c: str, places: int = 4) -> str:
+    """Rounded, without a negative zero."""
+    return f"case when abs({c}) < 0.5 / 1e{places} then 0.0::double else round({c}, {places}) end as {c}"
+
+
+def sql_cell(lat: str = "lat", lng: str = "lng") -> str:
+    return f"(trunc({lat} * 1000)::int || '_' || trunc({lng} * 1000)::int)"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, and its DuckDB twin if SQL can express it."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def ntz(c: str) -> Column:
+    return F.col(c).cast("timestamp_ntz").alias(c.split(".")[-1])
+
+
+def rounded(c: str | Column, places: int = 6) -> Column:
+    name = c if isinstance(c, str) else None
+    found = F.round(F.col(c) if name else c, places)
+    return found.alias(name.split(".")[-1]) if name else found
+
+
+PINGS, NEAR, MOTION = (fixtures.PINGS_SQL.format(k=k) for k in (1, fixtures.NEAR, fixtures.MOTION))
+
+
+# Scalar functions -----------------------------------------------------------------------
+
+PARTS = f"""with {PINGS}, hub as (
+  select event_id, lat, lng, 37.485::double + 0.0027::double * (user_id % 12) as hlat, 126.985::double + 0.0043::double * (user_id % 12) as hlng, (user_id * 37 % 360)::double as b from pings
+)"""
+
+
+@query(
+    "geo_functions",
+    f"""{PARTS}, d as (
+  select *, {sql_metres("hlat", "hlng", "lat", "lng")} as m, {sql_bearing("hlat", "hlng", "lat", "lng")} as deg,
+    asin(sin(radians(lat)) * cos(250 / 6371000.0::double) + cos(radians(lat)) * sin(250 / 6371000.0::double) * cos(radians(b))) as lat2 from hub
+) select event_id, round(m, 6) as metres, round(deg, 6) as bearing, round(degrees(lat2), 9) as to_lat,
+  round(degrees(radians(lng) + atan2(sin(radians(b)) * sin(250 / 6371000.0::double) * cos(radians(lat)), cos(250 / 6371000.0::double) - sin(radians(lat)) * sin(lat2))), 9) as to_lng,
+  round(hlat + (lat - hlat) * 0.25::double, 9) as quarter_lat from d""",
+)
+def geo_functions(spark, sf_dir):
+    """Distance, bearing, destination and interpolation against each user's hub."""
+    p = fixtures.pings(spark, sf_dir).withColumns({"hlat": F.expr("37.485D + 0.0027D * (user_id % 12)"), "hlng": F.expr("126.985D + 0.0043D * (user_id % 12)"), "b": F.expr("cast(user_id * 37 % 360 as double)")})
+    lat, lng, hlat, hlng = (F.col(c) for c in ("lat", "lng", "hlat", "hlng"))
+    to = geo.destination(lat, lng, F.lit(250.0), F.col("b"))
+    return p.select("event_id", rounded(geo.distance_m(hlat, hlng, lat, lng)).alias("metres"), rounded(geo.bearing_deg(hlat, hlng, lat, lng)).alias("bearing"), rounded(to["lat"], 9).alias("to_lat"), rounded(to["lng"], 9).alias("to_lng"), rounded(geo.lerp(hlat, lat, F.lit(0.25)), 9).alias("quarter_lat"))
+
+
+@query(
+    "grid_cells",
+    f"""with {PINGS} select event_id, {sql_cell()} as cell, trunc(lat * 1000)::int / 1000.0::double as south, (trunc(lng * 1000)::int + 1) / 1000.0::double as east,
+  array_to_string(list_transform([[-1,-1],[-1,0],[-1,1],[0,-1],[0,0],[0,1],[1,-1],[1,0],[1,1]], lambda s: (trunc(lat * 1000)::int + s[1]) || '_' || (trunc(lng * 1000)::int + s[2])), ' ') as around from pings""",
+)
+def grid_cells(spark, sf_dir):
+    """Cell, bounds and the nine cells around each ping."""
+    lat, lng = F.col("lat"), F.col("lng")
+    p = fixtures.pings(spark, sf_dir).withColumn("cell", geo.cell_id(lat, lng)).withColumn("b", geo.cell_bounds(F.col("cell")))
+    return p.select("event_id", "cell", "b.south", "b.east", F.array_join(geo.neighbour_cells(lat, lng), " ").alias("around"))
+
+
+@query(
+    "units_and_status",
+    """select event_id, round((event_id % 40) / 4.0::double * 3.6::double, 2) as kmh, round((event_id % 9000 * 10)::double / 1000, 2) as km,
+  case when event_id % 900 > 0 then least(100.0::double, round((event_id % 1000)::double / (event_id % 900) * 100, 1)) else 0.0::double end as progress,
+  case when event_id % 5 = 0 then 'completed' when event_type = 'click' then 'moving' when event_type = 'view' then 'paused' else 'waiting' end as status from events""",
+)
+def units_and_status(spark, sf_dir):
+    """Unit changes, progress and status labels."""
+    state = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "paused").otherwise("ready")
+    return fixtures.events(spark, sf_dir).select(
+        "event_id", units.kmh(F.expr("(event_id % 40) / 4D")).alias("kmh"), units.km(F.expr("cast(event_id % 9000 * 10 as double)")).alias("km"),
+        units.progress_percent(F.expr("cast(event_id % 1000 as double)"), F.expr("cast(event_id % 900 as double)")).alias("progress"), units.status(F.col("event_id") % 5 == 0, state).alias("status"),
+    )
+
+
+# Messages -------------------------------------------------------------------------------
+
+SENT = f"""with {PINGS}, sent as (
+  select *, case when event_id % 17 = 2 then 'nobody' else id end as sent_as, event_id % 7 = 1 as cut, event_id % 11 = 3 as timeless, event_id % 13 = 5 as placeless from pings
+)"""
+
+
+@query("decode_pings", f"""{SENT} select case when not cut then id end as id, case when not cut then 'route-' || (user_id % 5) end as route_id, case when not cut and not timeless then event_time end as event_time,
+  case when not cut and not placeless then lat end as lat, case when not cut and not placeless then lng end as lng, case when not cut and event_id % 3 = 0 then (event_id % 40) / 4.0::double end as speed_mps from sent""")
+def decode_pings(spark, sf_dir):
+    """JSON pings by their schema; what can't be read is null."""
+    found = wire.pings(wire.raw(fixtures.messages(spark, sf_dir)))
+    return found.select("id", "route_id", ntz("event_time"), "lat", "lng", "speed_mps")
+
+
+@query("accepted_pings", f"{SENT} select id as key, count(*) as n from sent where not cut and sent_as = id and not timeless and not placeless group by id")
+def accepted_pings(spark, sf_dir):
+    """Accepted messages, keyed by id."""
+    accepted, _ = wire.accept(fixtures.messages(spark, sf_dir), "sent_as")
+    return accepted.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rejected_pings", f"""{SENT} select case when cut then 'malformed' when sent_as <> id then 'id mismatch' when timeless then 'no time' else 'no position' end as why, count(*) as n
+  from sent where cut or sent_as <> id or timeless or placeless group by 1""")
+def rejected_pings(spark, sf_dir):
+    """Rejected messages by reason."""
+    _, rejected = wire.accept(fixtures.messages(spark, sf_dir), "sent_as")
+    return rejected.groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("json_paths", "select event_id, coalesce(try_cast(props ->> '$.k' as bigint), 0) as k, coalesce(try_cast(props ->> '$.k' as double), 0.0::double) as k_number, coalesce(props ->> '$.missing', '') as missing from events")
+def json_paths(spark, sf_dir):
+    """Typed extraction by JSON path, with defaults."""
+    p = F.col("props")
+    return fixtures.events(spark, sf_dir).select("event_id", parse.json_count(p, "$.k").alias("k"), parse.json_double(p, "$.k").alias("k_number"), parse.json_string(p, "$.missing").alias("missing"))
+
+
+# Encounters -----------------------------------------------------------------------------
+
+PAIRS = f"""with {NEAR}, spans as (
+  select *, epoch_us(event_time) as us, trunc(lat * 1000)::int as y, trunc(lng * 1000)::int as x from pings
+), pairs as (
+  select a.id as user1_id, b.id as user2_id, a.us as us1, b.us as us2, a.event_time as time1, b.event_time as time2, a.lat as lat1, a.lng as lng1, b.lat as lat2, b.lng as lng2, {sql_metres("a.lat", "a.lng", "b.lat", "b.lng")} as metres
+  from spans a join spans b on b.us between a.us - 5000000 and a.us + 5000000
+  where a.id <> b.id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and {sql_metres("a.lat", "a.lng", "b.lat", "b.lng")} < 20
+), met as (
+  select user1_id, user2_id, make_timestamp((us1 // 1000000 + us2 // 1000000) * 500000) as encounter_time, (lat1 + lat2) / 2 as lat, (lng1 + lng2) / 2 as lng from pairs
+)"""
+
+
+def _met(spark, sf_dir) -> DataFrame:
+    return proximity.encounters(proximity.near_pairs(fixtures.pings(spark, sf_dir, fixtures.NEAR)))
+
+
+def _shown(events: DataFrame) -> DataFrame:
+    return events.select("user1_id", "user2_id", ntz("encounter_time"), rounded("lat", 9), rounded("lng", 9))
+
+
+SHOWN = "user1_id, user2_id, encounter_time, round(lat, 9) as lat, round(lng, 9) as lng"
+
+
+@query("near_pairs", f"{PAIRS} select user1_id, user2_id, time1, time2, round(metres, 6) as metres from pairs")
+def near_pairs(spark, sf_dir):
+    """All pairs of pings within 20 m and 5 s, both orders."""
+    return proximity.near_pairs(fixtures.pings(spark, sf_dir, fixtures.NEAR)).select("user1_id", "user2_id", ntz("time1"), ntz("time2"), rounded("metres"))
+
+
+@query("near_pairs_canonical", f"{PAIRS} select user1_id, user2_id, count(*) as n from pairs where user1_id < user2_id group by 1, 2")
+def near_pairs_canonical(spark, sf_dir):
+    """Pairs of pings counted by unordered pair of users."""
+    found = proximity.near_pairs(fixtures.pings(spark, sf_dir, fixtures.NEAR), canonical=True)
+    return found.groupBy("user1_id", "user2_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("encounters", f"{PAIRS} select {SHOWN} from met")
+def encounters(spark, sf_dir):
+    """Encounter events at the mean time and place."""
+    return _shown(_met(spark, sf_dir))
+
+
+@query("first_encounters", f"{PAIRS} select {SHOWN} from met qualify row_number() over (partition by user1_id, user2_id order by encounter_time, lat, lng) = 1")
+def first_encounters(spark, sf_dir):
+    """The first event of each ordered pair."""
+    return _shown(proximity.first_of_pair(_met(spark, sf_dir)))
+
+
+@query("recent_encounters", f"""{PAIRS} select {SHOWN} from (select * from met qualify row_number() over (partition by least(user1_id, user2_id), greatest(user1_id, user2_id), encounter_time order by user1_id, user2_id, lat, lng) = 1)
+  order by encounter_time desc, user1_id, user2_id, lat, lng limit 30""")
+def recent_encounters(spark, sf_dir):
+    """The 30 latest events without mirrors."""
+    return _shown(proximity.recent(_met(spark, sf_dir), 30))
+
+
+@query("encounter_box", f"{PAIRS} select round(min(lat), 9) as south, round(min(lng), 9) as west, round(max(lat), 9) as north, round(max(lng), 9) as east from met")
+def encounter_box(spark, sf_dir):
+    """The box around all events."""
+    return proximity.bounding_box(_met(spark, sf_dir)).select(*[rounded(c, 9) for c in ("south", "west", "north", "east")])
+
+
+@query("stored_encounters", f"{PAIRS} select {SHOWN} from met where user1_id <> '' and encounter_time >= timestamp '2024-01-01 00:30:00'")
+def stored_encounters(spark, sf_dir):
+    """Events sent as JSON, loaded by path into the table by date, and read back from a time on."""
+    sent = wire.encode(_met(spark, sf_dir).select("user1_id", "user2_id", F.date_format("encounter_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("encounter_time"), F.struct("lat", "lng").alias("position")), "user1_id")
+    path = fresh_path(spark, "encounters")
+    store.append_encounters(store.encounter_rows(sent), path)
+    since = F.lit("2024-01-01 00:30:00").cast("timestamp")
+    return _shown(store.read(spark, path).filter((F.col("date") >= F.to_date(since)) & (F.col("encounter_time") >= since)))
+
+
+@query("one_ping_per_second", f"with {NEAR} select id, event_time, event_id, lat, lng from pings qualify row_number() over (partition by id, date_trunc('second', event_time) order by event_time, event_id) = 1")
+def one_ping_per_second(spark, sf_dir):
+    """At most one ping for each id and second."""
+    kept = kinematics.one_per_second(fixtures.pings(spark, sf_dir, fixtures.NEAR).select("id", "event_time", "event_id", "lat", "lng"), "event_id")
+    return kept.select("id", ntz("event_time"), "event_id", "lat", "lng")
+
+
+# Density --------------------------------------------------------------------------------
+
+HOURLY = f"""with {PINGS}, hourly as (
+  select date_trunc('hour', event_time) as hour, {sql_cell()} as cell, count(distinct id) as visitors from pings group by 1, 2
+)"""
+
+
+@query("density_hourly", f"{HOURLY} select hour, cell, visitors from hourly")
+def density_hourly(spark, sf_dir):
+    """Distinct visitors per hour and cell, exact."""
+    return density.hourly(fixtures.pings(spark, sf_dir)).select(ntz("hour"), "cell", "visitors")
+
+
+@query("density_hourly_approx")
+def density_hourly_approx(spark, sf_dir):
+    """The same by HyperLogLog++."""
+    return density.hourly(fixtures.pings(spark, sf_dir), approximate=True).select(ntz("hour"), "cell", "visitors")
+
+
+@query("density_sketches")
+def density_sketches(spark, sf_dir):
+    """Sketches of overlapping parts of the pings, stored and merged without counting twice."""
+    p, path = fixtures.pings(spark, sf_dir), fresh_path(spark, "sketches")
+    store.save_sketches(density.sketches(p.filter("event_id % 3 <> 0")), path, "a")
+    store.save_sketches(density.sketches(p.filter("event_id % 3 <> 1")), path, "b")
+    return density.from_sketches(store.read(spark, path)).select(ntz("hour"), "cell", "visitors")
+
+
+@query("density_partials", f"with {PINGS} select date_trunc('hour', event_time) as hour, {sql_cell()} as cell, count(*)::bigint as visitors from pings group by 1, 2")
+def density_partials(spark, sf_dir):
+    """Disjoint partial sums by block, one of them written twice, merged by key."""
+    p, path = fixtures.pings(spark, sf_dir), fresh_path(spark, "partials")
+    for block in (0, 1, 2, 1):
+        part = density.located(p.filter(F.col("event_id") % 3 == block)).groupBy("hour", "cell").agg(F.count(F.lit(1)).alias("visitors"))
+        store.append_partials(part, path, str(block))
+    return store.compact(spark, path, fresh_path(spark, "merged")).select(ntz("hour"), "cell", "visitors")
+
+
+@query("density_recent", f"{HOURLY} select hour, cell, sum(visitors)::bigint as visitors from hourly where hour >= timestamp '2024-01-14 12:00:00' and hour < timestamp '2024-01-15 12:00:00' group by 1, 2 order by 1, 2")
+def density_recent(spark, sf_dir):
+    """The last 24 full hours before a given time."""
+    return density.recent(density.hourly(fixtures.pings(spark, sf_dir)), NOW).select(ntz("hour"), "cell", "visitors")
+
+
+@query("density_by_hour", f"{HOURLY} select hour, string_agg(cell || ':' || visitors, ' ' order by cell, visitors) as cells from hourly group by hour")
+def density_by_hour(spark, sf_dir):
+    """The cells of each hour as a list."""
+    listed = density.by_hour(density.hourly(fixtures.pings(spark, sf_dir)))
+    return listed.select(ntz("hour"), F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["cell"], c["visitors"])), " ").alias("cells"))
+
+
+@query("density_hours", f"{HOURLY} select distinct hour from hourly order by hour")
+def density_hours(spark, sf_dir):
+    return density.hours(density.hourly(fixtures.pings(spark, sf_dir))).select(ntz("hour"))
+
+
+@query("density_of_hour", f"{HOURLY} select cell, visitors from hourly where hour = timestamp '2024-01-15 11:00:00'")
+def density_of_hour(spark, sf_dir):
+    return density.of_hour(density.hourly(fixtures.pings(spark, sf_dir)), datetime(2024, 1, 15, 11))
+
+
+@query("density_congestion", f"""{HOURLY} select hour, cell, visitors, case when visitors > 0.66::double * (select max(visitors) from hourly) then 'red' when visitors > 0.33::double * (select max(visitors) from hourly) then 'amber' else 'green' end as level from hourly""")
+def density_congestion(spark, sf_dir):
+    """Congestion against the largest count of all hours."""
+    return density.congestion(density.hourly(fixtures.pings(spark, sf_dir))).select(ntz("hour"), "cell", "visitors", "level")
+
+
+@query("density_box", f"{HOURLY} select min(split_part(cell, '_', 1)::int / 1000.0::double) as south, min(split_part(cell, '_', 2)::int / 1000.0::double) as west, max((split_part(cell, '_', 1)::int + 1) / 1000.0::double) as north, max((split_part(cell, '_', 2)::int + 1) / 1000.0::double) as east from hourly")
+def density_box(spark, sf_dir):
+    return density.bounding_box(density.hourly(fixtures.pings(spark, sf_dir)))
+
+
+# Motion ---------------------------------------------------------------------------------
+
+MOVED = f"""with {MOTION}, lagged as (
+  select id as user_id, event_id, event_time, lat, lng, epoch_us(event_time) // 1000000 as s,
+    lag(lat) over w as plat, lag(lng) over w as plng, epoch_us(event_time) // 1000000 - lag(epoch_us(event_time) // 1000000) over w as dt
+  from pings window w as (partition by id order by event_time, event_id)
+), stepped as (
+  select *, coalesce({sql_metres("lat", "lng", "plat", "plng")}, 0) as distance, coalesce({sql_bearing("plat", "plng", "lat", "lng")}, 0) as bearing from lagged
+), sped as (
+  select *, case when dt > 0 then distance / dt else 0 end as speed from stepped
+), accelerated as (
+  select *, case when dt > 0 then (speed - lag(speed) over w) / dt else 0 end as accel from sped window w as (partition by user_id order by event_time, event_id)
+), motion as (
+  select *, case when dt > 0 then (accel - lag(accel) over w) / dt else 0 end as jerk, case when dt <> 0 then (bearing - lag(bearing) over w) / dt end as bearing_rate
+  from accelerated window w as (partition by user_id order by event_time, event_id)
+)"""
+
+
+def _motion(spark, sf_dir) -> DataFrame:
+    return kinematics.kinematics(fixtures.points(spark, sf_dir), tie="event_id")
+
+
+@query("kinematics", f"{MOVED} select user_id, event_time, lat, lng, {', '.join(map(sql_round, ('distance', 'speed', 'accel', 'jerk', 'bearing', 'bearing_rate')))} from motion")
+def kinematic_chain(spark, sf_dir):
+    """Distance, speed, acceleration, jerk, bearing and its rate from point to point."""
+    return _motion(spark, sf_dir).select("user_id", ntz("event_time"), "lat", "lng", *[rounded(c, 4) for c in ("distance", "speed", "accel", "jerk", "bearing", "bearing_rate")])
+
+
+def _stat(c: str) -> str:
+    return f"avg({c}) as avg_{c}, max({c}) as max_{c}, coalesce(stddev_samp({c}), 0) as stddev_{c}"
+
+
+WINDOWED = f"""{MOVED}, placed as (
+  select *, make_timestamp((s // 30 - k) * 30000000) as window_start from motion, (values (0), (1)) as t(k) where bearing_rate is not null and jerk is not null and accel is not null
+), grouped as (
+  select user_id, window_start, {_stat("speed")}, quantile_disc(speed, 0.75) as p75_speed, quantile_disc(speed, 0.95) as p95_speed, {_stat("accel")}, {_stat("jerk")},
+    count(*) filter (speed < 0.5) / count(*) as stop_rate, avg(bearing_rate) as avg_bearing_rate, coalesce(stddev_samp(bearing_rate), 0) as stddev_bearing_rate,
+    count(*) filter (abs(bearing_rate) > 15) / count(*) as sharp_turn_rate, sum(distance) as total_distance,
+    min(struct_pack(t := event_time, a := lat, b := lng)) as p, max(struct_pack(t := event_time, a := lat, b := lng)) as q
+  from placed group by 1, 2
+), windows as (
+  select *, case when total_distance > 0 then {sql_metres("p.a", "p.b", "q.a", "q.b")} / total_distance else 1 end as straightness from grouped
+)"""
+ROUNDED = ", ".join(map(sql_round, features.FEATURES))
+
+
+def _windows(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), *[rounded(c, 4) for c in features.FEATURES], *more)
+
+
+@query("window_features", f"{WINDOWED} select user_id, window_start, {ROUNDED} from windows")
+def window_features(spark, sf_dir):
+    """Seventeen features over windows of 60 s every 30 s."""
+    return _windows(features.window_features(_motion(spark, sf_dir)))
+
+
+LABELLED = f"""{WINDOWED}, starts as (
+  select id as user_id, event_time, event_id, row_number() over (partition by id order by event_time, event_id) as rn,
+    case event_type when 'click' then 'walk' when 'view' then 'bus' when 'purchase' then 'bike' when 'signup' then 'car' else 'boat' end as label from pings
+), spans as (
+  select user_id, event_time as start_time, lead(event_time) over (partition by user_id order by event_time, event_id) as end_time, label from starts where rn % 10 = 1
+), intervals as (
+  select user_id, start_time, end_time, case when label = 'walk' then 'walk' when label = 'bike' then 'bike' else 'transport' end as label from spans where end_time is not null and label <> 'boat'
+), labelled as (
+  select w.*, i.label from windows w join intervals i on w.user_id = i.user_id and w.window_start + interval 30 seconds between i.start_time and i.end_time
+)"""
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    return features.label_windows(features.window_features(_motion(spark, sf_dir)), features.regroup(fixtures.intervals(spark, sf_dir)))
+
+
+@query("labelled_windows", f"{LABELLED} select user_id, window_start, {ROUNDED}, label from labelled")
+def labelled_windows(spark, sf_dir):
+    """Windows with the regrouped label of the interval that holds their centre."""
+    return _windows(_labelled(spark, sf_dir), "label")
+
+
+@query("class_weights", f"{LABELLED} select label, count(*) as n, (select count(*) from labelled) / ((select count(distinct label) from labelled) * count(*)) as weight from labelled group by label")
+def class_weights(spark, sf_dir):
+    """Rows and balanced weight of each label."""
+    return modes.class_weights(_labelled(spark, sf_dir))
+
+
+GUESSED = f"{LABELLED}, guessed as (select label, case when avg_speed < 20 then 'walk' when avg_speed < 40 then 'bike' else 'transport' end as predicted from labelled)"
+
+
+def _guessed(spark, sf_dir) -> DataFrame:
+    guess = F.when(F.col("avg_speed") < 20, "walk").when(F.col("avg_speed") < 40, "bike").otherwise("transport")
+    return _labelled(spark, sf_dir).select("label", guess.alias("predicted"))
+
+
+@query("confusion", f"{GUESSED} select label as actual, count(*) filter (predicted = 'transport') as transport, count(*) filter (predicted = 'walk') as walk, count(*) filter (predicted = 'bike') as bike from guessed group by label")
+def confusion(spark, sf_dir):
+    """Actual against predicted labels, for a rule on mean speed."""
+    return modes.confusion(_guessed(spark, sf_dir))
+
+
+@query(
+    "metrics",
+    f"""{GUESSED}, by_label as (
+  select label, count(*) as n, count(*) filter (label = predicted) as hit, (select count(*) from guessed g where g.predicted = o.label) as guesses from guessed o group by label
+) select round(sum(hit) / sum(n), 9) as accuracy, round(sum(2 * hit / (n + guesses) * n) / sum(n), 9) as f1 from by_label""",
+)
+def metrics(spark, sf_dir):
+    """Accuracy and weighted F1 of the same rule."""
+    return modes.metrics(_guessed(spark, sf_dir)).select(rounded("accuracy", 9), rounded("f1", 9))
+
+
+@query("forest_predictions")
+def forest_predictions(spark, sf_dir):
+    """Weighted random forest: trained on most users, predictions for the others."""
+    rows = stored(_labelled(spark, sf_dir), "labelled")
+    training, test = modes.split(rows)
+    model = modes.train(modes.weighted(training, modes.class_weights(training)), trees=20, depth=8)
+    return modes.predict(model, test).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "label", "predicted")
+
+
+# Routes ---------------------------------------------------------------------------------
+
+ROUTES = """with hubs as (
+  select distinct user_id, 37.485::double + 0.0027::double * (user_id % 12) as lat, 126.985::double + 0.0043::double * (user_id % 12) as lng, (user_id * 37 % 360)::double as b from events
+), ends as (
+  select *, asin(sin(radians(lat)) * cos(300 / 6371000.0::double) + cos(radians(lat)) * sin(300 / 6371000.0::double) * cos(radians(b + 180))) as r1,
+    asin(sin(radians(lat)) * cos(500 / 6371000.0::double) + cos(radians(lat)) * sin(500 / 6371000.0::double) * cos(radians(b))) as r3 from hubs
+), ways as (
+  select user_id, lat as lat2, lng as lng2, degrees(r1) as lat1, degrees(r3) as lat3,
+    degrees(radians(lng) + atan2(sin(radians(b + 180)) * sin(300 / 6371000.0::double) * cos(radians(lat)), cos(300 / 6371000.0::double) - sin(radians(lat)) * sin(r1))) as lng1,
+    degrees(radians(lng) + atan2(sin(radians(b)) * sin(500 / 6371000.0::double) * cos(radians(lat)), cos(500 / 6371000.0::double) - sin(radians(lat)) * sin(r3))) as lng3 from ends
+), legs as (
+  select *, {leg1} as d1, {leg2} as d2 from ways
+)""".format(leg1=sql_metres("lat1", "lng1", "lat2", "lng2"), leg2=sql_metres("lat2", "lng2", "lat3", "lng3"))
+
+
+def sql_along(target: str, c: str) -> str:
+    return f"case when {target} >= d1 + d2 then {c}3 when {target} <= 0 then {c}1 when d1 >= {target} then {c}1 + ({c}2 - {c}1) * ({target} / d1) else {c}2 + ({c}3 - {c}2) * (({target} - d1) / d2) end"
+
+
+@query("route_length", f"{ROUTES} select user_id, round(d1 + d2, 6) as metres from legs")
+def route_length(spark, sf_dir):
+    return fixtures.routes(spark, sf_dir).select("user_id", rounded(routes.length_m(F.col("waypoints"))).alias("metres"))
+
+
+@query("route_resampled", f"{ROUTES}, steps as (select *, step, (d1 + d2) * (step / 100.0::double) as target from legs, range(0, 101) as t(step)) select user_id, step::int as step, round({sql_along('target', 'lng')}, 9) as lng, round({sql_along('target', 'lat')}, 9) as lat from steps")
+def route_resampled(spark, sf_dir):
+    """101 evenly spaced places on each route."""
+    return routes.resample(fixtures.routes(spark, sf_dir)).select("user_id", "step", rounded("lng", 9), rounded("lat", 9))
+
+
+@query("route_advance", f"""{ROUTES}, moved as (select *, (1 + user_id % 5)::double * 180 as travelled from legs)
+  select user_id, travelled, round(least(travelled / (d1 + d2), 1), 9) as progress, round({sql_along('least(travelled, d1 + d2)', 'lng')}, 9) as lng, round({sql_along('least(travelled, d1 + d2)', 'lat')}, 9) as lat, travelled >= d1 + d2 as completed from moved""")
+def route_advance(spark, sf_dir):
+    """Places and completion after 180 s at 1 to 5 m/s."""
+    moved = routes.advance(fixtures.routes(spark, sf_dir), F.expr("cast(1 + user_id % 5 as double)"), F.lit(180))
+    return moved.select("user_id", "travelled", rounded("progress", 9), rounded("lng", 9), rounded("lat", 9), "completed")
+
+
+@query("meeting_speed", f"{ROUTES} select user_id, round(d2 / (d1 / (1 + user_id % 5)), 6) as speed from legs")
+def meeting_speed(spark, sf_dir):
+    """Speed for the second leg's length that takes the first leg's time."""
+    w = F.col("waypoints")
+    legs = [routes.length_m(F.slice(w, i, 2)) for i in (1, 2)]
+    return fixtures.routes(spark, sf_dir).select("user_id", rounded(routes.meeting_speed(legs[0], F.expr("cast(1 + user_id % 5 as double)"), legs[1])).alias("speed"))
+
+
+# Paths and timelines --------------------------------------------------------------------
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    """Each user's eight first places, shifted by hub only, as a short path."""
+    p = fixtures.pings(spark, sf_dir, fixtures.MOTION)
+    return paths.reconstruct(p, "user_id", "event_id").select("user_id", F.slice("path", 1, 8).alias("path"))
+
+
+@query("route_reconstruction", f"with {MOTION} select user_id, count(*) as n, string_agg(round(lng, 6) || ' ' || round(lat, 6), ',' order by event_time, event_id) as path from pings group by user_id")
+def route_reconstruction(spark, sf_dir):
+    """Each user's places in order of time."""
+    found = paths.reconstruct(fixtures.pings(spark, sf_dir, fixtures.MOTION), "user_id", "event_id")
+    text = F.transform("path", lambda p: F.concat_ws(" ", F.round(p["lng"], 6), F.round(p["lat"], 6)))
+    return found.select("user_id", F.size("path").cast("long").alias("n"), F.array_join(text, ",").alias("path"))
+
+
+@query("path_clusters")
+def path_clusters(spark, sf_dir):
+    """Density clusters of short paths by discrete Frechet distance, with each cluster's medoid."""
+    short = stored(_paths(spark, sf_dir), "paths")
+    links = stored(paths.similar(short, "user_id", 170.0), "links")
+    members = stored(paths.clusters(short, links, "user_id", 3), "members")
+    central = paths.medoids(members, links, "user_id").select("cluster", F.col("user_id").alias("medoid"), "n")
+    return members.join(central, "cluster", "left").select("user_id", "cluster", "medoid", "n")
+
+
+TIMELINE = f"""with {MOTION}, line as (
+  select id as user_id, event_time, event_id, case event_type when 'click' then 'walk' when 'purchase' then 'bike' else 'transport' end as mode from pings
+)"""
+ISLANDS = f"""{TIMELINE}, marked as (
+  select *, case when mode = lag(mode) over w then 0 else 1 end as changed from line window w as (partition by user_id order by event_time, event_id)
+), numbered as (
+  select *, sum(changed) over (partition by user_id order by event_time, event_id rows unbounded preceding) as island from marked
+), placed as (
+  select *, row_number() over (partition by user_id, island order by event_time, event_id) as k from numbered
+), sure as (
+  select user_id, island, mode, event_time as time, event_id from placed where k = 3
+)"""
+
+
+@query("smoothed_modes", f"{TIMELINE} select user_id, event_id, case when lag(mode) over w = lead(mode) over w and lag(mode) over w <> mode then lag(mode) over w else mode end as mode from line window w as (partition by user_id order by event_time, event_id)")
+def smoothed_modes(spark, sf_dir):
+    """Isolated predictions set to their neighbours'."""
+    return activity.smooth(fixtures.timeline(spark, sf_dir)).select("user_id", "time.event_id", "mode")
+
+
+@query("mode_changes", f"""{ISLANDS} select user_id, event_id, time, from_mode, mode as to_mode, mode = 'transport' as alert
+  from (select *, lag(mode) over (partition by user_id order by island) as from_mode from sure) where from_mode <> mode""")
+def mode_changes(spark, sf_dir):
+    """Changes confirmed by three predictions in a row."""
+    found = activity.changes(fixtures.timeline(spark, sf_dir))
+    return found.select("user_id", "time.event_id", F.col("time.event_time").cast("timestamp_ntz").alias("time"), "from_mode", "to_mode", "alert")
+
+
+@query("mode_shares", f"{TIMELINE} select user_id, mode, count(*) as n, round(count(*) / sum(count(*)) over (partition by user_id), 9) as share from line group by user_id, mode")
+def mode_shares(spark, sf_dir):
+    """Each mode's part of a user's predictions."""
+    return activity.shares(fixtures.timeline(spark, sf_dir)).select("user_id", "mode", "n", rounded("share", 9))
+
+
+# Streams, run until what is there is processed ------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Pings from a stream over the files of a folder (the source takes no single file)."""
+    path, events = fresh_path(spark, "events"), fixtures.events(spark, sf_dir)
+    events.write.parquet(path)
+    return fixtures.as_pings(spark.readStream.schema(events.schema).parquet(path), k)
+
+
+@query("stream_density")
+def stream_density(spark, sf_dir):
+    """Hourly visitors from a stream, the last update of each hour and cell."""
+    path = fresh_path(spark, "stream-density")
+    jobs.run_available(jobs.hourly_density(_stream(spark, sf_dir, 1)), f"{path}/progress", jobs.into_batches(f"{path}/rows"), "update")
+    return jobs.latest_density(store.read(spark, f"{path}/rows")).select(ntz("hour"), "cell", "visitors")
+
+
+@query("stream_encounters", f"{PAIRS} select distinct user1_id, user2_id from met")
+def stream_encounters(spark, sf_dir):
+    """Ordered pairs that met, from a stream joined with itself."""
+    path = fresh_path(spark, "stream-encounters")
+    events = jobs.first_encounters(jobs.encounters(_stream(spark, sf_dir, fixtures.NEAR)), for_ever=True)
+    jobs.run_available(events.drop("time1"), f"{path}/progress", jobs.into_batches(f"{path}/rows"))
+    return store.read(spark, f"{path}/rows").select("user1_id", "user2_id")
+
+
+@query("stream_one_per_second", f"with {NEAR} select id, count(distinct date_trunc('second', event_time)) as n from pings group by id")
+def stream_one_per_second(spark, sf_dir):
+    """Pings left by a stream of at most one for each id and second."""
+    path = fresh_path(spark, "stream-seconds")
+    kept = jobs.one_per_second(_stream(spark, sf_dir, fixtures.NEAR))
+    jobs.run_available(kept, f"{path}/progress", jobs.into_batches(f"{path}/rows"))
+    return store.read(spark, f"{path}/rows").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
