@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import chunks, fresh, stored, table, text_bytes, with_columns
-from .components import components
 
 BITS = 64
 #: A file with more fingerprints is compared in blocks of this many, by several tasks.

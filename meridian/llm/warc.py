@@ -13,14 +13,13 @@ isn't split, so the reader gets each archive's lines in order and follows Conten
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import fresh_path, stored, table
 
 REVISIT_FROM = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,7 +152,7 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
     id; if no page of a group has an id, all stay responses. A null url reads empty.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, "archives")
     write_archives(pages, path)
     headers = stored(read_archives(spark, path), "headers")
     revisits = headers.filter("record_type = 'revisit'")

@@ -4,7 +4,8 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from meridian.llm import components, simhash
+from meridian.llm import simhash
+from meridian.operators import components
 
 MEDIUM = "/root/testdata/sf0.01"
 
