@@ -4,7 +4,8 @@ Texts are normalised and cut into pre-tokens as the tokenizer's file says; a tex
 the sum of its pre-tokens' lengths in tokens. The lengths of the most frequent pre-tokens
 come in a broadcast table (at most FREQUENT entries of at most LONGEST characters, which
 bounds it to a few MB); a pre-token that isn't there is encoded by the library once and kept
-in the worker's cache.
+in the worker's cache. As no pre-token reaches over white space, a second cache keeps the
+sums of whole words, so a word is cut into pre-tokens once.
 
 Which pre-tokens are frequent only decides how fast a count is, never what it is: every
 task counts all its pre-tokens and hands on its TOP most frequent, whose counts are added.
@@ -29,8 +30,8 @@ from .common import chunks, fresh, table, with_columns
 
 VOCABULARY = "word_bpe_49k.json"
 FREQUENT, LONGEST, TOP = 1 << 16, 64, 1 << 12
-#: pre-tokens that a task counts at once, and that a worker's cache holds
-COUNTED, CACHED = 200_000, 500_000
+#: words that a task counts at once, and entries that each of a worker's caches holds
+COUNTED, CACHED = 200_000, 350_000
 LIMIT = 2048
 
 
@@ -47,8 +48,8 @@ def _ranges(points: list[int]) -> str:
 
 
 @functools.cache
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Pre-tokens of ASCII texts and of others; code points that are left to the library.
+def _patterns() -> tuple[re.Pattern, frozenset[str]]:
+    """Pre-tokens of lowered text; the code points that aren't left to the library.
 
     The letters and numbers that Unicode 3.2 knew, and that are so still, are the same in
     every library; a text with any newer or changed code point is counted by the library.
@@ -57,19 +58,18 @@ def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     for c in range(0x110000):
         now, then = unicodedata.category(chr(c)), old.category(chr(c))
         kinds[c] = now[0] if now[0] in "LN" else "O"
-        if then == "Cn" or (then[0] in "LN") != (now[0] in "LN") or now == "Cs":
+        # the separators 1C to 1F are white space to str.split alone
+        if then == "Cn" or (then[0] in "LN") != (now[0] in "LN") or now == "Cs" or 0x1C <= c <= 0x1F:
             kinds[c] = "new"
-    letters, numbers, new = (_ranges([c for c, k in kinds.items() if k == kind]) for kind in ("L", "N", "new"))
-    # The contractions and the order of the alternatives.
-    heads = "'s|'t|'re|'ve|'m|'ll|'d"
+    letters, numbers = (_ranges([c for c, k in kinds.items() if k == kind]) for kind in "LN")
+    # The contractions and the other alternatives.
     blank = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    narrow = re.compile(f"{heads}|[a-z]+|[0-9]|[^\\t-\\r\\x20a-z0-9]+")
-    wide = re.compile(f"{heads}|[{letters}]+|[{numbers}]|[^{blank}{letters}{numbers}]+")
-    return narrow, wide, re.compile(f"[{new}]")
+    piece = re.compile(f"[a-z]+(?![{letters}])|[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{blank}{letters}{numbers}]+")
+    return piece, frozenset(chr(c) for c, k in kinds.items() if k != "new")
 
 
 class Counting(dict):
-    """Tokens by pre-token, and by text, for one tokenizer file."""
+    """Tokens by word (what stands between white space), for one tokenizer file."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -82,23 +82,46 @@ class Counting(dict):
         self.library = tokenizers.Tokenizer.from_file(path)
         bare = own | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.bare = tokenizers.Tokenizer.from_str(json.dumps(bare))
+        self.piece, self.safe = _patterns()
+        self.frequent: dict[str, int] = {}
+        self.rare: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        n = sum(map(self.length, self.piece.findall(word)))
+        if len(word) <= LONGEST:
+            self[word] = n
+        return n
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.bare.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= LONGEST:
-            self[piece] = n
+    def length(self, piece: str) -> int:
+        """Tokens of a pre-token: from the table, the cache, or the library."""
+        n = self.frequent.get(piece) or self.rare.get(piece)
+        if n is None:
+            n = len(self.bare.encode(piece, add_special_tokens=False).ids)
+            if len(piece) <= LONGEST:
+                self.rare[piece] = n
         return n
 
-    def learn(self, pieces: set[str], known: dict[str, int]) -> None:
-        """Encode what neither tier has."""
-        if len(self) >= CACHED:
-            self.clear()
-        new = [p for p in pieces if p not in self and len(p) <= LONGEST]
-        for piece in [p for p in new if p in known]:
-            self[piece] = known[piece]
-        new = [p for p in new if p not in known]
-        for piece, found in zip(new, self.bare.encode_batch(new, add_special_tokens=False), strict=True):
-            self[piece] = len(found.ids)
+    def words(self, text: str) -> tuple[list[str], int] | None:
+        """Lowered words and the number of special tokens; None if the library has to count."""
+        if text.isascii():
+            if not ("<" in text and self.divider.search(text)) and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
+                return text.lower().split(), 0
+        if not self.safe.issuperset(text):
+            return None
+        parts = self.divider.split(text)
+        # lower() writes a final sigma; the library lowers characters one by one
+        return [w for x in parts for w in unicodedata.normalize("NFC", x).replace("Σ", "σ").lower().split()], len(parts) - 1
+
+    def count(self, text: str) -> int:
+        found = self.words(text)
+        if found is None:
+            return len(self.library.encode(text, add_special_tokens=False).ids)
+        return sum(map(self.__getitem__, found[0])) + found[1]
+
+    def trim(self) -> None:
+        for kept in (self, self.rare):
+            if len(kept) > CACHED:
+                kept.clear()
 
 
 @functools.cache
@@ -106,22 +129,6 @@ def counting(path: str) -> Counting:
     return Counting(path)
 
 
-def pieces_of(text: str, own: Counting) -> tuple[list[str], int] | None:
-    """Pre-tokens and the number of special tokens; None if the library has to count."""
-    narrow, wide, new = _patterns()
-    if text.isascii():
-        if "<" in text and own.divider.search(text):
-            parts = own.divider.split(text)
-            return [p for x in parts for p in narrow.findall(x.lower())], len(parts) - 1
-        return narrow.findall(text.lower()), 0
-    if new.search(text):
-        return None
-    parts = own.divider.split(text)
-    # lower() writes a final sigma; the library lowers characters one by one
-    lowered = [unicodedata.normalize("NFC", x).replace("Σ", "σ").lower() for x in parts]
-    return [p for x in lowered for p in wide.findall(x)], len(parts) - 1
-
-
 def frequent(docs: DataFrame, path: str, text: str = "text") -> list[tuple[str, int]]:
     """The most frequent pre-tokens of all texts with their lengths in tokens."""
 
@@ -129,17 +136,21 @@ def frequent(docs: DataFrame, path: str, text: str = "text") -> list[tuple[str,
         own, seen = counting(path), Counter()
         for batch in chunks(batches, text):
             for t in batch.column(0).to_pylist():
-                if t and (found := pieces_of(t, own)):
+                if t and (found := own.words(t)):
                     seen.update(found[0])
             if len(seen) > COUNTED:  # those seen least give way
                 seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        top = [(p, n) for p, n in seen.most_common(TOP) if len(p) <= LONGEST]
+        pieces: Counter[str] = Counter()
+        for word, n in seen.items():
+            for piece in own.piece.findall(word):
+                pieces[piece] += n
+        top = [(p, n) for p, n in pieces.most_common(TOP) if len(p) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
     rows = docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = sorted(r.piece for r in rows.orderBy(F.desc("n"), "piece").limit(FREQUENT).collect())
     own = counting(path)
-    return [(p, own[p]) for p in pieces]
+    return [(p, own.length(p)) for p in pieces]
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -154,12 +165,11 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counting(path)
-        known = dict(zip(shared.value[0].split("\n"), shared.value[1], strict=False))
+        own.frequent = dict(zip(shared.value[0].split("\n"), shared.value[1], strict=False))
         for batch in chunks(batches, text):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            found = [pieces_of(t, own) for t in texts]
-            own.learn(set().union(*(x[0] for x in found if x)), known)
-            n = [sum(map(own.__getitem__, x[0])) + x[1] if x else len(own.library.encode(t, add_special_tokens=False).ids) for t, x in zip(texts, found, strict=True)]
+            n = [own.count(t) for t in texts]
+            own.trim()
             extra = [("n_bytes", pa.int64(), [len(t.encode()) for t in texts]), ("n_tokens", pa.int64(), n), ("over_limit", pa.bool_(), [x > limit for x in n])]
             yield with_columns(batch, extra)
 
