@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, parse, units
 from ..operators import activity, density, features, kinematics, modes, paths, proximity, routes
 from ..sources import pings as wire
-from ..sources import store
+from ..sources import store, trajectories
 from ..sources.shared import fresh_path, stored
 from ..streaming import jobs
 from . import fixtures
@@ -428,6 +428,42 @@ def forest_predictions(spark, sf_dir):
     return modes.predict(model, test).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "label", "predicted")
 
 
+FILED = f"{MOTION}, users as (select distinct id from pings where user_id % 3 = 0)"
+
+
+def _write_files(spark, sf_dir) -> str:
+    """Trajectory and label files in a folder for each user, headers included."""
+    path, p = fresh_path(spark, "files"), fixtures.points(spark, sf_dir)
+    line = F.concat_ws(",", "lat", "lng", F.lit(0), F.lit(492), F.lit("39744.1"), F.date_format("event_time", "yyyy-MM-dd"), F.date_format("event_time", "HH:mm:ss"))
+    head = p.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(x) for x in ("Trajectory", "WGS 84", "Altitude", "Reserved 3", "0,2,255,Track,0,0,2,8421376", "0")])).alias("value"))
+    head.union(p.select("user_id", line.alias("value"))).write.partitionBy("user_id").text(f"{path}/points")
+    spans = fixtures.intervals(spark, sf_dir).filter("cast(substring(user_id, 6) as int) % 3 = 0")
+    times = [F.date_format(c, "yyyy/MM/dd HH:mm:ss").alias(name) for c, name in (("start_time", "Start Time"), ("end_time", "End Time"))]
+    spans.select("user_id", *times, F.col("label").alias("Transportation Mode")).write.partitionBy("user_id").option("sep", "\t").option("header", True).csv(f"{path}/labels")
+    return path
+
+
+@query("trajectory_files", f"with {FILED}, counted as (select id, count(*) as n from pings group by id) select id as user_id, date_trunc('second', event_time) as event_time, lat, lng, 492.0::double as altitude from pings join users using (id) join counted using (id) where n > 10")
+def trajectory_files(spark, sf_dir):
+    """Points of all trajectory files whose users have a label file."""
+    path = _write_files(spark, sf_dir)
+    points = trajectories.trajectories(spark, f"{path}/points", "user_id=*/part-*", "user_id=([^/]+)/")
+    intervals = trajectories.labels(spark, f"{path}/labels", "user_id=*/part-*", "user_id=([^/]+)/")
+    return trajectories.of_labelled_users(points, intervals).select("user_id", ntz("event_time"), "lat", "lng", "altitude")
+
+
+@query("label_files", f"""with {MOTION}, starts as (
+  select id as user_id, user_id as number, event_time, event_id, event_type, row_number() over (partition by id order by event_time, event_id) as rn from pings
+), spans as (
+  select user_id, number, event_time as start_time, lead(event_time) over (partition by user_id order by event_time, event_id) as end_time, event_type from starts where rn % 10 = 1
+) select user_id, date_trunc('second', start_time) as start_time, date_trunc('second', end_time) as end_time,
+  case event_type when 'click' then 'walk' when 'view' then 'bus' when 'purchase' then 'bike' when 'signup' then 'car' else 'boat' end as label from spans where end_time is not null and number % 3 = 0""")
+def label_files(spark, sf_dir):
+    """Intervals of all label files."""
+    found = trajectories.labels(spark, f"{_write_files(spark, sf_dir)}/labels", "user_id=*/part-*", "user_id=([^/]+)/")
+    return found.select("user_id", ntz("start_time"), ntz("end_time"), "label")
+
+
 # Routes ---------------------------------------------------------------------------------
 
 ROUTES = """with hubs as (

@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 
-HEADER_LINES = 6
 FIELDS = 7  # lat, lng, a constant, altitude, day number, date, time
 
 
-def user_of(path, below: str):
-    """The name of the folder that holds ``below`` in a file's path."""
-    return F.regexp_extract(path, f"([^/]+)/{below}", 1)
+def user_of(pattern: str):
+    """The user's name in a file's path."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("user_id")
 
 
-def trajectories(spark: SparkSession, root: str) -> DataFrame:
-    """(user_id, event_time, lat, lng, altitude) of all ``<user>/Trajectory/*.plt`` below root.
+def trajectories(spark: SparkSession, root: str, files: str = "*/Trajectory/*.plt", user: str = "([^/]+)/Trajectory/") -> DataFrame:
+    """(user_id, event_time, lat, lng, altitude) of all trajectory files below root.
 
-    The lines before the data have other than seven fields or no number in the first, so
-    files needn't be read as wholes to skip them. Lines that can't be parsed are left out.
+    The six lines before the data have other than seven fields or no time, so files
+    needn't be read as wholes to skip them. Lines that can't be parsed are left out.
     """
-    lines = spark.read.text(f"{root}/*/Trajectory/*.plt").select("value", user_of(F.col("_metadata.file_path"), "Trajectory/").alias("user_id"))
+    lines = spark.read.text(f"{root}/{files}").select("value", user_of(user))
     parts = F.split(F.col("value"), ",")
     number = lambda i: F.get(F.col("p"), F.lit(i)).try_cast("double")
     when = parse.pattern_time(F.concat_ws(" ", F.get(F.col("p"), F.lit(5)), F.trim(F.get(F.col("p"), F.lit(6)))), "yyyy-MM-dd HH:mm:ss")
@@ -31,11 +30,11 @@ def trajectories(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(F.col("event_time").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull())
 
 
-def labels(spark: SparkSession, root: str) -> DataFrame:
-    """(user_id, start_time, end_time, label) of all ``<user>/labels.txt`` below root."""
-    lines = spark.read.option("sep", "\t").option("header", True).schema("start string, end string, label string").csv(f"{root}/*/labels.txt")
+def labels(spark: SparkSession, root: str, files: str = "*/labels.txt", user: str = "([^/]+)/labels\\.txt") -> DataFrame:
+    """(user_id, start_time, end_time, label) of all label files below root."""
+    lines = spark.read.option("sep", "\t").option("header", True).schema("start string, end string, label string").csv(f"{root}/{files}")
     time = lambda c: parse.pattern_time(F.col(c), "yyyy/MM/dd HH:mm:ss")
-    return lines.select(user_of(F.col("_metadata.file_path"), "labels\\.txt").alias("user_id"), time("start").alias("start_time"), time("end").alias("end_time"), F.trim("label").alias("label"))
+    return lines.select(user_of(user), time("start").alias("start_time"), time("end").alias("end_time"), F.trim("label").alias("label"))
 
 
 def of_labelled_users(points: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -125,3 +125,17 @@ def test_partials_sink_bears_repetition(spark, tmp_path):
     sink(counts, 3)
     sink(counts, 3)
     assert store.merged(store.read(spark, str(tmp_path / "p"))).count() == counts.count()
+
+
+def test_live_predictions(spark, tmp_path):
+    """A model that was fitted on a table predicts on a stream of features."""
+    from meridian.operators import features, modes
+
+    rows = [(f"u{k % 9}", *[float(k % 3 * 6 + k % 5 / 10)] * len(features.FEATURES), ("walk", "bike", "transport")[k % 3], 1.0) for k in range(90)]
+    table = spark.createDataFrame(rows, "user_id string, " + ", ".join(f"{c} double" for c in features.FEATURES) + ", label string, weight double")
+    model = modes.train(table, trees=3, depth=3)
+    table.drop("label", "weight").write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(table.drop("label", "weight").schema).parquet(str(tmp_path / "in"))
+    jobs.run_available(modes.predict(model, live), str(tmp_path / "cp"), jobs.into_batches(str(tmp_path / "rows")))
+    got = {(r.avg_speed >= 6, r.avg_speed >= 12, r.predicted) for r in store.read(spark, str(tmp_path / "rows")).collect()}
+    assert got == {(False, False, "walk"), (True, False, "bike"), (True, True, "transport")}
