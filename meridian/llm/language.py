@@ -21,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, fresh, table, with_columns
+from .common import chunks, crc_mod, fresh, stored, table, with_columns
 
 FOLDS, HELD_OUT = 4, 2
-BUCKETS, SLICE, DICTIONARY = 96, 1536, 110_000
+BUCKETS, SLICE, LEAST, DICTIONARY = 96, 1536, 16_000, 110_000
 LEVEL = 6
 NARROW = 0.01
 #: a text of fewer bytes gets zero bytes behind it: alone it would be stored as it is
@@ -49,7 +49,8 @@ def train(docs: DataFrame, lang: str = "lang") -> dict[str, bytes]:
     known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & (crc_mod("doc_id", FOLDS) != HELD_OUT))
     draw = F.xxhash64("doc_id")
     picks = known.groupBy(F.col(lang).alias("lang"), F.pmod(draw, F.lit(BUCKETS)).alias("bucket")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id")).alias("pick"))
-    picks = picks.select(F.col("pick.doc_id").alias("picked"), F.col("lang").alias("picked_lang"))
+    # a written table has a known size, so Spark broadcasts it while it is small
+    picks = stored(picks.select(F.col("pick.doc_id").alias("picked"), F.col("lang").alias("picked_lang")), "picks")
     rows = known.select("doc_id", "text", F.col(lang).alias("lang")).join(picks, (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +61,9 @@ def train(docs: DataFrame, lang: str = "lang") -> dict[str, bytes]:
     for _, name, part in sorted((r.doc_id, r.lang, bytes(r.part)) for r in rows.mapInArrow(run, "doc_id long, lang string, part binary").collect()):
         parts.setdefault(name, []).append(part)
     most = min((sum(map(len, p)) for p in parts.values()), default=0)
-    # equal sizes: a longer dictionary would only find more of anything
-    return {name: b"".join(p)[: min(most, DICTIONARY)] for name, p in sorted(parts.items())}
+    # equal sizes, as a longer dictionary finds more of anything, but a language with next
+    # to no text doesn't shrink the others below LEAST
+    return {name: b"".join(p)[: min(max(most, LEAST), DICTIONARY)] for name, p in sorted(parts.items())}
 
 
 @functools.cache
