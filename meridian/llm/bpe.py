@@ -211,7 +211,7 @@ class Encoder(dict):
             self.old = dict(self)
             self.clear()
         by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces - self.keys() - self.old.keys():
+        for piece in [p for p in pieces if p not in self and p not in self.old]:
             data = piece.encode()
             if data in self.ranks:
                 self[piece] = self.ranks[data].to_bytes(4, "little")
