@@ -9,7 +9,8 @@ not seen.
 
 Counts come from all training documents and stay a distributed table. The most frequent
 words (at most KNOWN of at most WORD_BYTES bytes, which bounds them to 20 MB) are
-broadcast; the counts of other words reach the documents by a join on the word.
+broadcast; the counts of other words reach the documents by a join on the word. The SINGLE
+most frequent words of all training documents have a class of their own.
 
 The net learns from all training documents too. It starts on a bounded sample (FIT_DOCS
 documents of lowest hash, of at most FIT_CHARS characters each, up to FIT_TOKENS tokens);
@@ -38,10 +39,10 @@ FOLDS, HELD_OUT = 7, 2
 KNOWN, WORD_BYTES = 1 << 18, 64
 #: distinct words that a task counts before it hands them on
 COUNTED = 300_000
-SINGLE, BY_ENDING = 19, 20
+SINGLE, BY_ENDING = 40, 40
 CLASSES = 1 + SINGLE + BY_ENDING
-HIDDEN, WINDOW, STREAMS = 12, 32, 64
-FIT_DOCS, FIT_CHARS, FIT_TOKENS, EPOCHS = 1500, 50_000, 400_000, 3
+HIDDEN, WINDOW, STREAMS = 16, 32, 64
+FIT_DOCS, FIT_CHARS, FIT_TOKENS, EPOCHS = 2000, 200_000, 600_000, 3
 #: rows of the stream, and rate, when a task goes through its part
 WIDE, GENTLE = 512, 0.005
 #: tokens that a task holds at once: side by side, long texts don't run alone
@@ -94,10 +95,12 @@ class Net:
     def fit(self, stream: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, rows: int = STREAMS) -> None:
         """Truncated backpropagation over a stream of texts, each ended by END_CLASS."""
         rows = min(rows, max(1, len(stream) // WINDOW))
-        length = len(stream) // rows
+        length = -(-len(stream) // rows)
         if not length:
             return
-        target = stream[: rows * length].reshape(rows, length).astype(np.int64)
+        # filled up to whole rows; what fills isn't learned
+        target = np.append(stream, np.full(rows * length - len(stream), END_CLASS, stream.dtype)).reshape(rows, length).astype(np.int64)
+        real = (np.arange(target.size) < len(stream)).reshape(rows, length)
         before = np.c_[np.full(rows, END_CLASS), target[:, :-1]]
         before[1:, 0] = target[:-1, -1]
         weights = self.weights()
@@ -106,7 +109,7 @@ class Net:
         for _ in range(epochs):
             h = np.zeros((rows, self.u.shape[0]), np.float32)
             for at in range(0, length, WINDOW):
-                gradients, h = self._window(before[:, at : at + WINDOW], target[:, at : at + WINDOW], h)
+                gradients, h = self._window(before[:, at : at + WINDOW], target[:, at : at + WINDOW], h, real[:, at : at + WINDOW])
                 norm = math.sqrt(sum(float((g * g).sum()) for g in gradients))
                 done += 1
                 for w, g, a, b in zip(weights, gradients, first, second, strict=True):
@@ -117,8 +120,8 @@ class Net:
                 np.clip(self.v, -64 / len(self.v), 64 / len(self.v), out=self.v)
                 np.clip(self.b, -16, 16, out=self.b)
 
-    def _window(self, before: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Gradients of the mean loss over a window, and the state after it."""
+    def _window(self, before: np.ndarray, target: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Gradients of the mean loss over a window's real targets (all by default), and the state after it."""
         steps, n = before.shape[1], self.u.shape[0]
         kept = []
         for t in range(steps):
@@ -129,8 +132,9 @@ class Net:
         states = np.stack([k[2] for k in kept])
         flat = self.logits(states.reshape(-1, n))
         np.exp(flat, out=flat)
-        flat *= 1 / (target.size * flat.sum(axis=1, keepdims=True))
-        flat[np.arange(len(flat)), target.T.ravel()] -= 1 / target.size
+        share = np.full(len(flat), 1 / target.size, flat.dtype) if real is None or real.all() else (real.T.ravel() / real.sum()).astype(flat.dtype)
+        flat *= (share / flat.sum(axis=1))[:, None]
+        flat[np.arange(len(flat)), target.T.ravel()] -= share
         dv, db, dstates = states.reshape(-1, n).T @ flat, flat.sum(0), (flat @ self.v.T).reshape(states.shape)
         du, later = np.zeros_like(self.u), np.zeros_like(h)
         inputs = np.empty((steps, len(h), 3 * n), self.x.dtype)
@@ -214,48 +218,63 @@ class Classes(dict):
         return bytes(map(self.__getitem__, words_of(text))) + bytes([END_CLASS])
 
 
-def count_and_learn(training: DataFrame, net: Net, single: dict[bytes, int], text: str = "text") -> DataFrame:
-    """(word binary, at, n), from one pass over all training documents.
+def count_words(training: DataFrame, text: str = "text") -> DataFrame:
+    """(word binary, n): counts of words, and of the ends of texts (the empty word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        for batch in chunks(batches, text):
+            for t in text_bytes(batch, text):
+                seen.update(words_of(t))
+            seen[END] += batch.num_rows
+            if len(seen) > COUNTED:
+                yield counted()
+                seen.clear()
+        yield counted()
+
+    return training.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    Rows with at = -1 are counts of words, and of the end of a text (the empty word). The
-    others are the weights of the net (its at-th; the last one is 1), each after a task
+def learn(training: DataFrame, net: Net, single: dict[bytes, int], text: str = "text") -> DataFrame:
+    """(at, n), from one pass over all training documents.
+
+    The rows are the weights of the net (its at-th; the last one is 1), each after a task
     went once through its documents, times the task's tokens, in GRAINs, summed.
     """
     shared = training.sparkSession.sparkContext.broadcast((net, single))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kinds = copy.deepcopy(shared.value[0]), Classes(shared.value[1])
-        seen: Counter[bytes] = Counter()
         held: list[bytes] = []
         size = total = 0
 
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(np.full(len(seen), -1, np.int32)), pa.array(list(seen.values()), pa.int64())], names=["word", "at", "n"])
-
-        def learn() -> None:
+        def fit() -> None:
             own.fit(np.frombuffer(b"".join(held), np.uint8), 1, GENTLE, WIDE)
 
         for batch in chunks(batches, text):
             for t in text_bytes(batch, text):
-                words = words_of(t)
-                seen.update(words)
-                seen[END] += 1
-                held.append(bytes(map(kinds.__getitem__, words)) + bytes([END_CLASS]))
+                held.append(kinds.of_text(t))
                 size += len(held[-1])
-            if len(seen) > COUNTED:
-                yield counted()
-                seen.clear()
             if size >= HELD:
-                learn()
+                fit()
                 held, size, total = [], 0, total + size
         if size:
-            learn()
-        yield counted()
+            fit()
         flat = np.append(np.concatenate([w.ravel() for w in own.weights()]).astype(np.float64), 1.0)
         parts = np.rint(flat / GRAIN).astype(np.int64) * (total + size)
-        yield pa.RecordBatch.from_arrays([pa.array([END] * len(parts), pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts)], names=["word", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts)], names=["at", "n"])
 
-    return training.select(text).mapInArrow(run, "word binary, at int, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    return training.select(text).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def count_and_learn(training: DataFrame, net: Net, single: dict[bytes, int], text: str = "text") -> DataFrame:
+    """(word binary, at, n): count_words, with at = -1, and learn, with the empty word."""
+    counts = count_words(training, text).select("word", F.lit(-1).alias("at"), "n")
+    return counts.union(learn(training, net, single, text).select(F.lit(END).alias("word"), "at", "n"))
 
 
 def _averaged(net: Net, found: DataFrame) -> Net:
@@ -301,23 +320,26 @@ def _class_weights(counts: DataFrame, single: dict[bytes, int]) -> np.ndarray:
     return np.log10(weight)
 
 
-def _start(training: DataFrame, doc_id: str, text: str) -> tuple[Net, dict[bytes, int]]:
-    """A first net, and the words with a class of their own, from the bounded sample."""
+def _singles(counts: DataFrame) -> dict[bytes, int]:
+    """The words with a class of their own: the most frequent in the whole table of counts."""
+    top = counts.filter(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(SINGLE).collect()
+    return {bytes(r.word): 1 + i for i, r in enumerate(top)}
+
+
+def _start(training: DataFrame, single: dict[bytes, int], doc_id: str, text: str) -> Net:
+    """A first net, from the bounded sample."""
     chosen = training.filter(F.length(text) <= FIT_CHARS).select(F.col(doc_id).alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(FIT_DOCS)
     rows = training.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("chosen"), "left_semi").filter(F.length(text) <= FIT_CHARS)
     found = sorted((zlib.crc32(str(r[0]).encode()), str(r[0]), r[1].encode()) for r in rows.collect())
-    texts, size = [], 0
+    kinds, texts, size = Classes(single), [], 0
     for _, _, data in found:
         if size >= FIT_TOKENS:
             break
-        texts.append(data)
-        size += len(words_of(data)) + 1
-    seen = Counter(w for t in texts for w in words_of(t))
-    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SINGLE]
-    kinds = Classes({w: 1 + i for i, (w, _) in enumerate(top)})
+        texts.append(kinds.of_text(data))
+        size += len(texts[-1])
     net = Net()
-    net.fit(np.frombuffer(b"".join(map(kinds.of_text, texts)), np.uint8))
-    return net, kinds.single
+    net.fit(np.frombuffer(b"".join(texts), np.uint8))
+    return net
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
@@ -327,12 +349,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     empty: only their end is counted.
     """
     training = docs.filter(crc_mod(doc_id, FOLDS) != HELD_OUT)
-    net, single = _start(training, doc_id, text)
-    found = stored(count_and_learn(training, net, single, text), "counts")
-    counts = found.filter("at = -1").select("word", "n")
+    counts = stored(count_words(training, text), "counts")
+    single = _singles(counts)
+    net = _start(training, single, doc_id, text)
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Model(tokens, distinct, single, [(END, ends), *_known(counts)], _class_weights(counts, single), _averaged(net, found)), counts
+    return Model(tokens, distinct, single, [(END, ends), *_known(counts)], _class_weights(counts, single), _averaged(net, learn(training, net, single, text))), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -111,3 +111,36 @@ def test_odd_rows(spark):
     none = docs.limit(0)
     assert lm_score.score(none, *lm_score.train(none)).collect() == []
     assert len(lm_score.score(docs, *lm_score.train(none)).collect()) == len(rows)
+
+
+def test_size_of_the_model():
+    assert (lm_score.SINGLE, lm_score.BY_ENDING, lm_score.HIDDEN) == (40, 40, 16)
+
+
+def test_own_classes_count_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SINGLE", 2)
+    rows = [(i, "rare words here") for i in range(30)] + [(i, "long text " * 30000) for i in range(100, 130)]
+    model, _ = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.single == {b"long": 1, b"text": 2}
+
+
+def test_every_token_of_a_stream_is_learned(monkeypatch):
+    learned, window = [], lm_score.Net._window
+
+    def spy(self, before, target, h, real=None):
+        learned.extend(target[real].tolist() if real is not None else target.ravel().tolist())
+        return window(self, before, target, h, real)
+
+    monkeypatch.setattr(lm_score.Net, "_window", spy)
+    stream = np.random.default_rng(6).integers(0, lm_score.CLASSES, 64 * 40 + 39).astype(np.uint8)
+    lm_score.Net().fit(stream, 1)
+    assert sorted(learned) == sorted(stream.tolist())
+
+
+def test_filled_places_have_no_gradient():
+    net, draw = lm_score.Net(5, 3, seed=4), np.random.default_rng(2)
+    target = draw.integers(1, 5, (2, 6))
+    before, h = np.c_[np.zeros(2, int), target[:, :-1]], np.zeros((2, 3), np.float32)
+    real = np.array([[True] * 6, [False] * 6])
+    for a, b in zip(net._window(before, target, h, real)[0], net._window(before[:1], target[:1], h[:1])[0], strict=True):
+        assert np.allclose(a, b, atol=1e-6)
