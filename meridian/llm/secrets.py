@@ -5,9 +5,13 @@ candidates are reported as well if what they decode to is built like a secret:
 
 - jwt: three base64url segments whose first decodes to a JSON object with ``alg``;
 - der: a private key in DER - nested lengths that fill the outer SEQUENCE, beginning with
-  a version INTEGER (PKCS#1, PKCS#8, SEC1);
+  a version INTEGER (PKCS#1, PKCS#8, SEC1), or an encrypted one (PKCS#8: a scheme's
+  identifier in a SEQUENCE, then an OCTET STRING);
 - openssh: an ``openssh-key-v1`` container with length-prefixed fields that fit;
-- pem: an armoured private key whose body is one of the two above.
+- pem: an armoured private key whose body is one of the two above, or which has headers
+  that say it is encrypted.
+
+Base64 may be broken over lines, and line breaks may be escaped (as in JSON).
 """
 
 from __future__ import annotations
@@ -34,8 +38,17 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "pem")
 
 HINT = re.compile(rb"passw|secret|token|api_?key")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3})PRIVATE KEY-----([A-Za-z0-9+/=\s]+?)-----END \1PRIVATE KEY-----")
+RUN = "[A-Za-z0-9+/_-]"
+#: where a run may begin: not inside one; the letter of an escaped break isn't part of it
+START = r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt])|(?<=\\)(?![nrt]))"
+ENCODED = re.compile(START + RUN + "{40,}={0,2}")
+#: a line break, escaped (once or more) or not
+BREAK = r"[ \t]*(?:\\+r)?(?:\\+n|\\?\r?\n)[ \t]*"
+NEXT = re.compile(f"{BREAK}({RUN}+={{0,2}})")
+PEM = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ ){{0,3}})PRIVATE KEY-----((?:{BREAK}[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\+[rn])+?)-----END \1PRIVATE KEY-----")
+#: identifiers of password-based encryption (PKCS#5, PKCS#12) begin so
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+MAGIC = b"openssh-key-v1\0"
 
 
 def decoded(run: str) -> bytes | None:
@@ -65,10 +78,22 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, begin, begin + n) if begin + n <= end else None
 
 
+def _encrypted(data: bytes, outer: tuple[int, int, int]) -> bool:
+    """Is the content an encryption scheme with its parameters, and an octet string to the end?"""
+    scheme = _element(data, outer[1], outer[2])
+    name = scheme and scheme[0] == 0x30 and _element(data, scheme[1], scheme[2])
+    if not name or name[0] != 6 or not data[name[1] : name[2]].startswith(ENCRYPTIONS):
+        return False
+    sealed = _element(data, scheme[2], outer[2])
+    return sealed is not None and sealed[0] == 4 and sealed[2] == outer[2]
+
+
 def der_private_key(data: bytes) -> bool:
     outer = _element(data, 0, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
+    if _encrypted(data, outer):
+        return True
     tags, at = [], outer[1]
     while at < outer[2]:
         part = _element(data, at, outer[2])
@@ -85,10 +110,9 @@ def der_private_key(data: bytes) -> bool:
 
 
 def openssh_private_key(data: bytes) -> bool:
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(MAGIC):
         return False
-    at = len(magic)
+    at = len(MAGIC)
     for _ in range(3):  # cipher, key derivation, its options
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
@@ -106,6 +130,42 @@ def signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def _kind(data: bytes | None) -> str | None:
+    if not data:
+        return None
+    return "der" if der_private_key(data) else "openssh" if openssh_private_key(data) else None
+
+
+def _wrapped(text: str, first: re.Match) -> tuple[str, int] | None:
+    """Kind and end of a key whose first line is the run ``first``.
+
+    A DER key says its length, so its lines end there; those of a container are as wide as
+    the first but for the last.
+    """
+    head = decoded(first[0][: len(first[0]) // 4 * 4]) or b""
+    whole = _element(head, 0, 1 << 40) if head[:1] == b"\x30" else None
+    if whole is None and not head.startswith(MAGIC):
+        return None
+    lines, at, size, room = [first[0]], first.end(), len(first[0]), 0
+    if whole:
+        room = 2 * whole[2] if len(head) * 2 == len(first[0]) // 4 * 4 else -(-4 * whole[2] // 3)
+    if room > len(text) - first.start():
+        return None
+    while (not whole or size < room) and (line := NEXT.match(text, at)):
+        if not whole and len(line[1]) > len(first[0]):
+            break
+        lines.append(line[1])
+        at, size = line.end(), size + len(line[1].rstrip("="))
+        if not whole and len(line[1]) < len(first[0]):
+            break
+    kind = _kind(decoded("".join(lines))) if len(lines) > 1 and (not whole or size == room) else None
+    return kind and (kind, at)
+
+
+def _inside(m: re.Match, spans: list[tuple[str, int, int]]) -> bool:
+    return any(a <= m.start() < b for _, a, b in spans)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed."""
     found = []
@@ -116,16 +176,26 @@ def find(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "." in text and "ey" in text:
         found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if signed_token(m[1], m[2])]
-    for m in ENCODED.finditer(text):
-        if data := decoded(m[0]):
-            kind = "der" if der_private_key(data) else "openssh" if openssh_private_key(data) else None
-            if kind:
-                found.append((kind, m.start(), m.end()))
+    armoured = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = decoded(re.sub(r"\s", "", m[2]))
-            if data and (der_private_key(data) or openssh_private_key(data)):
-                found.append(("pem", m.start(), m.end()))
+            data = decoded(re.sub(r"\s|\\+[rn]", "", m[3]))
+            # with such a header the body is a cipher's output, built like nothing
+            if data and ("Proc-Type:" in m[2] and "ENCRYPTED" in m[2] or _kind(data)):
+                armoured.append(("pem", m.start(), m.end()))
+    found += armoured
+    done = 0
+    for m in ENCODED.finditer(text):
+        if m.start() < done:
+            continue
+        if kind := _kind(decoded(m[0])):
+            # a container may go on: it doesn't say its length
+            more = _wrapped(text, m) if kind == "openssh" and not _inside(m, armoured) else None
+            done = more[1] if more else m.end()
+            found.append((kind, m.start(), done))
+        elif not _inside(m, armoured) and (more := _wrapped(text, m)):
+            done = more[1]
+            found.append((more[0], m.start(), done))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

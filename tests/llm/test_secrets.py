@@ -78,3 +78,42 @@ def test_odd_rows(spark):
 def test_redaction(spark, text, want):
     docs = secrets.scan(spark.createDataFrame([(text,)], "text string"))
     assert secrets.redact(docs).first().text == want
+
+
+def wrapped(text, by):
+    return by.join(text[i : i + 64] for i in range(0, len(text), 64))
+
+
+PBES2 = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, bytes(range(200))))
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, SSH, PBES2])
+def test_contexts_of_keys(data):
+    text = base64.b64encode(data).decode()
+    kind = "openssh" if data is SSH else "der"
+    for before in ("PRIVATE_KEY=", "key=", 'key="', "x==", '"\\n'):
+        for value in (text, data.hex()):
+            at = len(before)
+            assert (kind, at, at + len(value)) in secrets.find(f"{before}{value}\nother words"), (before, value)
+    for by in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n"):
+        value = wrapped(text, by)
+        assert (kind, 4, 4 + len(value)) in secrets.find(f"key={value}; other words"), by
+        if data is not SSH:
+            assert (kind, 4, 4 + len(value)) in secrets.find(f"key={value}\nother words"), by
+            assert (kind, 4, 4 + len(wrapped(data.hex(), by))) in secrets.find(f"key={wrapped(data.hex(), by)}\nabc"), by
+        pem = f"-----BEGIN PRIVATE KEY-----{by}{value}{by}-----END PRIVATE KEY-----"
+        assert [s for s in secrets.find(f'"{pem}"') if s[0] in ("pem", "der", "openssh")][0] == ("pem", 1, 1 + len(pem)), by
+
+
+def test_armour_with_headers_and_encryption():
+    value = wrapped(base64.b64encode(bytes(range(7, 199))).decode(), "\n")
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011223344556677"
+    for by in ("\n", "\\n"):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\n{headers}\n\n{value}\n-----END RSA PRIVATE KEY-----".replace("\n", by)
+        assert ("pem", 2, 2 + len(pem)) in secrets.find(f"k {pem} z")
+        plain_body = pem.replace(headers.replace("\n", by), "Comment: none")
+        assert not [s for s in secrets.find(plain_body) if s[0] == "pem"]
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{wrapped(base64.b64encode(PBES2).decode(), chr(10))}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert ("pem", 0, len(pem)) in secrets.find(pem)
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
+    assert not [s for s in secrets.find(base64.b64encode(digest).decode()) if s[0] == "der"]
