@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,27 +40,76 @@ def frechet_m(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.get(table, F.size(b) - 1))
 
 
+def _radians(column: pa.ListArray) -> list[np.ndarray]:
+    """Latitudes and longitudes of each path, a row each."""
+    both = np.radians(np.stack([column.values.field(c).to_numpy(zero_copy_only=False) for c in ("lat", "lng")]))
+    ends = column.offsets.to_numpy()
+    return [both[:, i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _frechet(a: np.ndarray, b: np.ndarray, most_m: float) -> float | None:
+    """frechet_m by anti-diagonals of the coupling table; None as soon as it must exceed ``most_m``."""
+    n, m = a.shape[1], b.shape[1]
+    b = b[:, ::-1]
+    older, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # at i + 1: the diagonal's cell in row i
+    for k in range(n + m - 1):
+        lo, hi = max(0, k - m + 1), min(k, n - 1) + 1
+        p, q = a[:, lo:hi], b[:, m - 1 - k + lo : m - 1 - k + hi]
+        h = np.sin((q[0] - p[0]) / 2) ** 2 + np.cos(p[0]) * np.cos(q[0]) * np.sin((q[1] - p[1]) / 2) ** 2
+        metres = 2 * geo.EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+        best = np.minimum(np.minimum(last[lo:hi], last[lo + 1 : hi + 1]), older[lo:hi]) if k else 0.0
+        older, last = last, np.full(n + 1, np.inf)
+        last[lo + 1 : hi + 1] = np.maximum(best, metres)
+        if min(last.min(), older.min() if k else np.inf) > most_m:
+            return None
+    return float(last[n]) if last[n] <= most_m else None
+
+
 def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
     """(a, b, metres): routes a < b within a Frechet distance.
 
-    Paths so close have starts and ends so close, so only paths whose starts lie in the
-    same or adjacent bands of latitude of that width, and likewise their ends, are
-    compared (a degree of longitude has no fixed width).
+    Paths so close have starts, ends and the sides of their bounding boxes so close. In
+    coordinates on the globe in metres, where no distance exceeds that along the surface,
+    pairs share or adjoin the start's cell of that width and the end's layer. Pairs are
+    told apart by these, and by the boxes, before the paths are fetched. Places without
+    coordinates are left out.
     """
-    degrees = most_m / 100_000  # a degree of latitude has over 110 km
-
-    def band(p: Column) -> Column:
-        return F.floor(p["lat"] / degrees)
-
-    sides = paths.filter(F.size("path") > 0).select(F.col(route).alias("r"), "path", band(F.get("path", F.lit(0))).alias("start"), band(F.get("path", F.size("path") - 1)).alias("stop"))
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    left = sides.select(F.col("r").alias("a"), F.col("path").alias("pa"), F.explode(F.transform(near, lambda i: F.col("start") + i)).alias("start"), "stop").withColumn("stop", F.explode(F.transform(near, lambda i: F.col("stop") + i)))
-    right = sides.select(F.col("r").alias("b"), F.col("path").alias("pb"), "start", "stop")
-    first, last = F.get("pa", F.lit(0)), F.get("pa", F.size("pa") - 1)
-    other_first, other_last = F.get("pb", F.lit(0)), F.get("pb", F.size("pb") - 1)
-    close = (geo.distance_m(first["lat"], first["lng"], other_first["lat"], other_first["lng"]) <= most_m) & (geo.distance_m(last["lat"], last["lng"], other_last["lat"], other_last["lng"]) <= most_m)
-    pairs = left.join(right, ["start", "stop"]).filter((F.col("a") < F.col("b")) & close)
-    return pairs.select("a", "b", frechet_m(F.col("pa"), F.col("pb")).alias("metres")).filter(F.col("metres") <= most_m)
+    radius, axes = F.lit(float(geo.EARTH_RADIUS_M)), "xyz"
+
+    def globe(p: Column) -> Column:
+        lat, lng = F.radians(p["lat"]), F.radians(p["lng"])
+        return F.struct((radius * F.cos(lat) * F.cos(lng)).alias("x"), (radius * F.cos(lat) * F.sin(lng)).alias("y"), (radius * F.sin(lat)).alias("z"))
+
+    located = paths.select(F.col(route).alias("r"), F.filter("path", lambda p: p["lat"].isNotNull() & p["lng"].isNotNull()).alias("path")).filter(F.size("path") > 0)
+    sides = located.withColumn("at", F.transform("path", globe))
+    first, last = F.get("at", F.lit(0)), F.get("at", F.size("at") - 1)
+    box = F.array(*[end(F.col("at")[c]) for c in axes for end in (F.array_min, F.array_max)], *[p[c] for c in axes for p in (first, last)])
+    # a hair wider, for rounding
+    width = most_m + 0.01
+    keys = ["x", "y", "z", "stop"]
+    sides = sides.select("r", box.alias("box"), *[F.floor(first[c] / width).alias(c) for c in axes], F.floor(last["z"] / width).alias("stop"))
+    left = sides.select(F.col("r").alias("a"), F.col("box").alias("box_a"), *keys)
+    for c in keys:
+        left = left.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    right = sides.select(F.col("r").alias("b"), F.col("box").alias("box_b"), *[F.col(c).alias(f"{c}_b") for c in keys])
+    near = F.col("a") < F.col("b")
+    for c in keys:
+        near &= F.col(c) == F.col(f"{c}_b")
+    for i in range(12):
+        near &= F.abs(F.get("box_a", F.lit(i)) - F.get("box_b", F.lit(i))) <= width
+    pairs = left.join(right, near).select("a", "b")
+    # few bytes but much work, so by number and not by size
+    tasks = 4 * paths.sparkSession.sparkContext.defaultParallelism
+    pairs = pairs.join(located.select(F.col("r").alias("a"), F.col("path").alias("pa")), "a").join(located.select(F.col("r").alias("b"), F.col("path").alias("pb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_frechet(x, y, most_m) for x, y in zip(_radians(batch.column(2)), _radians(batch.column(3)), strict=True)]
+            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "metres"])
+            yield kept.filter(pa.array([x is not None for x in found], pa.bool_()))
+
+    kind = paths.schema[route].dataType.simpleString()
+    return pairs.select("a", "b", "pa", "pb").repartition(tasks, "a", "b").mapInArrow(run, f"a {kind}, b {kind}, metres double")
 
 
 def clusters(routes: DataFrame, links: DataFrame, route: str, fewest: int = 3) -> DataFrame:

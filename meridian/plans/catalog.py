@@ -515,9 +515,8 @@ def meeting_speed(spark, sf_dir):
 
 
 def _paths(spark, sf_dir) -> DataFrame:
-    """Each user's eight first places, shifted by hub only, as a short path."""
-    p = fixtures.pings(spark, sf_dir, fixtures.MOTION)
-    return paths.reconstruct(p, "user_id", "event_id").select("user_id", F.slice("path", 1, 8).alias("path"))
+    """Each user's whole path."""
+    return paths.reconstruct(fixtures.pings(spark, sf_dir, fixtures.MOTION), "user_id", "event_id")
 
 
 @query("route_reconstruction", f"with {MOTION} select user_id, count(*) as n, string_agg(round(lng, 6) || ' ' || round(lat, 6), ',' order by event_time, event_id) as path from pings group by user_id")
@@ -530,10 +529,10 @@ def route_reconstruction(spark, sf_dir):
 
 @query("path_clusters")
 def path_clusters(spark, sf_dir):
-    """Density clusters of short paths by discrete Frechet distance, with each cluster's medoid."""
-    short = stored(_paths(spark, sf_dir), "paths")
-    links = stored(paths.similar(short, "user_id", 170.0), "links")
-    members = stored(paths.clusters(short, links, "user_id", 3), "members")
+    """Density clusters of whole paths by discrete Frechet distance, with each cluster's medoid."""
+    whole = stored(_paths(spark, sf_dir), "paths")
+    links = stored(paths.similar(whole, "user_id", 170.0), "links")
+    members = stored(paths.clusters(whole, links, "user_id", 3), "members")
     central = paths.medoids(members, links, "user_id").select("cluster", F.col("user_id").alias("medoid"), "n")
     return members.join(central, "cluster", "left").select("user_id", "cluster", "medoid", "n")
 

@@ -226,3 +226,28 @@ def test_messages(spark):
     assert wire.encode(again, "id").columns == ["key", "value"]
     bad = wire.decode(spark.createDataFrame([("{",), ("[]",), (None,), ('{"id": 5}',)], "value string"))
     assert [r.id for r in bad.collect()] == [None, None, None, "5"]
+
+
+def test_similar_against_every_pair(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for i in range(40):
+        lat, lng = ((37.5, 127.0), (0.0, 179.9999), (-0.0001, -179.9999), (89.9995, 10.0))[i % 4]
+        path = [(lng + k * 0.0004 + draw.uniform(0, 0.0011), lat + draw.uniform(0, 0.0011) * (lat < 89)) for k in range(draw.randint(9, 14))]
+        rows.append((i, [(x - 360 if x > 180 else x, y) for x, y in path]))
+    table = spark.createDataFrame(rows, "r long, path array<struct<lng: double, lat: double>>")
+    pairs = table.selectExpr("r as a", "path as pa").join(table.selectExpr("r as b", "path as pb"), F.expr("a < b"))
+    every = pairs.select("a", "b", paths.frechet_m(F.col("pa"), F.col("pb")).alias("m")).filter("m <= 170").collect()
+    got = {(r.a, r.b): r.metres for r in paths.similar(table, "r", 170.0).collect()}
+    assert len(every) > 20
+    assert got == {(r.a, r.b): pytest.approx(r.m, abs=1e-6) for r in every}
+
+
+def test_paths_are_whole(spark):
+    from meridian.plans import catalog, fixtures
+
+    sf_dir = "/root/testdata/sf0.001"
+    places = {r.user_id: r["count"] for r in fixtures.events(spark, sf_dir).groupBy("user_id").count().collect()}
+    assert {r.user_id: len(r.path) for r in catalog._paths(spark, sf_dir).collect()} == places
