@@ -1,26 +1,31 @@
-"""Scores by a gated recurrent language model with a class-factored output.
+"""Scores by a gated recurrent language model with a class-factored output softmax.
 
-A word's probability is P(its class | all words before it in the text) * P(word | class).
-The first factor is a softmax over CLASSES from a gated recurrent net, trained in numpy by
-truncated backpropagation; its state is carried across windows, so a text is scored
-whole. The second is a softmax over the class's words whose weights are biases only:
-log(c+1), with c the word's count in all training tokens, and one more entry for words
-not seen.
+A word's probability is P(its class | all before it) * P(word | class, all before it). Both
+factors are softmaxes over the state of a gated recurrent net that reads the words
+themselves. The net is trained in numpy by truncated backpropagation; its state is carried
+across windows, so a text is scored whole.
+
+The net's vocabulary are the MODELLED most frequent words of all training documents, in
+WORD_CLASSES classes cut by frequency (equal shares of the square roots of counts). Every
+other word is one of RARE_CLASSES classes by its ending; the net gives that class, and
+within it a word has the share (c+1) / (sum of all c+1 there, and 1 for words not seen).
 
 Counts come from all training documents and stay a distributed table. The most frequent
-words (at most KNOWN of at most WORD_BYTES bytes, which bounds them to 20 MB) are
-broadcast; the counts of other words reach the documents by a join on the word. The SINGLE
-most frequent words of all training documents have a class of their own.
-
-The net learns from all training documents too. It starts on a bounded sample (FIT_DOCS
-documents of lowest hash, of at most FIT_CHARS characters each, up to FIT_TOKENS tokens);
-then every task goes once through its own part of the documents from there, and the
-tasks' weights are averaged by their tokens.
+words (at most KNOWN) are broadcast; counts of other words reach the documents by a join.
+A word of more than WORD_BYTES bytes goes by its digest, which bounds what is broadcast to
+about 20 MB.
+
+The net learns from all training documents, each once. They are dealt by a hash of id and
+text to shards of about SHARD tokens (so the number of shards grows with the corpus, and
+depends on nothing else). In each of ROUNDS rounds every shard goes on from the common net
+through its part of the documents, in order of that hash, and the shards' weights are
+averaged by their tokens. So scores don't depend on how the table is partitioned.
 """
 
 from __future__ import annotations
 
 import copy
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -33,150 +38,259 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, stored, table, text_bytes, with_columns
+from .common import chunks, crc_mod, fresh, stored, table, text_bytes, with_columns
 
 FOLDS, HELD_OUT = 7, 2
 KNOWN, WORD_BYTES = 1 << 18, 64
 #: distinct words that a task counts before it hands them on
 COUNTED = 300_000
-SINGLE, BY_ENDING = 40, 40
-CLASSES = 1 + SINGLE + BY_ENDING
-HIDDEN, WINDOW, STREAMS = 16, 32, 64
-FIT_DOCS, FIT_CHARS, FIT_TOKENS, EPOCHS = 2000, 200_000, 600_000, 3
-#: rows of the stream, and rate, when a task goes through its part
-WIDE, GENTLE = 512, 0.005
+MODELLED, WORD_CLASSES, RARE_CLASSES = 4096, 64, 16
+HIDDEN, WINDOW, STREAMS = 16, 32, 512
+#: states whose outputs are computed together
+BLOCK = 1024
+SHARD, ROUNDS = 4_000_000, 2
+#: learning rate of each round
+RATES = (0.03, 0.015)
 #: tokens that a task holds at once: side by side, long texts don't run alone
-HELD = 4_000_000
-#: averaged weights are summed as whole numbers of this, so the order of tasks doesn't show
+HELD = 2_000_000
+#: averaged weights are summed as whole numbers of this, so the order of shards doesn't show
 GRAIN = 2.0**-20
+#: pieces that the weights are summed in
+PIECES = 16
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-#: the token that ends a text (no word is empty), and its class
-END, END_CLASS = b"", 0
+#: the token that ends a text (no word is empty), and its code
+END, END_CODE = b"", 0
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+    """Lower-cased words; one of more than WORD_BYTES bytes as a space (no word has one) and its digest."""
+    words = text.translate(FOLD).split()
+    if len(text) > WORD_BYTES and max(map(len, words), default=0) > WORD_BYTES:
+        return [w if len(w) <= WORD_BYTES else b" " + hashlib.sha256(w).digest() for w in words]
+    return words
+
+
+@dataclass
+class Vocabulary:
+    """Codes: 0 is the end of a text, then the modelled words, most frequent first, then the rare classes."""
+
+    words: list[bytes]
+    #: first code of each class, and one past the last; rare classes and the end hold one code each
+    begins: np.ndarray
+    rare: int = RARE_CLASSES
+
+    @classmethod
+    def of(cls, counted: list[tuple[bytes, int]], classes: int = WORD_CLASSES, rare: int = RARE_CLASSES) -> Vocabulary:
+        """From the words to model with their counts, most frequent first."""
+        n = len(counted)
+        share = np.cumsum(np.sqrt(np.array([c for _, c in counted], float)))
+        cuts = np.searchsorted(share, share[-1] * np.arange(1, classes) / classes) if n else np.zeros(0, np.int64)
+        begins = np.unique(np.r_[0, 1, 1 + cuts, 1 + n + np.arange(rare + 1)])
+        return cls([w for w, _ in counted], begins, rare)
+
+    @property
+    def size(self) -> int:
+        return 1 + len(self.words) + self.rare
+
+    def rare_code(self, word: bytes) -> int:
+        return 1 + len(self.words) + zlib.crc32(word[-3:]) % self.rare
 
 
 class Net:
-    """The recurrent net over classes."""
+    """The recurrent net over a vocabulary's codes. Arrays of states hold a column for each text."""
 
-    def __init__(self, classes: int = CLASSES, hidden: int = HIDDEN, seed: int = 1):
+    def __init__(self, begins: np.ndarray, hidden: int = HIDDEN, counts: np.ndarray | None = None, seed: int = 1):
         draw = np.random.default_rng(seed)
-        self.x = draw.normal(0, 0.1, (classes, 3 * hidden)).astype(np.float32)
-        self.u = draw.normal(0, 0.2, (hidden, 3 * hidden)).astype(np.float32)
-        self.v = draw.normal(0, 0.1, (hidden, classes)).astype(np.float32)
-        self.b = np.zeros(classes, np.float32)
+        self.begins = np.asarray(begins, np.int64)
+        codes, classes = int(self.begins[-1]), len(self.begins) - 1
+        self.class_of = np.repeat(np.arange(classes), np.diff(self.begins))
+
+        def drawn(spread: float, *shape: int) -> np.ndarray:
+            return draw.normal(0, spread, shape).astype(np.float32)
+
+        #: what a code adds to the gates: its embedding, times p, and g
+        self.e, self.p, self.g = drawn(0.3, codes, hidden), drawn(0.3, 3 * hidden, hidden), np.zeros((3 * hidden, 1), np.float32)
+        self.u = drawn(0.2, 3 * hidden, hidden)
+        #: outputs of classes, and of the codes in them
+        self.v, self.b = drawn(0.1, classes, hidden), np.zeros((classes, 1), np.float32)
+        self.w, self.a = drawn(0.1, codes, hidden), np.zeros((codes, 1), np.float32)
+        if counts is not None:  # begin as unigrams
+            some = np.asarray(counts, float) + 1
+            self.a[:, 0] = np.maximum(np.log(some / some.max()), -16)
+            some = np.add.reduceat(some, self.begins[:-1])
+            self.b[:, 0] = np.maximum(np.log(some / some.max()), -16)
 
     def weights(self) -> list[np.ndarray]:
-        return [self.x, self.u, self.v, self.b]
+        return [self.e, self.p, self.g, self.u, self.v, self.b, self.w, self.a]
 
     def step(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state after reading the class before, and what backpropagation needs."""
-        n = h.shape[1]
-        gx, gh = self.x[before], h @ self.u
-        gates = np.tanh((gx[:, : 2 * n] + gh[:, : 2 * n]) * 0.5) * 0.5 + 0.5  # the logistic function
-        z, r, inner = gates[:, :n], gates[:, n:], gh[:, 2 * n :]
-        new = np.tanh(gx[:, 2 * n :] + r * inner)
-        return new + z * (h - new), z, r, inner, new
-
-    def logits(self, states: np.ndarray) -> np.ndarray:
-        """Of every class; states are within -1..1 and fit() bounds v and b, so exp() can't overflow."""
-        found = states @ self.v
-        found += self.b
-        return found
+        """New state after reading the codes before, and what backpropagation needs."""
+        n = len(h)
+        gx = self.p @ self.e[before].T
+        gx += self.g
+        gh = self.u @ h
+        gates = gx[: 2 * n]
+        gates += gh[: 2 * n]
+        gates *= 0.5  # the logistic function by tanh
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        z, r, inner = gates[:n], gates[n:], gh[2 * n :]
+        new = r * inner
+        new += gx[2 * n :]
+        np.tanh(new, out=new)
+        found = h - new
+        found *= z
+        found += new
+        return found, z, r, inner, new
+
+    def _sorted(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """Order of the targets by code, and (begin, end, first code, end) of each class of two codes or more."""
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        edges = np.searchsorted(target[order], self.begins)
+        some = np.flatnonzero((edges[1:] > edges[:-1]) & (np.diff(self.begins) > 1))
+        return order, [(int(edges[k]), int(edges[k + 1]), int(self.begins[k]), int(self.begins[k + 1])) for k in some]
 
     def log_likelihood(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(target class) after each state."""
-        found = self.logits(states)
-        own = found[np.arange(len(target)), target]
-        return own - np.log(np.exp(found, out=found).sum(axis=1))
+        """log P(target code) after each state; clipped weights and states within -1..1 keep exp() finite."""
+        kind, out = self.class_of[target], np.empty(len(target))
+        for at in range(0, len(target), BLOCK):
+            found = self.v @ states[:, at : at + BLOCK]
+            found += self.b
+            own = found[kind[at : at + BLOCK], np.arange(found.shape[1])]
+            out[at : at + BLOCK] = own - np.log(np.exp(found, out=found).sum(axis=0))
+        order, parts = self._sorted(target)
+        states, target = states[:, order], target[order]
+        for i, j, low, high in parts:
+            found = self.w[low:high] @ states[:, i:j]
+            found += self.a[low:high]
+            own = found[target[i:j] - low, np.arange(j - i)]
+            out[order[i:j]] += own - np.log(np.exp(found, out=found).sum(axis=0))
+        return out
 
-    def fit(self, stream: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, rows: int = STREAMS) -> None:
-        """Truncated backpropagation over a stream of texts, each ended by END_CLASS."""
+    def fit(self, stream: np.ndarray, rate: float, rows: int = STREAMS) -> None:
+        """Truncated backpropagation, once through a stream of coded texts, each ended by END_CODE."""
         rows = min(rows, max(1, len(stream) // WINDOW))
         length = -(-len(stream) // rows)
         if not length:
             return
         # filled up to whole rows; what fills isn't learned
-        target = np.append(stream, np.full(rows * length - len(stream), END_CLASS, stream.dtype)).reshape(rows, length).astype(np.int64)
-        real = (np.arange(target.size) < len(stream)).reshape(rows, length)
-        before = np.c_[np.full(rows, END_CLASS), target[:, :-1]]
-        before[1:, 0] = target[:-1, -1]
+        target = np.append(stream, np.full(rows * length - len(stream), END_CODE, stream.dtype)).reshape(rows, length).T.astype(np.int64)
+        real = (np.arange(target.size) < len(stream)).reshape(rows, length).T
+        before = np.r_[np.full((1, rows), END_CODE), target[:-1]]
+        before[0, 1:] = target[-1, :-1]
         weights = self.weights()
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-        done, total = 0, epochs * math.ceil(length / WINDOW)
-        for _ in range(epochs):
-            h = np.zeros((rows, self.u.shape[0]), np.float32)
-            for at in range(0, length, WINDOW):
-                gradients, h = self._window(before[:, at : at + WINDOW], target[:, at : at + WINDOW], h, real[:, at : at + WINDOW])
-                norm = math.sqrt(sum(float((g * g).sum()) for g in gradients))
-                done += 1
-                for w, g, a, b in zip(weights, gradients, first, second, strict=True):
-                    g = g * min(1.0, 1.0 / max(norm, 1e-9))
-                    a += 0.1 * (g - a)
-                    b += 0.01 * (g * g - b)
-                    w -= rate * (1 - 0.9 * done / total) * (a / (1 - 0.9**done)) / (np.sqrt(b / (1 - 0.99**done)) + 1e-8)
-                np.clip(self.v, -64 / len(self.v), 64 / len(self.v), out=self.v)
-                np.clip(self.b, -16, 16, out=self.b)
-
-    def _window(self, before: np.ndarray, target: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Gradients of the mean loss over a window's real targets (all by default), and the state after it."""
-        steps, n = before.shape[1], self.u.shape[0]
+        h = np.zeros((self.u.shape[1], rows), np.float32)
+        total, most = math.ceil(length / WINDOW), 64 / self.u.shape[1]
+        for done, at in enumerate(range(0, length, WINDOW), 1):
+            gradients, h = self.window(before[at : at + WINDOW], target[at : at + WINDOW], h, real[at : at + WINDOW])
+            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in gradients))
+            size = np.float32(rate * (1 - 0.8 * done / total) * math.sqrt(1 - 0.99**done) / (1 - 0.9**done))
+            scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            for w, g, a, b in zip(weights, gradients, first, second, strict=True):
+                g *= scale
+                a *= np.float32(0.9)
+                a += np.float32(0.1) * g
+                g *= g
+                b *= np.float32(0.99)
+                b += np.float32(0.01) * g
+                np.sqrt(b, out=g)
+                g += np.float32(1e-7)
+                np.divide(a, g, out=g)
+                g *= size
+                w -= g
+            for w, bound in ((self.v, most), (self.w, most), (self.b, 16), (self.a, 16)):
+                np.clip(w, -bound, bound, out=w)
+
+    def window(self, before: np.ndarray, target: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Gradients of the mean loss over a window's real targets (all by default), and the state after it.
+
+        before and target: codes, a row for each step.
+        """
+        (steps, rows), n = before.shape, len(h)
+        keeps = (before != END_CODE).astype(h.dtype)
         kept = []
         for t in range(steps):
-            keep = (before[:, t] != END_CLASS).astype(np.float32)[:, None]
-            start = h * keep
-            h, *rest = self.step(before[:, t], start)
-            kept.append((keep, start, h, *rest))
-        states = np.stack([k[2] for k in kept])
-        flat = self.logits(states.reshape(-1, n))
-        np.exp(flat, out=flat)
-        share = np.full(len(flat), 1 / target.size, flat.dtype) if real is None or real.all() else (real.T.ravel() / real.sum()).astype(flat.dtype)
-        flat *= (share / flat.sum(axis=1))[:, None]
-        flat[np.arange(len(flat)), target.T.ravel()] -= share
-        dv, db, dstates = states.reshape(-1, n).T @ flat, flat.sum(0), (flat @ self.v.T).reshape(states.shape)
-        du, later = np.zeros_like(self.u), np.zeros_like(h)
-        inputs = np.empty((steps, len(h), 3 * n), self.x.dtype)
+            start = h * keeps[t]
+            h, *rest = self.step(before[t], start)
+            kept.append((start, h, *rest))
+        states, goal = np.concatenate([k[1] for k in kept], axis=1), target.ravel()
+        whole = real is None or bool(real.all())
+        share = np.full(len(goal), 1 / len(goal), h.dtype) if whole else (real.ravel() / max(1, real.sum())).astype(h.dtype)
+        kind, dstates = self.class_of[goal], np.empty_like(states)
+        dv, db, dw, da = (np.zeros_like(x) for x in (self.v, self.b, self.w, self.a))
+        for at in range(0, len(goal), BLOCK):
+            own, mine = states[:, at : at + BLOCK], share[at : at + BLOCK]
+            flat = self.v @ own
+            flat += self.b
+            np.exp(flat, out=flat)
+            flat *= mine / flat.sum(axis=0)
+            flat[kind[at : at + BLOCK], np.arange(len(mine))] -= mine
+            dv += flat @ own.T
+            db += flat.sum(axis=1, keepdims=True)
+            dstates[:, at : at + BLOCK] = self.v.T @ flat
+        order, parts = self._sorted(goal)
+        sorted_states, goal, share, more = states[:, order], goal[order], share[order], np.zeros_like(states)
+        for i, j, low, high in parts:
+            own, mine = sorted_states[:, i:j], share[i:j]
+            flat = self.w[low:high] @ own
+            flat += self.a[low:high]
+            np.exp(flat, out=flat)
+            flat *= mine / flat.sum(axis=0)
+            flat[goal[i:j] - low, np.arange(j - i)] -= mine
+            dw[low:high], da[low:high] = flat @ own.T, flat.sum(axis=1, keepdims=True)
+            more[:, i:j] = self.w[low:high].T @ flat
+        dstates[:, order] += more
+        dp, dg, du, later = np.zeros_like(self.p), np.zeros_like(self.g), np.zeros_like(self.u), np.zeros_like(h)
+        inputs = np.empty((steps, rows, n), h.dtype)
+        gates = np.empty((3 * n, rows), h.dtype)
         for t in range(steps - 1, -1, -1):
-            keep, start, _, z, r, inner, new = kept[t]
-            dh = dstates[t] + later
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz, dr = dh * (start - new) * z * (1 - z), dnew * inner * r * (1 - r)
-            inputs[t] = np.concatenate([dz, dr, dnew], 1)
-            gh = np.concatenate([dz, dr, dnew * r], 1)
-            du += start.T @ gh
-            later = (dh * z + gh @ self.u.T) * keep
-        read = before.T.ravel()
+            start, _, z, r, inner, new = kept[t]
+            dh = dstates[:, t * rows : (t + 1) * rows] + later
+            dnew = dh * (1 - z)
+            dnew *= 1 - new * new
+            gates[:n] = dh * (start - new) * (z * (1 - z))
+            gates[n : 2 * n] = dnew * inner * (r * (1 - r))
+            gates[2 * n :] = dnew
+            dp += gates @ self.e[before[t]]
+            dg += gates.sum(axis=1, keepdims=True)
+            inputs[t] = gates.T @ self.p
+            gates[2 * n :] *= r
+            du += gates @ start.T
+            later = self.u.T @ gates
+            later += dh * z
+            later *= keeps[t]
+        read = before.ravel().astype(np.uint16)
         order = np.argsort(read, kind="stable")
-        kinds, begin = np.unique(read[order], return_index=True)
-        dx = np.zeros_like(self.x)
-        dx[kinds] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], begin)
-        return [dx, du, dv, db], h
+        codes, begin = np.unique(read[order], return_index=True)
+        de = np.zeros_like(self.e)
+        de[codes] = np.add.reduceat(inputs.reshape(-1, n)[order], begin)
+        return [de, dp, dg, du, dv, db, dw, da], h
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log-likelihood of the classes of each whole text (each ends in END_CLASS)."""
+        """Natural log-likelihood of the codes of each whole text (each ends in END_CODE)."""
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        sizes = np.array([len(texts[i]) for i in order])
+        sizes = np.array([len(texts[i]) for i in order], np.int64)
         begin = np.cumsum(sizes) - sizes
         flat = np.concatenate([texts[i] for i in order]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        total, h = np.zeros(len(texts)), np.zeros((len(texts), self.u.shape[0]), np.float32)
-        before = np.full(len(texts), END_CLASS)
-        for at in range(0, int(sizes.max(initial=0)), WINDOW):
-            n = int((sizes > at).sum())
-            h, before, states, targets, owners = h[:n], before[:n], [], [], []
-            for t in range(at, min(at + WINDOW, int(sizes[0]))):
-                n = int(np.searchsorted(-sizes[: len(h)], -t))  # texts longer than t
-                if not n:
-                    break
-                h, before = self.step(before[:n], h[:n])[0], flat[begin[:n] + t]
-                states.append(h)
-                targets.append(before)
-                owners.append(np.arange(n))
-            for i in range(0, len(states), 8):
-                target = np.concatenate(targets[i : i + 8])
-                logs = self.log_likelihood(np.concatenate(states[i : i + 8]), target)
-                total += np.bincount(np.concatenate(owners[i : i + 8]), logs, len(total))
+        total, h = np.zeros(len(texts)), np.zeros((self.u.shape[1], len(texts)), np.float32)
+        before = np.full(len(texts), END_CODE)
+        states: list[np.ndarray] = []
+        targets: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        size, longest = 0, int(sizes.max(initial=0))
+        for t in range(longest):
+            n = int(np.searchsorted(-sizes[: len(before)], -t))  # texts longer than t
+            h, before = self.step(before[:n], np.ascontiguousarray(h[:, :n]))[0], flat[begin[:n] + t]
+            states.append(h)
+            targets.append(before)
+            owners.append(np.arange(n))
+            size += n
+            if size >= 4 * BLOCK or t == longest - 1:
+                logs = self.log_likelihood(np.concatenate(states, axis=1), np.concatenate(targets))
+                total += np.bincount(np.concatenate(owners), logs, len(total))
+                states, targets, owners, size = [], [], [], 0
         out = np.empty(len(texts))
         out[order] = total
         return out
@@ -186,37 +300,12 @@ class Net:
 class Model:
     tokens: int
     distinct: int
-    single: dict[bytes, int]
+    vocabulary: Vocabulary
     known: list[tuple[bytes, int]]
-    class_weight: np.ndarray
+    #: log10 of a rare class's counts, with one for each distinct word and one for words not seen
+    rare_weight: np.ndarray
     net: Net
 
-    def class_of(self, word: bytes) -> int:
-        return _class_of(word, self.single)
-
-
-def _class_of(word: bytes, single: dict[bytes, int]) -> int:
-    found = single.get(word)
-    return found if found is not None else 1 + SINGLE + zlib.crc32(word[-3:]) % BY_ENDING
-
-
-class Classes(dict):
-    """Classes of words, kept once looked up (as many as a task counts at once)."""
-
-    def __init__(self, single: dict[bytes, int]):
-        super().__init__()
-        self.single = single
-
-    def __missing__(self, word: bytes) -> int:
-        found = _class_of(word, self.single)
-        if len(self) >= COUNTED:
-            self.clear()
-        self[word] = found
-        return found
-
-    def of_text(self, text: bytes) -> bytes:
-        return bytes(map(self.__getitem__, words_of(text))) + bytes([END_CLASS])
-
 
 def count_words(training: DataFrame, text: str = "text") -> DataFrame:
     """(word binary, n): counts of words, and of the ends of texts (the empty word)."""
@@ -239,198 +328,253 @@ def count_words(training: DataFrame, text: str = "text") -> DataFrame:
     return training.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(training: DataFrame, net: Net, single: dict[bytes, int], text: str = "text") -> DataFrame:
-    """(at, n), from one pass over all training documents.
-
-    The rows are the weights of the net (its at-th; the last one is 1), each after a task
-    went once through its documents, times the task's tokens, in GRAINs, summed.
-    """
-    shared = training.sparkSession.sparkContext.broadcast((net, single))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kinds = copy.deepcopy(shared.value[0]), Classes(shared.value[1])
-        held: list[bytes] = []
-        size = total = 0
-
-        def fit() -> None:
-            own.fit(np.frombuffer(b"".join(held), np.uint8), 1, GENTLE, WIDE)
-
-        for batch in chunks(batches, text):
-            for t in text_bytes(batch, text):
-                held.append(kinds.of_text(t))
-                size += len(held[-1])
-            if size >= HELD:
-                fit()
-                held, size, total = [], 0, total + size
-        if size:
-            fit()
-        flat = np.append(np.concatenate([w.ravel() for w in own.weights()]).astype(np.float64), 1.0)
-        parts = np.rint(flat / GRAIN).astype(np.int64) * (total + size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts)], names=["at", "n"])
-
-    return training.select(text).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-
-
-def count_and_learn(training: DataFrame, net: Net, single: dict[bytes, int], text: str = "text") -> DataFrame:
-    """(word binary, at, n): count_words, with at = -1, and learn, with the empty word."""
-    counts = count_words(training, text).select("word", F.lit(-1).alias("at"), "n")
-    return counts.union(learn(training, net, single, text).select(F.lit(END).alias("word"), "at", "n"))
-
-
-def _averaged(net: Net, found: DataFrame) -> Net:
-    """The net with the mean weights of all tasks (as it is, if they saw nothing)."""
-    sums = [r.n for r in found.filter("at >= 0").orderBy("at").collect()]
-    if not sums or not sums[-1]:
-        return net
-    out, at = copy.deepcopy(net), 0
-    for w in out.weights():
-        w.ravel()[:] = np.array(sums[at : at + w.size], np.float64) / sums[-1]
-        at += w.size
-    return out
+def _modelled(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The words that the net tells apart: the most frequent in the whole table of counts."""
+    top = counts.filter(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(MODELLED).collect()
+    return [(bytes(r.word), r.n) for r in top]
 
 
 def _known(counts: DataFrame) -> list[tuple[bytes, int]]:
     """Words with a count over a threshold that at most KNOWN words reach, most frequent first."""
     level = F.floor(F.log2("n") * 16)
-    short = counts.filter(F.length("word").between(1, WORD_BYTES))
+    words = counts.filter(F.length("word") > 0)
     room, least = KNOWN, None
-    for found, n in sorted(map(tuple, short.groupBy(level.alias("level")).count().collect()), reverse=True):
+    for found, n in sorted(map(tuple, words.groupBy(level.alias("level")).count().collect()), reverse=True):
         room -= n
         if room < 0:
             break
         least = found
     if least is None:
         return []
-    return sorted(((bytes(r.word), r.n) for r in short.filter(level >= least).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
+    return sorted(((bytes(r.word), r.n) for r in words.filter(level >= least).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
-def _class_weights(counts: DataFrame, single: dict[bytes, int]) -> np.ndarray:
-    """log10 of tokens + distinct words + 1 of each class, over the whole table of counts."""
+def _rare_counts(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each rare class, and tokens + distinct words + 1, over the whole table of counts."""
+    first, modelled = 1 + len(vocabulary.words), set(vocabulary.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
+        total = np.zeros((vocabulary.rare, 2), np.int64)
         for batch in batches:
-            own = [END_CLASS if not w else _class_of(w, single) for w in batch.column(0).to_pylist()]
-            total += np.bincount(own, batch.column(1).to_numpy() + 1, CLASSES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(total)], names=["class", "n"])
-
-    weight = np.ones(CLASSES)
-    for k, n in counts.select("word", "n").mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n")).collect():
-        weight[k] += n
-    return np.log10(weight)
-
-
-def _singles(counts: DataFrame) -> dict[bytes, int]:
-    """The words with a class of their own: the most frequent in the whole table of counts."""
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(SINGLE).collect()
-    return {bytes(r.word): 1 + i for i, r in enumerate(top)}
-
-
-def _start(training: DataFrame, single: dict[bytes, int], doc_id: str, text: str) -> Net:
-    """A first net, from the bounded sample."""
-    chosen = training.filter(F.length(text) <= FIT_CHARS).select(F.col(doc_id).alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(FIT_DOCS)
-    rows = training.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("chosen"), "left_semi").filter(F.length(text) <= FIT_CHARS)
-    found = sorted((zlib.crc32(str(r[0]).encode()), str(r[0]), r[1].encode()) for r in rows.collect())
-    kinds, texts, size = Classes(single), [], 0
-    for _, _, data in found:
-        if size >= FIT_TOKENS:
-            break
-        texts.append(kinds.of_text(data))
-        size += len(texts[-1])
-    net = Net()
-    net.fit(np.frombuffer(b"".join(texts), np.uint8))
-    return net
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w and w not in modelled:
+                    total[vocabulary.rare_code(w) - first] += (n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(vocabulary.rare, dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["at", "n", "words"])
+
+    tokens, weight = np.zeros(vocabulary.rare), np.ones(vocabulary.rare)
+    rows = counts.select("word", "n").mapInArrow(run, "at int, n long, words long").groupBy("at").agg(F.sum("n"), F.sum("words"))
+    for at, n, words in rows.collect():
+        tokens[at] = n
+        weight[at] += n + words
+    return tokens, weight
+
+
+def coded(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per row of docs: row (number), the id, n_tokens, n_known, known_sum, part_sum, rare, codes, h, learn.
+
+    codes are the text's as little-endian uint16, the end included. known_sum adds up
+    log10(c+1) of the words found in the broadcast table and of the end; part_sum does so
+    for those outside the net's vocabulary, less rare_weight of all words outside it. rare
+    lists the words found nowhere in that table. h is the hash that deals out the shards;
+    learn is false in the held-out fold and where there is no id.
+    """
+    rest = docs.select(doc_id, text, F.xxhash64(doc_id, text).alias("h"), F.coalesce(crc_mod(doc_id, FOLDS) != HELD_OUT, F.lit(False)).alias("learn"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.known, model.rare_weight))
+    kind = docs.schema[doc_id].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, known, rare_weight = shared.value
+        first = 1 + len(vocabulary.words)
+        place = {w: i for i, (w, _) in enumerate(known)}
+        log_count = np.log10(np.array([n for _, n in known] or [0], np.float64) + 1)
+        has = np.array([n > 0 for _, n in known] or [False])
+        own_code = {w: 1 + i for i, w in enumerate(vocabulary.words)}
+        code = np.array([own_code.get(w, 0) or (vocabulary.rare_code(w) if w else END_CODE) for w, _ in known] or [0], np.uint16)
+        get, row = place.get, TaskContext.get().partitionId() << 33
+        for batch in chunks(batches, text):
+            columns: list[list] = [[] for _ in range(6)]
+            for t in text_bytes(batch, text):
+                words = words_of(t)
+                words.append(END)
+                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                codes = code[at]
+                missed = np.flatnonzero(at < 0)
+                left = [words[i] for i in missed.tolist()]
+                if left:
+                    codes[missed] = [own_code.get(w, 0) or vocabulary.rare_code(w) for w in left]
+                    found = at[at >= 0]
+                else:
+                    found = at
+                logs = log_count[found]
+                part = float(logs[code[found] >= first].sum()) - float(rare_weight[codes[codes >= first] - first].sum())
+                columns[0].append(len(words))
+                columns[1].append(int(has[found].sum()))
+                columns[2].append(float(logs.sum()))
+                columns[3].append(part)
+                columns[4].append([{"word": w, "times": n} for w, n in Counter(left).items()])
+                columns[5].append(codes.astype("<u2").tobytes())
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])), pa.binary()]
+            arrays = [pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(2), batch.column(3)]
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", doc_id, "n_tokens", "n_known", "known_sum", "part_sum", "rare", "codes", "h", "learn"])
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the table of counts, from the documents outside the held-out fold.
+    schema = f"row long, `{doc_id}` {kind}, n_tokens long, n_known long, known_sum double, part_sum double, rare array<struct<word:binary,times:bigint>>, codes binary, h long, learn boolean"
+    # rows get numbers that stay, as the table is written
+    return stored(rest.mapInArrow(run, schema), "coded")
 
-    Documents without an id belong to no fold and aren't learned from. Null texts are
-    empty: only their end is counted.
+
+def _added(parts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n binary): the sums of arrays of int64, streamed in order of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in at), pa.array([total.tobytes()], pa.binary())], names=[*keys, "n"])
+
+        for batch in batches:
+            for *key, data in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if key != at:
+                    if at is not None:
+                        yield out()
+                    at, total = key, np.frombuffer(data, "<i8").copy()
+                else:
+                    total += np.frombuffer(data, "<i8")
+        if at is not None:
+            yield out()
+
+    return parts.select(*keys, "n").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join([*(f"{k} int" for k in keys), "n binary"]))
+
+
+def learn(texts: DataFrame, net: Net, shards: int, rate: float) -> Net:
+    """The mean net of all shards, each gone once through its texts (codes, h); net itself without texts.
+
+    Rows with equal id and text are neighbours in a shard and are learned from once there.
     """
-    training = docs.filter(crc_mod(doc_id, FOLDS) != HELD_OUT)
-    counts = stored(count_words(training, text), "counts")
-    single = _singles(counts)
-    net = _start(training, single, doc_id, text)
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Model(tokens, distinct, single, [(END, ends), *_known(counts)], _class_weights(counts, single), _averaged(net, learn(training, net, single, text))), counts
+    shared = texts.sparkSession.sparkContext.broadcast(net)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own, held, size, total, last = None, None, [], 0, 0, None
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row per row of docs.
+        def fit() -> None:
+            nonlocal held, size, total
+            own.fit(np.frombuffer(b"".join(held), "<u2"), rate)
+            held, size, total = [], 0, total + size
 
-    base_score is the text's log10 probability by add-one unigrams, score that by the
-    model. A null text is empty: its end is its one token.
+        def out() -> Iterator[pa.RecordBatch]:
+            fit()
+            flat = np.append(np.concatenate([w.ravel() for w in own.weights()]).astype(np.float64), 1.0)
+            whole = np.rint(flat / GRAIN).astype("<i8") * total
+            for i, part in enumerate(np.array_split(whole, PIECES)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shard % 64], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["piece", "bucket", "n"])
+
+        for batch in batches:
+            for number, h, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if number != shard:
+                    if shard is not None:
+                        yield from out()
+                    shard, own, total, last = number, copy.deepcopy(shared.value), 0, None
+                if (h, data) == last:
+                    continue
+                last = (h, data)
+                held.append(data)
+                size += len(data) // 2
+                if size >= SHARD:
+                    fit()
+        if shard is not None:
+            yield from out()
+
+    dealt = texts.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "codes").repartition(shards, "shard").sortWithinPartitions("shard", "h", "codes")
+    sums = _added(_added(dealt.mapInArrow(run, "piece int, bucket int, n binary"), "piece", "bucket"), "piece").orderBy("piece").collect()
+    flat = np.concatenate([np.frombuffer(r.n, "<i8") for r in sums]) if sums else np.zeros(0)
+    if not len(flat) or not flat[-1]:
+        return net
+    out, at = copy.deepcopy(net), 0
+    for w in out.weights():
+        w.ravel()[:] = flat[at : at + w.size] / flat[-1]
+        at += w.size
+    return out
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table of counts, and docs as coded, from the documents outside the held-out fold.
+
+    Documents without an id belong to no fold and aren't learned from. Null texts are
+    empty: only their end is counted.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    counts = stored(count_words(docs.filter(crc_mod(doc_id, FOLDS) != HELD_OUT), text), "counts")
+    tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
+    top = _modelled(counts)
+    vocabulary = Vocabulary.of(top)
+    rare, weight = _rare_counts(counts, vocabulary)
+    net = Net(vocabulary.begins, counts=np.r_[ends, [n for _, n in top], rare])
+    model = Model(tokens, distinct, vocabulary, [(END, ends), *_known(counts)], np.log10(weight), net)
+    texts = coded(docs, model, doc_id, text)
+    shards = max(1, math.ceil(tokens / SHARD))
+    for k in range(ROUNDS):
+        turn = F.pmod(F.shiftright("h", 32), F.lit(ROUNDS)) == k
+        model.net = learn(texts.filter(F.col("learn") & turn), model.net, shards, RATES[k])
+    return model, counts, texts
+
+
+def likely(texts: DataFrame, net: Net) -> DataFrame:
+    """texts with ``likely``: the net's log10 probability of the codes, instead of the codes."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
+    rest = fresh(texts, "likely")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = shared.value
-        place = {w: i for i, (w, _) in enumerate(own.known)}.get
-        count = np.array([n for _, n in own.known], np.int64)
-        kinds = np.array([END_CLASS, *(own.class_of(w) for w, _ in own.known[1:])], np.uint8)
-        row = TaskContext.get().partitionId() << 33
         waiting: list[pa.RecordBatch] = []
-        classes: list[np.ndarray] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            likely, at = own.net.score(classes) / math.log(10), 0
-            for batch in waiting:
-                yield with_columns(batch, [("likely", pa.float64(), pa.array(likely[at : at + batch.num_rows] + batch.column(5).to_numpy()))], ("weights",))
-                at += batch.num_rows
+            codes = [np.frombuffer(c, "<u2") for b in waiting for c in b.column(b.schema.get_field_index("codes")).to_pylist()]
+            found, at = shared.value.score(codes) / math.log(10), 0
+            for b in waiting:
+                yield with_columns(b, [("likely", pa.float64(), pa.array(found[at : at + b.num_rows]))], ("codes",))
+                at += b.num_rows
             waiting.clear()
-            classes.clear()
 
-        for batch in chunks(batches, text):
-            sums, rare = [], []
-            for t in text_bytes(batch, text):
-                words = words_of(t)
-                at = np.fromiter((place(w, -1) for w in words), np.int64, len(words))
-                kind = np.empty(len(words) + 1, np.uint8)
-                kind[:-1], kind[-1] = kinds[at], END_CLASS
-                missed = np.flatnonzero(at < 0)
-                left = [words[i] for i in missed.tolist()]
-                kind[missed] = [own.class_of(w) for w in left]
-                n = np.r_[count[at[at >= 0]], count[0]]
-                classes.append(kind)
-                size += len(kind)
-                sums.append((len(kind), int((n > 0).sum()), float(np.log10(n + 1.0).sum()), -float(own.class_weight[kind].sum())))
-                rare.append([{"word": w, "times": k} for w, k in Counter(left).items()])
-            n_tokens, n_known, known_sum, weights = (list(x) for x in zip(*sums, strict=True))
-            arrays = [
-                pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(batch.schema.get_field_index(doc_id)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                pa.array(known_sum, pa.float64()), pa.array(weights, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))),
-            ]
-            row += batch.num_rows
-            waiting.append(pa.RecordBatch.from_arrays(arrays, names=["row", doc_id, "n_tokens", "n_known", "known_sum", "weights", "rare"]))
+        for batch in chunks(batches, "codes"):
+            waiting.append(batch)
+            size += pa.compute.sum(pa.compute.binary_length(batch.column(batch.schema.get_field_index("codes")))).as_py() // 2
             if size >= HELD:
                 yield from out()
                 size = 0
         if waiting:
             yield from out()
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    # scored once; rows get numbers that stay, as the table is written
-    scored = stored(docs.select(doc_id, text).mapInArrow(run, f"row long, `{doc_id}` {kind}, n_tokens long, n_known long, known_sum double, rare array<struct<word:binary,times:bigint>>, likely double"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "codes")
+    return rest.mapInArrow(run, f"{schema}, likely double")
+
+
+def scores(texts: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row per row that was coded.
+
+    base_score is the text's log10 probability by add-one unigrams, score that by the
+    model. A null or empty text has one token, its end; texts of any length are scored
+    whole. Equal texts have equal scores but for rounding; extra columns of the documents
+    don't take part, so none can clash.
+    """
+    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
     rare = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_sum"))
-    whole = scored.drop("rare").join(rare, "row", "left")
-    log_counts = F.col("known_sum") + F.coalesce("more_sum", F.lit(0.0))
-    base = log_counts - F.col("n_tokens") * math.log10(model.tokens + model.distinct + 1)
+    whole = likely(texts.drop("rare", "h", "learn"), model.net).join(rare, "row", "left")
+    more = F.coalesce("more_sum", F.lit(0.0))
+    base = F.col("known_sum") + more - F.col("n_tokens") * math.log10(model.tokens + model.distinct + 1)
     return whole.select(
         doc_id, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (F.col("likely") + log_counts).alias("score"),
+        base.alias("base_score"), (F.col("likely") + F.col("part_sum") + more).alias("score"),
     )
 
 
+def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """scores() of other documents than those that train() has coded."""
+    return scores(coded(docs, model, doc_id, text), model, counts, doc_id)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = score(docs, *train(docs))
+    model, counts, texts = train(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held_out = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
-    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores(texts, model, counts).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op10_lm_score": query}

@@ -45,24 +45,52 @@ def test_query_against_brute_force(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_gradients():
-    net = lm_score.Net(5, 3, seed=4)
-    for name in "xuvb":
+SMALL = lm_score.Vocabulary.of([(b"a", 9), (b"b", 5), (b"c", 3), (b"d", 2), (b"e", 1)], classes=2, rare=2)
+NAMES = "epguvbwa"
+
+
+def small_net(**more):
+    net = lm_score.Net(SMALL.begins, 3, counts=np.arange(SMALL.size), seed=4, **more)
+    for name in NAMES:
         setattr(net, name, getattr(net, name).astype(np.float64))
+    return net
+
+
+def forward(net, text):
+    """Log-likelihood of a coded text, code by code."""
+    h, before, total = np.zeros(net.u.shape[1]), 0, 0.0
+    n = len(h)
+    for code in text:
+        code = int(code)
+        x, y = net.p.astype(float) @ net.e[before] + net.g[:, 0], net.u.astype(float) @ h
+        z, r = (1 / (1 + np.exp(-(x[i : i + n] + y[i : i + n]))) for i in (0, n))
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * y[2 * n :])
+        kind = int(np.searchsorted(net.begins, code, side="right")) - 1
+        logits = net.v @ h + net.b[:, 0]
+        total += logits[kind] - np.log(np.exp(logits).sum())
+        low, high = net.begins[kind], net.begins[kind + 1]
+        logits = net.w[low:high] @ h + net.a[low:high, 0]
+        total += logits[code - low] - np.log(np.exp(logits).sum())
+        before = code
+    return total
+
+
+def test_gradients():
+    net = small_net()
     draw = np.random.default_rng(2)
-    target = draw.integers(0, 5, (4, 6))
-    before = np.c_[np.zeros(4, int), target[:, :-1]]
-    start = draw.normal(size=(4, 3))
+    target = draw.integers(0, SMALL.size, (6, 4))
+    before = np.r_[np.zeros((1, 4), int), target[:-1]]
+    start = draw.normal(size=(3, 4))
 
     def loss():
         h, total = start, 0.0
         for t in range(6):
-            h = net.step(before[:, t], h * (before[:, t] != 0)[:, None])[0]
-            total -= net.log_likelihood(h, target[:, t]).sum()
+            h = net.step(before[t], h * (before[t] != 0))[0]
+            total -= net.log_likelihood(h, target[t]).sum()
         return total / target.size
 
-    gradients, _ = net._window(before, target, start)
-    for name, g in zip("xuvb", gradients, strict=True):
+    gradients, _ = net.window(before, target, start)
+    for name, g in zip(NAMES, gradients, strict=True):
         w = getattr(net, name)
         for _ in range(6):
             i = tuple(draw.integers(0, s) for s in w.shape)
@@ -74,73 +102,106 @@ def test_gradients():
             assert math.isclose((up - down) / 2e-5, g[i], rel_tol=1e-3, abs_tol=1e-7)
 
 
-def test_scores_do_not_depend_on_windows_or_company():
-    net = lm_score.Net()
+def test_scores_are_a_plain_forward_pass_in_any_company(monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
+    net = lm_score.Net(SMALL.begins, 16, counts=np.arange(SMALL.size))
     draw = np.random.default_rng(3)
-    texts = [np.r_[draw.integers(1, lm_score.CLASSES, n), 0].astype(np.uint8) for n in (0, 1, 5, 31, 32, 33, 100, 7)]
-
-    def alone(t):
-        h, before, total = np.zeros((1, lm_score.HIDDEN), np.float32), 0, 0.0
-        for k in t:
-            h = net.step(np.array([before]), h)[0]
-            total += float(net.log_likelihood(h, np.array([k]))[0])
-            before = k
-        return total
-
-    assert np.allclose(net.score(texts), [alone(t) for t in texts], rtol=1e-4)
-
-
-def test_refining_averages_tasks_and_helps(spark, monkeypatch):
-    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").repartition(3, "doc_id").sortWithinPartitions("doc_id")
-    monkeypatch.setattr(lm_score, "HELD", 100_000)
-    single = {w: 1 + i for i, w in enumerate([b"the", b"of", b"de", b"die"])}
-    kinds = lm_score.Classes(single)
-    texts = [np.frombuffer(kinds.of_text((r.text or "").encode()), np.uint8) for r in docs.filter("doc_id % 9 = 0").collect()]
-    start = lm_score.Net()
-    start.fit(np.concatenate(texts[:40]), 1)
-    one, two = (lm_score._averaged(start, lm_score.count_and_learn(docs, start, single)) for _ in range(2))
-    assert all(np.array_equal(a, b) for a, b in zip(one.weights(), two.weights(), strict=True))
-    assert one.score(texts).sum() > start.score(texts).sum()
+    texts = [np.r_[draw.integers(1, SMALL.size, n), 0].astype(np.uint16) for n in (0, 1, 5, 31, 32, 33, 300, 7)]
+    net.fit(np.concatenate(texts * 9), 0.02)
+    want = [forward(net, t) for t in texts]
+    assert np.allclose(net.score(texts), want, rtol=1e-5)
+    assert np.allclose([net.score([t])[0] for t in texts], want, rtol=1e-5)
+
+
+def test_history_tells_words_of_a_class_apart():
+    """a is followed by b, c by d; b and d are of one class."""
+    vocabulary = lm_score.Vocabulary([b"a", b"c", b"b", b"d"], np.array([0, 1, 2, 3, 5, 6]), 1)
+    net = lm_score.Net(vocabulary.begins)
+    assert net.class_of[3] == net.class_of[4]
+    one, two = np.array([1, 3, 0], np.uint16), np.array([2, 4, 0], np.uint16)
+    net.fit(np.concatenate([one, two] * 4000), 0.05, 64)
+    net.fit(np.concatenate([one, two] * 4000), 0.05, 64)
+    right, wrong = net.score([one, two]).sum(), net.score([np.array([1, 4, 0], np.uint16), np.array([2, 3, 0], np.uint16)]).sum()
+    assert right > wrong + 4
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 60_000)
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").filter("length(text) < 20000")
+    found = []
+    for n in (1, 4, 32):
+        model, counts, texts = lm_score.train(docs.repartition(n))
+        found.append(sorted((r.doc_id, r.score) for r in lm_score.scores(texts, model, counts).collect()))
+    for other in found[1:]:
+        for (a, x), (b, y) in zip(found[0], other, strict=True):
+            assert a == b and math.isclose(x, y, rel_tol=1e-6)
+
+
+def test_model_is_a_distribution(spark):
+    """Over all words of a rare class and one more for words not seen, probabilities add up to its share."""
+    rows = [(i, "a a a b b c word%d other%d" % (i, i % 7)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts, _ = lm_score.train(docs)
+    got = {bytes(r.word): r.n for r in counts.collect()}
+    modelled = set(model.vocabulary.words)
+    first = 1 + len(modelled)
+    for k in range(model.vocabulary.rare):
+        words = [w for w in got if w and w not in modelled and model.vocabulary.rare_code(w) == first + k]
+        assert math.isclose(10 ** model.rare_weight[k], 1 + sum(got[w] + 1 for w in words))
 
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "Word word\tWORD"), (3, "Word word\tWORD"), (4, "word other"), (None, "word only here"), (5, "a b " * 20000), (6, "x" * 5000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
-    got = lm_score.score(docs, *lm_score.train(docs)).collect()
+    got = lm_score.scores(*(lambda m, c, t: (t, m, c))(*lm_score.train(docs))).collect()
     same([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got], list(plain(rows)))
     none = docs.limit(0)
-    assert lm_score.score(none, *lm_score.train(none)).collect() == []
-    assert len(lm_score.score(docs, *lm_score.train(none)).collect()) == len(rows)
+    model, counts, texts = lm_score.train(none)
+    assert lm_score.scores(texts, model, counts).collect() == []
+    assert len(lm_score.score(docs, model, counts).collect()) == len(rows)
 
 
 def test_size_of_the_model():
-    assert (lm_score.SINGLE, lm_score.BY_ENDING, lm_score.HIDDEN) == (40, 40, 16)
+    assert (lm_score.MODELLED, lm_score.WORD_CLASSES, lm_score.RARE_CLASSES, lm_score.HIDDEN) == (4096, 64, 16, 16)
 
 
-def test_own_classes_count_all_training_documents(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "SINGLE", 2)
+def test_vocabulary_counts_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "MODELLED", 2)
     rows = [(i, "rare words here") for i in range(30)] + [(i, "long text " * 30000) for i in range(100, 130)]
-    model, _ = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert model.single == {b"long": 1, b"text": 2}
+    model, _, _ = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.vocabulary.words == [b"long", b"text"]
 
 
 def test_every_token_of_a_stream_is_learned(monkeypatch):
-    learned, window = [], lm_score.Net._window
+    learned, window = [], lm_score.Net.window
 
     def spy(self, before, target, h, real=None):
-        learned.extend(target[real].tolist() if real is not None else target.ravel().tolist())
+        learned.extend(target[real].tolist())
         return window(self, before, target, h, real)
 
-    monkeypatch.setattr(lm_score.Net, "_window", spy)
-    stream = np.random.default_rng(6).integers(0, lm_score.CLASSES, 64 * 40 + 39).astype(np.uint8)
-    lm_score.Net().fit(stream, 1)
+    monkeypatch.setattr(lm_score.Net, "window", spy)
+    stream = np.random.default_rng(6).integers(0, SMALL.size, 64 * 40 + 39).astype(np.uint16)
+    lm_score.Net(SMALL.begins).fit(stream, 0.01, 64)
     assert sorted(learned) == sorted(stream.tolist())
 
 
 def test_filled_places_have_no_gradient():
-    net, draw = lm_score.Net(5, 3, seed=4), np.random.default_rng(2)
-    target = draw.integers(1, 5, (2, 6))
-    before, h = np.c_[np.zeros(2, int), target[:, :-1]], np.zeros((2, 3), np.float32)
-    real = np.array([[True] * 6, [False] * 6])
-    for a, b in zip(net._window(before, target, h, real)[0], net._window(before[:1], target[:1], h[:1])[0], strict=True):
+    net, draw = small_net(), np.random.default_rng(2)
+    target = draw.integers(1, SMALL.size, (6, 2))
+    before, h = np.r_[np.zeros((1, 2), int), target[:-1]], np.zeros((3, 2))
+    real = np.array([[True, False]] * 6)
+    for a, b in zip(net.window(before, target, h, real)[0], net.window(before[:, :1], target[:, :1], h[:, :1])[0], strict=True):
         assert np.allclose(a, b, atol=1e-6)
+
+
+def test_repeated_rows_and_long_words(spark):
+    rows = [(1, "same words again")] * 500 + [(2, "x" * 100 + " " + "y" * 100), (3, "x" * 100)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string".replace("string", "long", 1))
+    model, counts, texts = lm_score.train(docs)
+    got = lm_score.scores(texts, model, counts).collect()
+    assert len(got) == len(rows)
+    assert len({(r.base_score, r.n_known) for r in got if r.doc_id == 1}) == 1
+    assert max(len(r.word) for r in counts.collect()) <= 64
+    named = docs.selectExpr("concat('n', doc_id) as doc_id", "text")
+    model, counts, texts = lm_score.train(named)
+    assert len(lm_score.scores(texts, model, counts).collect()) == len(rows)
