@@ -6,7 +6,12 @@ with t_1+...+t_m = distance-m+1, within t_i bits in at least one part i (a part
 t_i = -1 is never probed). Dynamic programming picks the thresholds, and a scan over m
 the number of parts, from candidate counts estimated on the bit statistics of all
 fingerprints. Each fingerprint is then filed under its value in each probed part and under
-all values within that part's threshold; what shares a file is compared in full.
+all values within half of that part's threshold (rounded up), so that two within the
+threshold meet half way; what shares a file is compared in full.
+
+near_duplicates() links fingerprints alone. similar_texts() plans for a similarity of the
+texts: it links by fingerprints of five-word shingles at a distance that most pairs of that
+similarity keep, and lets only links stand whose texts have it.
 """
 
 from __future__ import annotations
@@ -22,33 +27,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import chunks, fresh, stored, table, text_bytes, with_columns
+from .common import chunks, fresh, hot_values, spread_join, stored, table, text_bytes, with_columns
 
 BITS = 64
 #: A file with more fingerprints is compared in blocks of this many, by several tasks.
 BLOCK = 4096
 #: What comparing two fingerprints costs against filing one.
 PAIR_COST = 0.01
+#: Similarity that similar_texts() asks for, width of its shingles, and the most bits that may
+#: differ in the fingerprint and in a second one (of 64 bits each; at a similarity of 0.8
+#: about 10 differ in either).
+SIMILAR, WIDE, REACH, CHECK = 0.8, 5, 11, 20
+#: Bytes of shingle hashes that are verified together.
+VERIFIED = 1 << 24
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the XXH64 of word shingles; 0 without words."""
+def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included (fewer words: the whole sequence; none: none)."""
     words = text.translate(FOLD).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()][:n]
     ends = [*gaps.tolist(), len(joined)][min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 without any."""
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """SimHash of the XXH64 of word shingles; 0 without words."""
+    return majority(shingles(text, width, seed))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """docs without the text, with ``fp`` long (the fingerprint's bits, as two's complement).
 
     A null or empty text has fingerprint zero. A column that is named fp gives way.
@@ -57,7 +87,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text):
-            fps = np.array([fingerprint(x) for x in text_bytes(batch, text)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(x, width) for x in text_bytes(batch, text)], np.uint64).view(np.int64)
             yield with_columns(batch, [("fp", pa.int64(), pa.array(fps))], without=(text,))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)
@@ -125,7 +155,8 @@ def plan(n: int, both: np.ndarray, distance: int = 3) -> list[tuple[list[int], i
             # bits that vary together count as fewer independent ones
             alike = 1 + linked[np.ix_(part, part)].sum() / len(part)
             reach = _reach(2 * p[part] * (1 - p[part]), t)[t] ** (1 / alike)
-            return n1 * sum(comb(len(part), k) for k in range(t + 1)) + PAIR_COST * n1 * n1 / 2 * reach
+            # those that differ by t meet as often as there are halves of t
+            return n1 * sum(comb(len(part), k) for k in range((t + 1) // 2 + 1)) + PAIR_COST * n1 * n1 / 2 * reach * comb(t, t // 2)
 
         # least cost of the first parts with thresholds that sum to s, and the thresholds
         table_: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -144,43 +175,48 @@ def plan(n: int, both: np.ndarray, distance: int = 3) -> list[tuple[list[int], i
 
 
 def _files(classes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, fp, home): each fingerprint under its own value (home) and those near it."""
-    probes = [(i, bits, [sum(1 << b for b in flips) for k in range(t + 1) for flips in combinations(range(len(bits)), k)]) for i, (bits, t) in enumerate(parts) if t >= 0]
+    """(part, key, node, fp, check, off): each fingerprint under its own value (off 0) and those near it (off bits away)."""
+    probes = [(i, bits, [(sum(1 << b for b in flips), k) for k in range((t + 1) // 2 + 1) for flips in combinations(range(len(bits)), k)]) for i, (bits, t) in enumerate(parts) if t >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                fps = batch.column(0).slice(at, 4096).to_numpy()
+                node, fps, check = (batch.column(i).slice(at, 4096).to_numpy() for i in range(3))
                 bits = _unpacked(fps)
                 for i, chosen, masks in probes:
                     value = bits[:, chosen].astype(np.int64) @ (1 << np.arange(len(chosen), dtype=np.int64))
                     for few in range(0, len(masks), 64):
-                        mask = np.array(masks[few : few + 64], np.int64)
+                        mask, off = np.array(masks[few : few + 64], np.int64).T
                         keys = (value[:, None] ^ mask[None, :]).ravel()
+                        more = [pa.array(np.repeat(x, len(mask))) for x in (node, fps, check)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), pa.array(np.repeat(fps, len(mask))), pa.array(np.tile(mask == 0, len(fps)))],
-                            names=["part", "key", "fp", "home"],
+                            [pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), *more, pa.array(np.tile(off.astype(np.int32), len(fps)))],
+                            names=["part", "key", "node", "fp", "check", "off"],
                         )
 
-    return classes.select("fp").mapInArrow(run, "part int, key long, fp long, home boolean")
+    return classes.select("node", "fp", "check").mapInArrow(run, "part int, key long, node long, fp long, check long, off int")
 
 
-def _forest(group: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``group``, less those that links found before imply."""
-    n = len(fps)
+def _forest(group: np.ndarray, matching) -> tuple[list[int], list[int]]:
+    """Places (left, right) of links within runs of equal ``group``, less those that links found before imply.
+
+    matching(at, step) gives which pairs (at, at + step) link; it is asked only about pairs
+    that no links connect so far.
+    """
+    n = len(group)
     ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1
     end = np.repeat(ends, np.diff(np.r_[0, ends]))
     label, at, step = np.arange(n), np.arange(n), 1
-    left, right = [], []
+    left: list[int] = []
+    right: list[int] = []
     while True:
         at = at[at + step < end[at]]
         if not len(at):
             break
-        hit = at[(home[at] | home[at + step]) & (np.bitwise_count((fps[at] ^ fps[at + step]).view(np.uint64)) <= distance)]
-        hit = hit[label[hit] != label[hit + step]]
+        open_ = at[label[at] != label[at + step]]
+        hit = matching(open_, step) if len(open_) else open_
         for i in hit.tolist():
-            j = i + step
-            a, b = i, j
+            a, b = i, i + step
             while label[a] != a:
                 a = label[a]
             while label[b] != b:
@@ -188,7 +224,7 @@ def _forest(group: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int)
             if a != b:
                 label[max(a, b)] = min(a, b)
                 left.append(i)
-                right.append(j)
+                right.append(i + step)
         if len(hit):
             while True:
                 up = label[label]
@@ -196,52 +232,80 @@ def _forest(group: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int)
                     break
                 label = up
         step += 1
-    return fps[left], fps[right]
+    return left, right
+
 
+def _apart(x: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    return np.bitwise_count((x[at] ^ x[at + step]).view(np.uint64))
 
-def _links(distance: int):
-    """Task function over rows sorted by file: streams them, a file at a time at least."""
+
+def _by_group(keys: int, compare):
+    """Task function over rows sorted by their first ``keys`` columns: streams them, whole groups at a time.
+
+    compare(group, columns) gives the links (a, b) of rows numbered by group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: pa.Table | None = None
 
-        def compare(columns: list[np.ndarray]) -> pa.RecordBatch:
-            *keys, fps, home = columns
-            change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            a, b = _forest(np.r_[0, np.cumsum(change)], fps, home, distance)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def linked(rows: pa.Table) -> pa.RecordBatch:
+            columns = [rows.column(i).to_numpy() for i in range(rows.num_columns)]
+            change = np.any([k[1:] != k[:-1] for k in columns[:keys]], axis=0)
+            a, b = compare(np.r_[0, np.cumsum(change)], columns)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            same = np.all([k == k[-1] for k in held[:-2]], axis=0)
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield compare([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held and len(held[0]):
-            yield compare(held)
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]) if held is not None else new
+            last = [held.column(i)[-1].as_py() for i in range(keys)]
+            first = [batch.column(i)[0].as_py() for i in range(keys)]
+            if first == last:  # the last group fills the batch
+                if [held.column(i)[0].as_py() for i in range(keys)] == last:
+                    continue
+            same = np.all([held.column(i).to_numpy() == v for i, v in enumerate(last)], axis=0)
+            cut = int(np.flatnonzero(~same)[-1]) + 1
+            yield linked(held.slice(0, cut))
+            held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield linked(held)
 
     return run
 
 
-def links(classes: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints within ``distance`` bits that connect all such pairs.
+def links(classes: DataFrame, distance: int = 3, check: int | None = None) -> DataFrame:
+    """(a, b): pairs of nodes within ``distance`` bits that connect all such pairs.
 
-    classes: distinct ``fp`` long. Within a file a pair is left out only if links already
-    emitted connect its ends, so components stay exact. A file with more than BLOCK
+    classes: node, fp, check (longs; nodes distinct). With ``check``, the second fingerprints
+    must be within that many bits as well. Within a file a pair is left out only if links
+    already emitted connect its ends, so components stay exact. A file with more than BLOCK
     fingerprints is dealt as pairs of blocks to several tasks.
     """
-    classes = classes.select("fp")
-    files = _files(classes, plan(*bit_statistics(classes), distance))
+    parts = plan(*bit_statistics(classes), distance)
+    thresholds = np.array([t for _, t in parts])
+    files = _files(classes, parts)
     large = files.groupBy("part", "key").count().filter(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = stored(large, "large-files")
     blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = files.join(large, ["part", "key"], "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("part", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "home")
     keys = ["part", "key", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_links(distance), "a long, b long")
+    dealt = dealt.select("part", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "fp", "check", "off")
+
+    def compare(group: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        part, _, _, _, node, fp, second, off = columns
+        most = thresholds[part]
+
+        def matching(at: np.ndarray, step: int) -> np.ndarray:
+            ok = (off[at] + off[at + step] <= most[at]) & (_apart(fp, at, step) <= distance)
+            at = at[ok]
+            return at if check is None else at[_apart(second, at, step) <= check]
+
+        a, b = _forest(group, matching)
+        return node[a], node[b]
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_by_group(4, compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
@@ -252,13 +316,105 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated; an empty table gives an empty result; null texts have fingerprint zero.
     """
     printed = stored(fingerprints(docs.select(doc_id, text), text), "fingerprints")
-    classes = stored(printed.groupBy("fp").agg(F.min(doc_id).alias("least")), "classes")
-    roots = components(links(classes, distance), "a", "b").select(F.col("node").alias("fp"), "root")
-    linked = stored(roots.join(classes, "fp"), "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("of_root"))
-    moved = stored(linked.join(least, "root").select("fp", "of_root"), "moved")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    return printed.join(named, "fp").select(doc_id, "fp", "component_id")
+    classes = stored(printed.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("n")), "classes")
+    nodes = classes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("check"))
+    groups = grouped(classes.select(F.col("fp").alias("node"), "least"), links(nodes, distance))
+    named = groups.select(F.col("node").alias("fp"), F.col("group_least").alias("component_id"))
+    return spread_join(printed, named, "fp", hot_values(classes, "fp", "n")).select(doc_id, "fp", "component_id")
+
+
+def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root, group_least): the group of each node (node, least), and the least ``least`` in it."""
+    roots = components(edges, "a", "b")
+    linked = stored(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "linked")
+    sizes = stored(linked.groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("n")), "groups")
+    return spread_join(linked.drop("least"), sizes.drop("n"), "root", hot_values(sizes, "root", "n"))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Is the Jaccard similarity of two sorted sets so large? Empty sets are alike."""
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (small + large - both) - 1e-9
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """texts (root, node, fp, check, text) with the sorted distinct shingle hashes instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            hashes = [np.unique(shingles(x, width)).tobytes() for x in text_bytes(batch)]
+            yield with_columns(batch, [("hashes", pa.binary(), pa.array(hashes, pa.binary()))], without=("text",))
+
+    return texts.select("root", "node", "fp", "check", "text").mapInArrow(run, "root long, node long, fp long, check long, hashes binary")
+
+
+def verified_links(sets: DataFrame, distance: int, check: int, similarity: float) -> DataFrame:
+    """(a, b): links within the groups (root) of sets that hold on the shingles and connect all that do.
+
+    A group of more than VERIFIED bytes is dealt as pairs of blocks to several tasks. Pairs
+    that verified links connect already aren't compared again.
+    """
+    large = sets.groupBy("root").agg(F.sum(F.length("hashes") + 64).alias("bytes")).filter(F.col("bytes") > VERIFIED)
+    large = stored(large.select("root", F.ceil(F.col("bytes") / VERIFIED).cast("int").alias("blocks")), "large-groups")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = sets.join(large, "root", "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "fp", "check", "hashes")
+
+    def compare(group: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        _, low, high, own, node, fp, second, hashes = columns
+        found = [np.frombuffer(x, np.uint64) for x in hashes]
+
+        def matching(at: np.ndarray, step: int) -> np.ndarray:
+            # two of one block are compared where that block is alone
+            ok = ((own[at] != own[at + step]) | (low[at] == high[at])) & (_apart(fp, at, step) <= distance)
+            at = at[ok]
+            at = at[_apart(second, at, step) <= check]
+            return at[np.array([_alike(found[i], found[i + step], similarity) for i in at.tolist()], bool)]
+
+        a, b = _forest(group, matching)
+        return node[a], node[b]
+
+    keys = ["root", "lo", "hi"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp", "node").mapInArrow(_by_group(3, compare), "a long, b long")
+
+
+def text_key(text: str = "text"):
+    """Digest of a whole text; null counts as empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDE, similarity: float = SIMILAR, distance: int = REACH, check: int = CHECK) -> DataFrame:
+    """(doc_id, key, group): rows of docs grouped by the similarity of their texts.
+
+    Two texts are linked if the fingerprints of their ``width``-word shingles differ in at
+    most ``distance`` bits, second ones in at most ``check``, and the sets of shingles have
+    that Jaccard similarity. Equal texts (key: their digest) are one node; group is a number
+    that linked texts share. Null texts are empty, and texts without words are alike. Pairs
+    of the similarity whose fingerprints differ more are missed unless others link them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text):
+            found = [shingles(x, width) for x in text_bytes(batch, text)]
+            pairs = np.array([(majority(h), majority(mixed(h))) for h in found], np.uint64).reshape(-1, 2).view(np.int64)
+            yield with_columns(batch, [("fp", pa.int64(), pa.array(pairs[:, 0].copy())), ("check", pa.int64(), pa.array(pairs[:, 1].copy()))], without=(text,))
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    keyed = docs.select(doc_id, text_key(text).alias("key"), text)
+    printed = stored(keyed.mapInArrow(run, f"`{doc_id}` {kind}, key string, fp long, check long"), "fingerprints")
+    classes = printed.groupBy("key").agg(F.min(doc_id).alias("least"), F.first("fp").alias("fp"), F.first("check").alias("check"), F.count("*").alias("n"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    near = components(links(classes, distance, check), "a", "b")
+    members = stored(classes.join(near, "node").select("root", "node", "fp", "check", F.col("key").alias("own"), "least"), "members")
+    # of equal texts that with the least id is fetched, of its repetitions one
+    texts = keyed.join(members, (F.col("key") == F.col("own")) & F.col(doc_id).eqNullSafe(F.col("least"))).select("root", "node", "fp", "check", F.coalesce(text, F.lit("")).alias("text"))
+    sets = stored(_sets(texts, width).dropDuplicates(["node"]), "sets")
+    groups = grouped(classes.select("node", "least"), verified_links(sets, distance, check, similarity))
+    named = stored(classes.join(groups, "node").select("key", F.col("root").alias("group")), "named")
+    return spread_join(printed.select(doc_id, "key"), named, "key", hot_values(classes, "key", "n"))
 
 
 def hex_fingerprint(fp: str = "fp"):

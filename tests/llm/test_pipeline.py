@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meridian.llm import bpe, quality
@@ -15,8 +16,9 @@ MEDIUM = "/root/testdata/sf0.01"
 def plain(model):
     docs = pq.read_table(f"{MEDIUM}/documents.parquet").to_pylist()
     docs = [d for d in docs if model.score(np.array([quality.features(d["text"])]))[0] >= 0.3]
-    groups = test_simhash.plain_components([test_simhash.plain_fingerprint(d["text"]) for d in docs], [d["doc_id"] for d in docs])
-    docs = [d for d, g in zip(docs, groups, strict=True) if d["doc_id"] == g]
+    docs.sort(key=lambda d: d["doc_id"])
+    groups = test_simhash.plain_similar([d["text"] for d in docs])
+    docs = [d for i, (d, g) in enumerate(zip(docs, groups, strict=True)) if i == g]
     items = pq.read_table(f"{MEDIUM}/benchmark.parquet").to_pydict()
     hit = test_decontaminate.plain([(d["doc_id"], d["text"]) for d in docs], list(zip(items["item_id"], items["text"], strict=True)))
     docs = [d for d, h in zip(docs, hit, strict=True) if not h[-1]]
@@ -47,3 +49,15 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), MEDIUM).collect() == []
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert len(stage(spark, docs, MEDIUM).collect()) == len(rows)
+    good = corpus_pipeline.keep_quality(spark, docs.withColumn("score", F.lit("clash")), MEDIUM)
+    assert good.columns == corpus_pipeline.COLUMNS and good.count() <= len(rows)
+
+
+def test_which_near_duplicate_stays(spark):
+    rows = [(9, "same words in both", "en", "b", 1), (9, "same words in both", "en", "a", 1), (9, "quite another text", "en", "a", 1), (None, "SAME words in both", "de", "s", 2), (3, "Same words  in both", "en", "s", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for own in (rows[::-1],):
+        left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(own, schema), MEDIUM)
+        assert sorted(map(tuple, left.collect())) == sorted([rows[4], rows[2]])
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows[:2], schema), MEDIUM)
+    assert list(map(tuple, left.collect())) == [rows[1]]
