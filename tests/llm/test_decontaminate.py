@@ -42,10 +42,11 @@ def test_query_against_brute_force(spark):
 
 
 def check(spark, docs, items):
-    d = spark.createDataFrame(docs, "doc_id long, text string, n_hit string")
-    b = spark.createDataFrame(items, "item_id long, text string, hits int")
+    d = spark.createDataFrame(docs, "doc_id long, text string, N_Hit string")
+    b = spark.createDataFrame(items, "item_id long, text string, spans int")
     got = decontaminate.contained(d, b).collect()
-    rows = sorted(((r.doc_id, r.n_words, r.n_hit, len({h.item_id for h in r.hits}), hashlib.sha256(",".join(sorted({h.item_id for h in r.hits})).encode()).hexdigest(), r.n_hit > 0) for r in got), key=str)
+    assert all(r.n_hit == sum(s.end - s.start for s in r.spans) and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:])) for r in got)
+    rows = sorted(((r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0) for r in got), key=str)
     assert rows == sorted(plain([x[:2] for x in docs], [x[:2] for x in items]), key=str)
 
 
@@ -57,11 +58,26 @@ def test_odd_rows(spark):
     check(spark, ODD_DOCS, ODD_ITEMS)
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 12)
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEWEST_BITS", 8)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 8)
     check(spark, ODD_DOCS, ODD_ITEMS)
 
 
+def test_benchmark_as_large_as_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 1 << 10)
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    items = [(d["doc_id"], d["text"], None) for d in docs if d["doc_id"] % 2]
+    check(spark, [(d["doc_id"], d["text"], None) for d in docs], items)
+
+
+def test_equal_items_cost_their_number_only(spark):
+    items = spark.createDataFrame([(i, "word", 0) for i in range(1000)], "item_id long, text string, n int")
+    docs = spark.createDataFrame([(1, "word " * 1000)], "doc_id long, text string")
+    row = decontaminate.contained(docs, items).first()
+    assert (row.n_hit, len(row["items"]), [tuple(s) for s in row.spans]) == (1000, 1000, [(0, 1000)])
+
+
 def test_empty_tables(spark):
     check(spark, ODD_DOCS, [])
     check(spark, [], ODD_ITEMS)
