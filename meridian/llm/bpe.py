@@ -339,6 +339,27 @@ def encode_texts(texts: list[str], ids_of: Encoder) -> Iterator[bytes]:
         begin = end
 
 
+@functools.cache
+def decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in a row, where each begins there, and its size."""
+    ranks = encoder(path).ranks
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    by_rank = [b""] * len(sizes)
+    for piece, rank in ranks.items():
+        sizes[rank], by_rank[rank] = len(piece), piece
+    return np.frombuffer(b"".join(by_rank), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def placed(pieces: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> bytes:
+    """The text whose token i is ids[i] and ends at byte ends[i]."""
+    own = sizes[ids]
+    begins = np.r_[0, ends[:-1]].astype(np.int64)[: len(ends)]
+    if len(ends) != len(ids) or not np.array_equal(ends - begins, own):
+        raise ValueError("offsets don't fit the token ids")
+    # byte by byte: where its token begins in the text, and where in the vocabulary
+    return pieces[np.arange(int(own.sum())) + np.repeat(starts[ids] - begins, own)].tobytes()
+
+
 def default_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -349,7 +370,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True)
     """docs with ``token_ids`` binary (little-endian uint32 each) and, if asked for,
     ``token_ends`` binary (likewise: where each token's bytes end in the UTF-8 text).
 
-    A null or empty text has no tokens. Columns with those names give way.
+    A null or empty text has no tokens; texts of any length are encoded whole, repeated
+    rows stay repeated. Columns with those names give way, in either case.
     """
     rest = fresh(docs, "token_ids", "token_ends")
 
@@ -370,15 +392,30 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True)
     return rest.mapInArrow(run, f"{schema}, token_ids binary" + ", token_ends binary" * offsets)
 
 
-def decode(tokens: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
-    """tokens with ``decoded`` binary: the bytes the ids stand for (null ids: empty)."""
+def cut(data: bytes, ends: np.ndarray) -> list[bytes]:
+    """The bytes of each token, by where they end."""
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
+
+
+def decode(tokens: DataFrame, path: str, ids: str = "token_ids", ends: str | None = "token_ends") -> DataFrame:
+    """tokens with ``decoded`` binary: the bytes the ids stand for (null ids: empty).
+
+    Where there is a column of offsets (``ends``), every token's bytes go where it says: a row
+    whose offsets don't fit its ids raises an error.
+    """
     rest = fresh(tokens, "decoded")
+    offsets = ends if ends in rest.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {rank: piece for piece, rank in encoder(path).ranks.items()}.__getitem__
+        pieces, starts, sizes = decoder(path)
         for batch in chunks(batches, ids):
-            found = text_bytes(batch, ids)
-            yield with_columns(batch, [("decoded", pa.binary(), pa.array([b"".join(map(pieces, np.frombuffer(x, "<u4").tolist())) for x in found], pa.binary()))])
+            found = [np.frombuffer(x, "<u4") for x in text_bytes(batch, ids)]
+            if offsets:
+                stated = [np.frombuffer(x, "<u4") for x in text_bytes(batch, offsets)]
+                decoded = [placed(pieces, starts, sizes, x, e) for x, e in zip(found, stated, strict=True)]
+            else:
+                decoded = [placed(pieces, starts, sizes, x, np.cumsum(sizes[x])) for x in found]
+            yield with_columns(batch, [("decoded", pa.binary(), pa.array(decoded, pa.binary()))])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     return rest.mapInArrow(run, f"{schema}, decoded binary")
@@ -392,7 +429,7 @@ def digests(tokens: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = encode(docs, path, offsets=False).select("doc_id", "token_ids")
+    tokens = encode(docs, path).select("doc_id", "token_ids", "token_ends")
     return digests(decode(tokens, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

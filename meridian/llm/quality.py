@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, fresh, table, with_columns
+from .common import chunks, crc_mod, fresh, one_row_per, stored, table, with_columns
 
 SAMPLE = 20_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -167,20 +167,25 @@ def _matrix(batch: pa.RecordBatch, text: str) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``quality`` of the labelled documents outside the held-out fold.
 
-    Labels with a null id or quality are left out; a repeated label counts each time. At
+    Labels with a null id or quality are left out; a repeated label counts each time, of
+    rows that repeat an id that with the smallest text. At
     most ``sample`` labels (16 bytes each, so what is broadcast is bounded) and as many
     rows of features reach the driver.
     """
     chosen = labels.filter("quality is not null and doc_id is not null").filter(crc_mod("doc_id", FOLDS) != HELD_OUT)
     chosen = chosen.select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "quality")
+    chosen = stored(chosen, "labels")  # taken twice
+    # one row for each id, so that rows that repeat an id don't pile up
+    texts = one_row_per(docs.select("doc_id", "text"), chosen.select(F.col("labelled").alias("picked")).distinct(), "doc_id", "text")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "quality")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             x = _matrix(batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    found = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, quality int, x array<double>").collect())
+    found = sorted(tuple(r) for r in rows.mapInArrow(run, f"doc_id {kind}, quality int, x array<double>").collect())
     x = np.array([r[2] for r in found]).reshape(len(found), len(FEATURES))
     return fit(x, np.array([float(r[1]) for r in found]))
 
@@ -188,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with ``score`` (0 to 1, higher: better quality) and ``predicted`` (1 if score >= threshold).
 
-    Empty and null texts are scored as texts without words. Columns named score or
-    predicted give way.
+    Empty and null texts are scored as texts without words, texts of any length whole.
+    Equal texts have equal scores, repeated rows stay repeated, and a score that ties with
+    the threshold counts as reaching it. Columns named score or predicted give way.
     """
     rest = fresh(docs, "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)

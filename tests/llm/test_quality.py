@@ -39,3 +39,24 @@ def test_odd_rows(spark):
     none = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.classify(docs, none).collect()} == {0.5}
     assert quality.classify(docs.limit(0), none).collect() == []
+
+
+def test_query_is_the_brute_force_score(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{MEDIUM}/labels.parquet"))
+    got = {r.doc_id: r for r in quality.query(spark, MEDIUM).collect()}
+    for r in docs.filter("doc_id % 5 = 1").collect():
+        x, total = quality.features(r.text), model.intercept
+        at = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        total += sum(t[i] for t, i in zip(model.tables, at, strict=True)) + sum(t[at[i], at[j]] for i, j, t in model.pairs)
+        want = 1 / (1 + np.exp(-total))
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (want >= 0.3)
+
+
+def test_repeated_and_string_ids(spark):
+    rows = [(f"n{i}", "good words in a row. " * 5 if i % 2 else "## $$ %%", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [("n1", "zz again")] * 10000, "doc_id string, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id string, quality int")
+    once = docs.dropDuplicates()
+    a, b = (quality.train(d, labels) for d in (docs, once))
+    assert a.intercept == b.intercept and all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables, strict=True))

@@ -42,9 +42,35 @@ def test_odd_texts(library):
 
 
 def test_odd_rows(spark, library, monkeypatch):
-    monkeypatch.setattr(token_counts, "TOP", 3)
+    monkeypatch.setattr(token_counts, "SAMPLE", 3)
     rows = [(1, None), (2, ""), (3, "Hello hello <|endoftext|>"), (3, "Hello hello <|endoftext|>"), (None, "naïve " * 30000), (5, "x" * 50000)]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n_tokens string")
     got = [tuple(r) for r in token_counts.count_tokens(docs, PATH).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()]
     assert sorted(got, key=str) == plain(library, rows)
     assert token_counts.count_tokens(docs.limit(0), PATH).collect() == []
+
+
+def test_newer_code_points_go_through_the_table(spark, library, monkeypatch):
+    emoji = ["\U0001f600", "\U0001f9d1\u200d\U0001f4bb", "\U0001fae0!", "a\U0001f600b", "x\x1cy"]
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice(["plain", "words", "naïve", "it's", *emoji]) for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in token_counts.count_tokens(docs, PATH).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()]
+    assert sorted(got, key=str) == plain(library, rows)
+    assert {"plain", "words", "naïve"} <= {p for p, _ in token_counts.frequent(docs, PATH)}
+    own, asked = token_counts.Counting(PATH), []
+    monkeypatch.setattr(own, "by_library", lambda w: asked.append(w) or 0)
+    for _, t in rows:
+        own.count(t)
+    assert asked and all(w in emoji for w in asked)
+
+
+def test_no_pre_token_is_shuffled(spark, monkeypatch):
+    import contextlib
+    import io
+
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        token_counts.count_tokens(docs, PATH).explain("formatted")
+    assert "Exchange" not in shown.getvalue()
