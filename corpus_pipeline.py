@@ -80,8 +80,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no tokens; repeated rows stay repeated.
     """
     path = bpe.default_path()
-    tokens = bpe.encode(docs.select(COLUMNS), path, offsets=False).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text")
-    return bpe.digests(bpe.decode(tokens, path)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "ids_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+    tokens = bpe.encode(docs.select(COLUMNS), path).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text")
+    return bpe.digests(bpe.decode(tokens, path)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "token_ends", "ids_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES = [
