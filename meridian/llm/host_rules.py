@@ -3,10 +3,11 @@
 Every document is measured by itself (words, symbols, repeated lines, words in repeated
 8-word windows) and fails or passes the base rules. Failures are then summed by host; each
 host's failure rate is shrunk towards the whole table's by a beta prior whose mean and
-strength come from the hosts' own rates (method of moments), and hosts whose shrunk rate
-is over MOST_FAILING are joined back: their documents are not kept.
+strength come from the hosts' own rates (method of moments). A host is blocked if its rate
+is surely far above the table's: if the shrunk rate less SURE posterior deviations is over
+FAR times the prior's mean. Verdicts are joined back: a blocked host's documents are not kept.
 
-Windows are compared by a 64-bit hash of their words' 64-bit hashes, within one text.
+Windows are found by 64-bit hashes within one text and compared word by word where hashes meet.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from .common import fresh, stored, table
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
-FEWEST_WORDS, MOST_REPEATED, MOST_FAILING = 20, 30, 0.5
+FEWEST_WORDS, MOST_REPEATED = 20, 30
+SURE, FAR = 3, 2
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -37,15 +39,24 @@ def repeated_words(tokens: Column) -> Column:
     def windows(hashes: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
 
-    def among(placed: Column) -> Column:
-        """placed: (hash, position), sorted; how many words the repeated windows cover."""
+    def twins(placed: Column) -> Column:
+        """Those that share their h with a neighbour."""
         n = F.size(placed)
 
         def twin(e: Column, i: Column) -> Column:
             before = F.when(i > 0, F.get(placed, i - 1)["h"] == e["h"]).otherwise(False)
             return before | F.when(i + 1 < n, F.get(placed, i + 1)["h"] == e["h"]).otherwise(False)
 
-        starts = F.array_sort(F.transform(F.filter(placed, twin), lambda e: e["at"]))
+        return F.filter(placed, twin)
+
+    def among(placed: Column) -> Column:
+        """placed: (hash, position), sorted; how many words the repeated windows cover."""
+        # the few windows whose hashes meet, by their words
+        same = F.transform(twins(placed), lambda e: F.struct(F.array_join(F.slice(tokens, e["at"] + 1, WINDOW), " ").alias("h"), e["at"].alias("at")))
+        return let(F.array_sort(same), covered)
+
+    def covered(placed: Column) -> Column:
+        starts = F.array_sort(F.transform(twins(placed), lambda e: e["at"]))
         zero = F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last"))
         return F.aggregate(starts, zero, lambda s, at: F.struct((s["sum"] + F.least(F.lit(WINDOW), at - s["last"])).alias("sum"), at.alias("last")), lambda s: s["sum"])
 
@@ -85,11 +96,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
-    """(host, n, failed, rate, shrunk, blocked), a row per host (null is a host like others).
+    """(host, n, failed, rate, shrunk, bound, blocked), a row per host (null is a host like others).
 
     Prior: mean m = failed/n over all rows; v = the hosts' mean squared distance from m,
     weighted by their rows, less the m(1-m)*hosts/rows that chance alone gives (at least 1e-6);
-    strength s = m(1-m)/v - 1, between 1 and 10^6. Shrunk rate: (failed + s*m) / (n + s).
+    strength s = m(1-m)/v - 1, between 1 and 10^6. Shrunk rate p: (failed + s*m) / (n + s), the
+    posterior's mean; its deviation: sqrt(p(1-p)/(n+s+1)); bound: p less SURE deviations.
     """
     hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     hosts = hosts.withColumn("rate", F.col("failed") / F.col("n"))
@@ -100,25 +112,26 @@ def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
     prior = sums.filter("rows > 0").select(m.alias("m"), F.least(F.lit(1e6), F.greatest(F.lit(1.0), m * (1 - m) / spread - 1)).alias("s"))
     # the prior is one row
     shrunk = hosts.join(F.broadcast(prior)).withColumn("shrunk", (F.col("failed") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s")))
-    return shrunk.select("host", "n", "failed", "rate", "shrunk", (F.col("shrunk") > MOST_FAILING).alias("blocked"))
+    bound = F.col("shrunk") - SURE * F.sqrt(F.col("shrunk") * (1 - F.col("shrunk")) / (F.col("n") + F.col("s") + 1))
+    return shrunk.withColumn("bound", bound).select("host", "n", "failed", "rate", "shrunk", "bound", (F.col("bound") > FAR * F.col("m")).alias("blocked"))
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """docs without their text, with the measures, ``host_rate`` (shrunk) and ``kept``: passed,
-    on a host that isn't blocked.
+    """docs without their text, with the measures, ``host_rate`` (shrunk), ``host_bound`` (its lower
+    bound) and ``kept``: passed, on a host that isn't blocked.
 
     The measures (a few numbers a document) are written to the shared folder, so texts are
     read once. Hosts are as many as there are; the join is left to Spark, which broadcasts
     verdicts only while they are small and splits a hot host otherwise.
     """
-    measured = stored(measure(fresh(docs, "kept", "host_rate"), text).drop(text), "measured")
-    verdicts = host_verdicts(measured, host).select("host", F.col("shrunk").alias("host_rate"), "blocked")
+    measured = stored(measure(fresh(docs, "kept", "host_rate", "host_bound"), text).drop(text), "measured")
+    verdicts = host_verdicts(measured, host).select("host", F.col("shrunk").alias("host_rate"), F.col("bound").alias("host_bound"), "blocked")
     joined = measured.join(verdicts, F.col(host).eqNullSafe(F.col("host")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("blocked", F.lit(False))).drop("host", "blocked")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", *MEASURES, "kept")
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", *MEASURES, "kept", F.round("host_rate", 6).alias("host_rate"), F.round("host_bound", 6).alias("host_bound"))
 
 
 SQL = """
@@ -144,10 +157,13 @@ with words as (
 ), prior as (
   select m, least(1e6, greatest(1.0, m * (1 - m) / greatest(1e-6, squares / total - m * m - m * (1 - m) * hosts / total) - 1)) as s
   from (select sum(failed) / sum(n) as m, sum(n) as total, count(*) as hosts, sum(failed * failed / n) as squares from hosts)
+), shrunk as (
+  select host, n, s, m, (failed + s * m) / (n + s) as rate from hosts, prior
 ), verdicts as (
-  select host, (failed + s * m) / (n + s) > 0.5 as blocked from hosts, prior
+  select host, rate, rate - 3 * sqrt(rate * (1 - rate) / (n + s + 1)) as bound, rate - 3 * sqrt(rate * (1 - rate) / (n + s + 1)) > 2 * m as blocked from shrunk
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not blocked as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not blocked as kept,
+  round(rate, 6) as host_rate, round(bound, 6) as host_bound
 from judged join verdicts on source is not distinct from host
 """
 

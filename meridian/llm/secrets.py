@@ -3,11 +3,15 @@
 Pattern matches (assign, access, hex) are reported as they are. Long base64 and hex
 candidates are reported as well if what they decode to is built like a secret:
 
-- jwt: three base64url segments whose first decodes to a JSON object with ``alg``;
-- der: a private key in DER - nested lengths that fill the outer SEQUENCE, beginning with
-  a version INTEGER (PKCS#1, PKCS#8, SEC1), or an encrypted one (PKCS#8: a scheme's
-  identifier in a SEQUENCE, then an OCTET STRING);
-- openssh: an ``openssh-key-v1`` container with length-prefixed fields that fit;
+- jwt: three base64url segments, of which the first decodes to a JSON object with ``alg``,
+  the second to a JSON object, the third to any bytes;
+- der: a private key in DER, opened down to its innermost element, every one of which has
+  to fill its place: PKCS#1 (nine INTEGERs), SEC1 (a number of a curve's size, its curve and
+  point), PKCS#8 with an algorithm's identifier and within its OCTET STRING a key of that
+  algorithm, or an encrypted PKCS#8 (a scheme's identifier in a SEQUENCE, then an OCTET
+  STRING);
+- openssh: an ``openssh-key-v1`` container whose length-prefixed fields, public keys and
+  private section included, end where it ends;
 - pem: an armoured private key whose body is one of the two above, or which has headers
   that say it is encrypted.
 
@@ -88,46 +92,144 @@ def _encrypted(data: bytes, outer: tuple[int, int, int]) -> bool:
     return sealed is not None and sealed[0] == 4 and sealed[2] == outer[2]
 
 
+# Object identifiers of key algorithms, by what PKCS#8 holds for them.
+RSA_KEYS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+EC_KEYS = (bytes.fromhex("2a8648ce3d0201"),)
+NUMBER_KEYS = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"))
+CURVE_KEYS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+#: bytes of a private number of the usual curves
+CURVE_SIZES = (20, 21, 24, 28, 29, 30, 32, 36, 40, 48, 51, 64, 66, 72)
+DEEPEST = 12
+
+
+def _elements(data: bytes, begin: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements side by side from begin to end; None if they don't fill that place."""
+    out, at = [], begin
+    while at < end:
+        part = _element(data, at, end)
+        if part is None:
+            return None
+        out.append(part)
+        at = part[2]
+    return out
+
+
+def _opens(data: bytes, part: tuple[int, int, int], depth: int = 0) -> bool:
+    """Do all elements nested in a constructed one fill their places?"""
+    if not part[0] & 0x20:
+        return True
+    inner = _elements(data, part[1], part[2])
+    return inner is not None and depth < DEEPEST and all(_opens(data, x, depth + 1) for x in inner)
+
+
+def _inner(data: bytes, tag: int) -> list[tuple[int, int, int]] | None:
+    """The elements within the one that is all of data."""
+    outer = _element(data, 0, len(data))
+    if outer is None or outer[0] != tag or outer[2] != len(data):
+        return None
+    return _elements(data, outer[1], outer[2])
+
+
+def _integer(data: bytes, part: tuple[int, int, int]) -> bool:
+    """An INTEGER in its shortest form."""
+    body = data[part[1] : part[2]]
+    return part[0] == 2 and len(body) > 0 and not (len(body) > 1 and (body[0] == 0 and body[1] < 128 or body[0] == 255 and body[1] > 127))
+
+
+def _version(data: bytes, part: tuple[int, int, int]) -> int:
+    return data[part[1]] if part[0] == 2 and part[2] - part[1] == 1 else -1
+
+
+def _rsa(data: bytes) -> bool:
+    parts = _inner(data, 0x30)
+    if not parts or len(parts) < 9 or not all(_integer(data, x) for x in parts[:9]):
+        return False
+    return _version(data, parts[0]) == 0 and len(parts) == 9 or _version(data, parts[0]) == 1 and len(parts) == 10 and parts[9][0] == 0x30 and _opens(data, parts[9])
+
+
+def _ec(data: bytes) -> bool:
+    parts = _inner(data, 0x30)
+    if not parts or len(parts) < 2 or _version(data, parts[0]) != 1 or parts[1][0] != 4 or parts[1][2] - parts[1][1] not in CURVE_SIZES:
+        return False
+    tags = [x[0] for x in parts[2:]]
+    return tags in ([], [0xA0], [0xA1], [0xA0, 0xA1]) and all(_opens(data, x) for x in parts[2:])
+
+
+def _pkcs8(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    if len(parts) < 3 or _version(data, parts[0]) not in (0, 1) or parts[1][0] != 0x30 or parts[2][0] != 4 or any(x[0] not in (0xA0, 0x81, 0xA1) for x in parts[3:]):
+        return False
+    scheme = _elements(data, parts[1][1], parts[1][2])
+    if not scheme or scheme[0][0] != 6 or not all(_opens(data, x) for x in (*scheme, *parts[3:])):
+        return False
+    name, key = data[scheme[0][1] : scheme[0][2]], data[parts[2][1] : parts[2][2]]
+    if name in RSA_KEYS:
+        return _rsa(key)
+    if name in EC_KEYS:
+        return _ec(key)
+    whole = _element(key, 0, len(key))
+    if whole is None or whole[2] != len(key):
+        return False
+    if name in NUMBER_KEYS:
+        return _integer(key, whole)
+    return name in CURVE_KEYS and whole[0] == 4 and whole[2] - whole[1] == CURVE_KEYS[name]
+
+
 def der_private_key(data: bytes) -> bool:
     outer = _element(data, 0, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
     if _encrypted(data, outer):
         return True
-    tags, at = [], outer[1]
-    while at < outer[2]:
-        part = _element(data, at, outer[2])
-        if part is None:
-            return False
-        if not tags and not (part[0] == 2 and part[2] - part[1] == 1 and data[part[1]] in (0, 1)):
-            return False
-        tags.append(part[0])
-        at = part[2]
-    rsa = len(tags) >= 9 and set(tags[:9]) == {2}
-    pkcs8 = tags[:3] == [2, 0x30, 4]
-    sec1 = tags[:2] == [2, 4]
-    return rsa or pkcs8 or sec1
+    parts = _elements(data, outer[1], outer[2])
+    return parts is not None and (_rsa(data) or _ec(data) or _pkcs8(data, parts))
+
+
+def _field(data: bytes, at: int) -> int:
+    """Where the length-prefixed field at ``at`` ends (beyond data, if that isn't there)."""
+    return at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
+
+
+def openssh_end(data: bytes) -> int:
+    """Where the container that data begins with ends; beyond data if that can't be told yet."""
+    at = len(MAGIC)
+    for _ in range(3):  # cipher, key derivation, its options
+        at = _field(data, at)
+    n = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 1
+    at += 4
+    for _ in range(min(n, 16) + 1):  # public keys, private section
+        if at > len(data):
+            break
+        at = _field(data, at)
+    return at
 
 
 def openssh_private_key(data: bytes) -> bool:
-    if not data.startswith(MAGIC):
+    if not data.startswith(MAGIC) or openssh_end(data) != len(data):
         return False
     at = len(MAGIC)
-    for _ in range(3):  # cipher, key derivation, its options
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+    cipher = data[at + 4 : _field(data, at)]
+    for _ in range(3):
+        at = _field(data, at)
+    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= n <= 16:
+        return False
+    for _ in range(n):
+        end = _field(data, at)
+        kind = data[at + 8 : _field(data, at + 4)]
+        if _field(data, at + 4) > end or not re.fullmatch(rb"[a-z0-9@.-]{4,64}", kind):
             return False
-        at += 4 + n
-    return at + 4 <= len(data) and int.from_bytes(data[at : at + 4], "big") >= 1
+        at = end
+    secret = data[at + 4 :]
+    # a plain section begins with one number twice
+    return len(secret) >= 16 and (cipher != b"none" or secret[:4] == secret[4:8])
 
 
-def signed_token(header: str, payload: str) -> bool:
+def signed_token(header: str, payload: str, signature: str) -> bool:
     try:
-        head = json.loads(decoded(header) or b"")
-        json.loads(decoded(payload) or b"{}")
+        head, body = (json.loads(decoded(x) or b"") for x in (header, payload))
     except (ValueError, RecursionError):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and bool(decoded(signature))
 
 
 def _kind(data: bytes | None) -> str | None:
@@ -139,26 +241,29 @@ def _kind(data: bytes | None) -> str | None:
 def _wrapped(text: str, first: re.Match) -> tuple[str, int] | None:
     """Kind and end of a key whose first line is the run ``first``.
 
-    A DER key says its length, so its lines end there; those of a container are as wide as
-    the first but for the last.
+    A DER key says its length at once, a container once enough of it is there; its lines end
+    there.
     """
     head = decoded(first[0][: len(first[0]) // 4 * 4]) or b""
     whole = _element(head, 0, 1 << 40) if head[:1] == b"\x30" else None
     if whole is None and not head.startswith(MAGIC):
         return None
-    lines, at, size, room = [first[0]], first.end(), len(first[0]), 0
-    if whole:
-        room = 2 * whole[2] if len(head) * 2 == len(first[0]) // 4 * 4 else -(-4 * whole[2] // 3)
-    if room > len(text) - first.start():
+    as_hex = len(head) * 2 == len(first[0]) // 4 * 4
+
+    def room(size: int) -> int:
+        return 2 * size if as_hex else -(-4 * size // 3)
+
+    lines, at, size, need = [first[0]], first.end(), len(first[0].rstrip("=")), room(whole[2]) if whole else 0
+    if need > len(text) - first.start():
         return None
-    while (not whole or size < room) and (line := NEXT.match(text, at)):
-        if not whole and len(line[1]) > len(first[0]):
+    while True:
+        if not whole:
+            need = room(openssh_end(decoded("".join(lines).rstrip("=")[: size // 4 * 4]) or b""))
+        if size >= need or not (line := NEXT.match(text, at)):
             break
         lines.append(line[1])
         at, size = line.end(), size + len(line[1].rstrip("="))
-        if not whole and len(line[1]) < len(first[0]):
-            break
-    kind = _kind(decoded("".join(lines))) if len(lines) > 1 and (not whole or size == room) else None
+    kind = _kind(decoded("".join(lines))) if len(lines) > 1 and size == need else None
     return kind and (kind, at)
 
 
@@ -175,7 +280,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "." in text and "ey" in text:
-        found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if signed_token(m[1], m[2])]
+        found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if signed_token(*m.groups())]
     armoured = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
@@ -189,9 +294,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         if m.start() < done:
             continue
         if kind := _kind(decoded(m[0])):
-            # a container may go on: it doesn't say its length
-            more = _wrapped(text, m) if kind == "openssh" and not _inside(m, armoured) else None
-            done = more[1] if more else m.end()
+            done = m.end()
             found.append((kind, m.start(), done))
         elif not _inside(m, armoured) and (more := _wrapped(text, m)):
             done = more[1]

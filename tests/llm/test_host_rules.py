@@ -47,3 +47,24 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted(((d, *plain(t)) for d, t, _ in rows), key=str)
     assert len(host_rules.judge(docs).collect()) == len(rows)
     assert host_rules.judge(docs.limit(0)).collect() == []
+
+
+def test_verdict_is_relative_to_the_table(spark):
+    """A host that fails in a third of its rows is blocked where a twentieth is usual; a short run of bad luck isn't."""
+    good, bad = " ".join(f"w{i}" for i in range(40)), "too short"
+    rows = [(i, bad if i % 3 == 0 else good, "poor") for i in range(900)] + [(1000 + i, bad if i % 20 == 0 else good, f"h{i % 13}") for i in range(8000)] + [(9900 + i, bad if i < 2 else good, "unlucky") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = host_rules.judge(docs).collect()
+    assert {r.source for r in got if not r.base_failed and not r.kept} == {"poor"}
+    assert all(r.host_bound < r.host_rate for r in got)
+
+
+def test_equal_hashes_are_told_apart_by_words(spark, monkeypatch):
+    """With a hash of four values only repeated words count."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(host_rules.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(4)))
+    text = " ".join(f"w{i}" for i in range(60)) + " " + " ".join(f"w{i}" for i in range(10))
+    got = host_rules.measure(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_repeat_words == plain(text)[4]

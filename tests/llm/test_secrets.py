@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -42,7 +43,18 @@ def der(tag, body):
 
 RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1] * 40)) for k in range(8)))
 PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
-SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + bytes(64)
+EC = der(0x30, der(2, b"\1") + der(4, bytes(range(1, 33))) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))))
+PKCS8_EC = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2a8648ce3d0201")) + der(6, bytes.fromhex("2a8648ce3d030107"))) + der(4, EC))
+PKCS8_RSA = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2a864886f70d010101")) + der(5, b"")) + der(4, RSA))
+
+
+def fields(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+PUBLIC = fields(b"ssh-ed25519", bytes(range(32)))
+SECTION = bytes([1, 2, 3, 4] * 2) + fields(b"ssh-ed25519", bytes(range(32)), bytes(range(64)), b"me@here") + bytes(range(1, 6))
+SSH = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + (1).to_bytes(4, "big") + fields(PUBLIC, SECTION)
 
 
 def url(data):
@@ -53,14 +65,14 @@ def test_structural_confirmation():
     jwt = ".".join([url(json.dumps({"alg": "HS256"}).encode()), url(b'{"sub": 1}'), url(bytes(range(32)))])
     assert ("jwt", 3, 3 + len(jwt)) in secrets.find(f"a: {jwt} b")
     assert not secrets.find("eyAbCdEfGh.abcdef.abcdefghijk ordinary. text")
-    for data, kind in ((RSA, "der"), (PKCS8, "der"), (SSH, "openssh")):
+    for data, kind in ((RSA, "der"), (PKCS8, "der"), (EC, "der"), (PKCS8_EC, "der"), (PKCS8_RSA, "der"), (SSH, "openssh")):
         text = base64.b64encode(data).decode()
         assert (kind, 2, 2 + len(text)) in secrets.find(f"é {text} z")
         assert kind in {k for k, _, _ in secrets.find(data.hex())}
         body = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
         pem = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
         assert ("pem", 0, len(pem)) in secrets.find(pem)
-        assert not [s for s in secrets.find(base64.b64encode(data[:-3]).decode() + "!") if s[0] == "der"]
+        assert not [s for s in secrets.find(base64.b64encode(data[:-3]).decode() + "!") if s[0] in ("der", "openssh")]
     assert not secrets.find(base64.b64encode(bytes(range(60))).decode())
 
 
@@ -87,7 +99,7 @@ def wrapped(text, by):
 PBES2 = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, bytes(range(200))))
 
 
-@pytest.mark.parametrize("data", [RSA, PKCS8, SSH, PBES2])
+@pytest.mark.parametrize("data", [RSA, PKCS8, PKCS8_RSA, PKCS8_EC, SSH, PBES2])
 def test_contexts_of_keys(data):
     text = base64.b64encode(data).decode()
     kind = "openssh" if data is SSH else "der"
@@ -98,8 +110,8 @@ def test_contexts_of_keys(data):
     for by in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n"):
         value = wrapped(text, by)
         assert (kind, 4, 4 + len(value)) in secrets.find(f"key={value}; other words"), by
+        assert (kind, 4, 4 + len(value)) in secrets.find(f"key={value}\nother words"), by
         if data is not SSH:
-            assert (kind, 4, 4 + len(value)) in secrets.find(f"key={value}\nother words"), by
             assert (kind, 4, 4 + len(wrapped(data.hex(), by))) in secrets.find(f"key={wrapped(data.hex(), by)}\nabc"), by
         pem = f"-----BEGIN PRIVATE KEY-----{by}{value}{by}-----END PRIVATE KEY-----"
         assert [s for s in secrets.find(f'"{pem}"') if s[0] in ("pem", "der", "openssh")][0] == ("pem", 1, 1 + len(pem)), by
@@ -117,3 +129,26 @@ def test_armour_with_headers_and_encryption():
     assert ("pem", 0, len(pem)) in secrets.find(pem)
     digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
     assert not [s for s in secrets.find(base64.b64encode(digest).decode()) if s[0] == "der"]
+
+
+def test_what_is_not_built_like_a_secret():
+    junk = bytes(range(50, 120))
+    head = url(json.dumps({"alg": "HS256"}).encode())
+    for data in (
+        der(0x30, der(2, b"\0") + der(0x30, junk) + der(4, junk)),
+        der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, junk)),
+        der(0x30, der(2, b"\1") + der(4, junk)),
+        der(0x30, b"".join(der(2, b"\0\0" + bytes([k])) for k in range(9)) + junk),
+        b"openssh-key-v1\0" + fields(b"none", b"none", b"") + (1).to_bytes(4, "big") + junk,
+        b"openssh-key-v1\0" + fields(b"none", b"none", b"") + (1).to_bytes(4, "big") + fields(junk, junk),
+        SSH + b"more",
+    ):
+        assert not [s for s in secrets.find(base64.b64encode(data).decode()) if s[0] in ("der", "openssh")]
+    for payload in ("abcdefgh", url(b"[1, 2]"), url(b"not json"), "a" * 9):
+        assert not [s for s in secrets.find(f"{head}.{payload}.{url(junk)}") if s[0] == "jwt"]
+    draw = random.Random(11)
+    for _ in range(3000):
+        data = draw.randbytes(draw.randint(40, 300))
+        for start in (b"", b"\x30", b"\x30\x82", b"openssh-key-v1\0"):
+            text = base64.b64encode(start + data).decode()
+            assert not [s for s in secrets.find(text) if s[0] in ("der", "openssh", "jwt")]
