@@ -24,7 +24,7 @@ from .common import chunks, fresh, table, text_bytes, with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: pre-tokens that a worker keeps, in two generations
-CACHE = 600_000
+CACHE = 300_000
 #: code points scanned at once
 SCAN = 1 << 19
 
@@ -342,7 +342,7 @@ def encode_texts(texts: list[str], ids_of: Encoder) -> Iterator[bytes]:
 @functools.cache
 def decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all tokens in a row, where each begins there, and its size."""
-    ranks = encoder(path).ranks
+    ranks = vocabulary(path)
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     by_rank = [b""] * len(sizes)
     for piece, rank in ranks.items():

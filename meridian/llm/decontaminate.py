@@ -38,7 +38,7 @@ BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 12, 1 << 26
 #: bits of a bitmap that are put together by one task
 PART = 1 << 18
 #: hashes of words that a worker keeps
-CACHED = 500_000
+CACHED = 60_000
 #: results by row (a number, some spans and ids) that are broadcast; more are joined by a shuffle
 BROADCAST_ROWS = 20_000
 #: ASCII letters and digits and all bytes above 127 are word bytes; the rest divides words.
@@ -155,7 +155,7 @@ def scanned(docs: DataFrame, maps: dict[int, np.ndarray], text: str, keep_text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = Hashes(), TaskContext.get().partitionId() << 33
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, 1 << 19):
             lists = [words_of(t) for t in text_bytes(batch, text)]
             sizes = np.array([len(x) for x in lists], np.int64)
             first = np.cumsum(sizes + 1) - sizes - 1

@@ -39,7 +39,7 @@ PAIR_COST = 0.01
 #: about 10 differ in either).
 SIMILAR, WIDE, REACH, CHECK = 0.8, 5, 11, 20
 #: Bytes of shingle hashes that are verified together.
-VERIFIED = 1 << 24
+VERIFIED = 1 << 22
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
