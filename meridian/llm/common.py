@@ -13,10 +13,20 @@ from pyspark.sql import functions as F
 from ..sources.shared import fresh_path, shared_dir, stored  # noqa: F401
 
 CHUNK_BYTES = 1 << 21
+#: bytes of rows that go to a Python worker at once (Spark's default of 64 MB, or 10,000 rows
+#: with their texts, takes a few hundred MB of an executor)
+ARROW, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of BATCH_BYTES, unless the session asks for less."""
+    if int("".join(c for c in spark.conf.get(ARROW, "") if c.isdigit()) or 1 << 31) > BATCH_BYTES:
+        spark.conf.set(ARROW, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A provided table."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +70,7 @@ def with_columns(batch: pa.RecordBatch, extra: list[tuple[str, pa.DataType, obje
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that carry the names of an operator's results (clashing input columns give way)."""
+    small_batches(df.sparkSession)
     lower = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 

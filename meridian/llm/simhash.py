@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import chunks, fresh, hot_values, spread_join, stored, table, text_bytes, with_columns
+from .common import chunks, fresh, hot_values, small_batches, spread_join, stored, table, text_bytes, with_columns
 
 BITS = 64
 #: A file with more fingerprints is compared in blocks of this many, by several tasks.
@@ -402,6 +402,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             pairs = np.array([(majority(h), majority(mixed(h))) for h in found], np.uint64).reshape(-1, 2).view(np.int64)
             yield with_columns(batch, [("fp", pa.int64(), pa.array(pairs[:, 0].copy())), ("check", pa.int64(), pa.array(pairs[:, 1].copy()))], without=(text,))
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(doc_id, text_key(text).alias("key"), text)
     printed = stored(keyed.mapInArrow(run, f"`{doc_id}` {kind}, key string, fp long, check long"), "fingerprints")
