@@ -19,8 +19,8 @@ ARROW, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of BATCH_BYTES, unless the session asks for less."""
-    if int("".join(c for c in spark.conf.get(ARROW, "") if c.isdigit()) or 1 << 31) > BATCH_BYTES:
+    """Hand texts to Python in batches of BATCH_BYTES, where the session has Spark's default."""
+    if spark.conf.get(ARROW, "64m") in ("64m", "67108864", "67108864b"):
         spark.conf.set(ARROW, str(BATCH_BYTES))
 
 
