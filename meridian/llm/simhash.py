@@ -34,6 +34,10 @@ BITS = 64
 BLOCK = 4096
 #: What comparing two fingerprints costs against filing one.
 PAIR_COST = 0.01
+#: Plans are made for so many fingerprints at least, so that small tables are filed as larger ones are.
+PLANNED = 1_000_000
+#: rows (a digest, an id and some numbers, about 100 bytes) that are broadcast; more are joined by a shuffle
+BROADCAST_ROWS = 200_000
 #: Similarity that similar_texts() asks for, width of its shingles, and the most bits that may
 #: differ in the fingerprint and in a second one (of 64 bits each; at a similarity of 0.8
 #: about 10 differ in either).
@@ -134,6 +138,7 @@ def plan(n: int, both: np.ndarray, distance: int = 3) -> list[tuple[list[int], i
     """Parts (bit positions) with their thresholds, of least estimated cost."""
     n1 = max(n, 1)
     p = np.diag(both) / n1
+    size = max(n, PLANNED)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     linked = np.abs(both / n1 - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(linked, 0)
@@ -156,7 +161,7 @@ def plan(n: int, both: np.ndarray, distance: int = 3) -> list[tuple[list[int], i
             alike = 1 + linked[np.ix_(part, part)].sum() / len(part)
             reach = _reach(2 * p[part] * (1 - p[part]), t)[t] ** (1 / alike)
             # those that differ by t meet as often as there are halves of t
-            return n1 * sum(comb(len(part), k) for k in range((t + 1) // 2 + 1)) + PAIR_COST * n1 * n1 / 2 * reach * comb(t, t // 2)
+            return size * sum(comb(len(part), k) for k in range((t + 1) // 2 + 1)) + PAIR_COST * size * size / 2 * reach * comb(t, t // 2)
 
         # least cost of the first parts with thresholds that sum to s, and the thresholds
         table_: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -411,7 +416,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     near = components(links(classes, distance, check), "a", "b")
     members = stored(classes.join(near, "node").select("root", "node", "fp", "check", F.col("key").alias("own"), "least"), "members")
     # of equal texts that with the least id is fetched, of its repetitions one
-    texts = keyed.join(members, (F.col("key") == F.col("own")) & F.col(doc_id).eqNullSafe(F.col("least"))).select("root", "node", "fp", "check", F.coalesce(text, F.lit("")).alias("text"))
+    few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    texts = keyed.join(few, (F.col("key") == F.col("own")) & F.col(doc_id).eqNullSafe(F.col("least"))).select("root", "node", "fp", "check", F.coalesce(text, F.lit("")).alias("text"))
     sets = stored(_sets(texts, width).dropDuplicates(["node"]), "sets")
     groups = grouped(classes.select("node", "least"), verified_links(sets, distance, check, similarity))
     named = stored(classes.join(groups, "node").select("key", F.col("root").alias("group")), "named")
