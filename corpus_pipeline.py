@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import bpe, decontaminate, quality, secrets, simhash
-from meridian.llm.common import stored, table
+from meridian.llm.common import hot_values, spread_join, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: rows (a digest and an id, about 100 bytes) that are broadcast; more are joined by a shuffle
@@ -41,8 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = simhash.similar_texts(docs)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     rows = stored(found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n")), "near-rows")
-    first = rows.groupBy("group").agg(F.min(order).alias("first")).select("group", F.col("first.key").alias("first_key"), F.col("first.doc_id").alias("first_id"))
-    ranked = rows.join(first, "group").withColumn("stays", (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    first = stored(rows.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("rows")), "near-first")
+    named = first.select("group", F.col("first.key").alias("first_key"), F.col("first.doc_id").alias("first_id"))
+    ranked = spread_join(rows, named, "group", hot_values(first, "group", "rows")).withColumn("stays", (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     # rows to leave out, and of them those that come back once
     out = ranked.filter("not stays or n > 1").select(F.col("key").alias("out_key"), F.col("doc_id").alias("out_id"), "stays")
     out = stored(out, "near-out")
