@@ -9,9 +9,10 @@ from ..functions import geo
 
 WINDOW_S, SLIDE_S = 60, 30
 STOP_BELOW, SHARP_TURN = 0.5, 15
+# Names and order of the features, as saved models expect them.
 FEATURES = (
     "avg_speed", "max_speed", "stddev_speed", "p75_speed", "p95_speed", "avg_accel", "max_accel", "stddev_accel", "avg_jerk", "max_jerk", "stddev_jerk",
-    "stop_rate", "avg_bearing_rate", "stddev_bearing_rate", "sharp_turn_rate", "total_distance", "straightness",
+    "stop_rate", "avg_bearing_rate", "stddev_bearing_rate", "hcr_rate", "total_distance", "straightness_index",
 )
 
 
@@ -34,11 +35,11 @@ def window_features(motion: DataFrame) -> DataFrame:
     grouped = known.groupBy("user_id", F.window("event_time", f"{WINDOW_S} seconds", f"{SLIDE_S} seconds").alias("window")).agg(
         *three("speed"), F.percentile_approx("speed", 0.75).alias("p75_speed"), F.percentile_approx("speed", 0.95).alias("p95_speed"), *three("accel"), *three("jerk"),
         share(F.col("speed") < STOP_BELOW).alias("stop_rate"), F.avg("bearing_rate").alias("avg_bearing_rate"), F.stddev("bearing_rate").alias("stddev_bearing_rate"),
-        share(F.abs("bearing_rate") > SHARP_TURN).alias("sharp_turn_rate"), F.sum("distance").alias("total_distance"), F.min(place).alias("first"), F.max(place).alias("last"),
+        share(F.abs("bearing_rate") > SHARP_TURN).alias("hcr_rate"), F.sum("distance").alias("total_distance"), F.min(place).alias("first"), F.max(place).alias("last"),
     ).na.fill(0)
     line = geo.distance_m(F.col("first.lat"), F.col("first.lng"), F.col("last.lat"), F.col("last.lng"), on_null=0.0)
     straight = F.when(F.col("total_distance") > 0, line / F.col("total_distance")).otherwise(1.0)
-    return grouped.withColumn("straightness", straight).select("user_id", "window", *FEATURES)
+    return grouped.withColumn("straightness_index", straight).select("user_id", "window", *FEATURES)
 
 
 def regroup(intervals: DataFrame) -> DataFrame:

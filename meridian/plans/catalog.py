@@ -347,11 +347,11 @@ WINDOWED = f"""{MOVED}, placed as (
 ), grouped as (
   select user_id, window_start, {_stat("speed")}, quantile_disc(speed, 0.75) as p75_speed, quantile_disc(speed, 0.95) as p95_speed, {_stat("accel")}, {_stat("jerk")},
     count(*) filter (speed < 0.5) / count(*) as stop_rate, avg(bearing_rate) as avg_bearing_rate, coalesce(stddev_samp(bearing_rate), 0) as stddev_bearing_rate,
-    count(*) filter (abs(bearing_rate) > 15) / count(*) as sharp_turn_rate, sum(distance) as total_distance,
+    count(*) filter (abs(bearing_rate) > 15) / count(*) as hcr_rate, sum(distance) as total_distance,
     min(struct_pack(t := event_time, a := lat, b := lng)) as p, max(struct_pack(t := event_time, a := lat, b := lng)) as q
   from placed group by 1, 2
 ), windows as (
-  select *, case when total_distance > 0 then {sql_metres("p.a", "p.b", "q.a", "q.b")} / total_distance else 1 end as straightness from grouped
+  select *, case when total_distance > 0 then {sql_metres("p.a", "p.b", "q.a", "q.b")} / total_distance else 1 end as straightness_index from grouped
 )"""
 ROUNDED = ", ".join(map(sql_round, features.FEATURES))
 
@@ -424,20 +424,20 @@ def forest_predictions(spark, sf_dir):
     """Weighted random forest: trained on most users, predictions for the others."""
     rows = stored(_labelled(spark, sf_dir), "labelled")
     training, test = modes.split(rows)
-    model = modes.train(modes.weighted(training, modes.class_weights(training)), trees=20, depth=8)
+    model = modes.train(modes.weighted(training, modes.class_weights(training)))
     return modes.predict(model, test).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "label", "predicted")
 
 
 FILED = f"{MOTION}, users as (select distinct id from pings where user_id % 3 = 0)"
 
 
-def _write_files(spark, sf_dir) -> str:
-    """Trajectory and label files in a folder for each user, headers included."""
+def _write_files(spark, sf_dir, labelled: str = "true") -> str:
+    """Trajectory and label files in a folder for each user, headers included; labels for the users that ``labelled`` takes."""
     path, p = fresh_path(spark, "files"), fixtures.points(spark, sf_dir)
     line = F.concat_ws(",", "lat", "lng", F.lit(0), F.lit(492), F.lit("39744.1"), F.date_format("event_time", "yyyy-MM-dd"), F.date_format("event_time", "HH:mm:ss"))
     head = p.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(x) for x in ("Trajectory", "WGS 84", "Altitude", "Reserved 3", "0,2,255,Track,0,0,2,8421376", "0")])).alias("value"))
     head.union(p.select("user_id", line.alias("value"))).write.partitionBy("user_id").text(f"{path}/points")
-    spans = fixtures.intervals(spark, sf_dir).filter("cast(substring(user_id, 6) as int) % 3 = 0")
+    spans = fixtures.intervals(spark, sf_dir).filter(labelled)
     times = [F.date_format(c, "yyyy/MM/dd HH:mm:ss").alias(name) for c, name in (("start_time", "Start Time"), ("end_time", "End Time"))]
     spans.select("user_id", *times, F.col("label").alias("Transportation Mode")).write.partitionBy("user_id").option("sep", "\t").option("header", True).csv(f"{path}/labels")
     return path
@@ -445,8 +445,8 @@ def _write_files(spark, sf_dir) -> str:
 
 @query("trajectory_files", f"with {FILED}, counted as (select id, count(*) as n from pings group by id) select id as user_id, date_trunc('second', event_time) as event_time, lat, lng, 492.0::double as altitude from pings join users using (id) join counted using (id) where n > 10")
 def trajectory_files(spark, sf_dir):
-    """Points of all trajectory files whose users have a label file."""
-    path = _write_files(spark, sf_dir)
+    """Points of all trajectory files whose users have a label file (here a third of them)."""
+    path = _write_files(spark, sf_dir, "cast(substring(user_id, 6) as int) % 3 = 0")
     points = trajectories.trajectories(spark, f"{path}/points", "user_id=*/part-*", "user_id=([^/]+)/")
     intervals = trajectories.labels(spark, f"{path}/labels", "user_id=*/part-*", "user_id=([^/]+)/")
     return trajectories.of_labelled_users(points, intervals).select("user_id", ntz("event_time"), "lat", "lng", "altitude")
@@ -457,7 +457,7 @@ def trajectory_files(spark, sf_dir):
 ), spans as (
   select user_id, number, event_time as start_time, lead(event_time) over (partition by user_id order by event_time, event_id) as end_time, event_type from starts where rn % 10 = 1
 ) select user_id, date_trunc('second', start_time) as start_time, date_trunc('second', end_time) as end_time,
-  case event_type when 'click' then 'walk' when 'view' then 'bus' when 'purchase' then 'bike' when 'signup' then 'car' else 'boat' end as label from spans where end_time is not null and number % 3 = 0""")
+  case event_type when 'click' then 'walk' when 'view' then 'bus' when 'purchase' then 'bike' when 'signup' then 'car' else 'boat' end as label from spans where end_time is not null""")
 def label_files(spark, sf_dir):
     """Intervals of all label files."""
     found = trajectories.labels(spark, f"{_write_files(spark, sf_dir)}/labels", "user_id=*/part-*", "user_id=([^/]+)/")

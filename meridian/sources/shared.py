@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where the session has none (tests, one machine) a local folder is set."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(there)
     return there

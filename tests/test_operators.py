@@ -38,9 +38,35 @@ def test_edges_of_time_cell_and_radius(spark):
     assert one == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")}
 
 
-def test_radius_must_fit_a_cell():
-    with pytest.raises(ValueError, match="within a cell"):
-        proximity.check_radius(500)
+def test_radius_must_be_sensible():
+    for radius in (0, -1, 2_000_000):
+        with pytest.raises(ValueError):
+            proximity.check_radius(radius)
+
+
+def test_pairs_at_any_latitude_and_across_the_meridian(spark):
+    import math
+    import random
+
+    def metres(a, b):
+        (p, l), (q, m) = [tuple(map(math.radians, x)) for x in (a, b)]
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((m - l) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    draw, points = random.Random(4), []
+    for lat in (0.0, 37.5, -60.0, 85.0, 89.9995, -89.9999):
+        for lng in (12.0, 179.9999, -180.0):
+            for _ in range(8):
+                step = 150 / 111_000
+                y = max(-90.0, min(90.0, lat + draw.uniform(-step, step)))
+                x = lng + draw.uniform(-step, step) / max(1e-3, math.cos(math.radians(lat)))
+                points.append((y, (x + 180) % 360 - 180))
+    rows = [(f"u{i}", "2024-01-01 00:00:00", *p) for i, p in enumerate(points)]
+    pings = spark.createDataFrame(rows, "id string, t string, lat double, lng double").selectExpr("id", "cast(t as timestamp) as event_time", "lat", "lng")
+    for radius in (20.0, 80.0, 110.0, 300.0):
+        want = {(f"u{i}", f"u{j}") for i, a in enumerate(points) for j, b in enumerate(points) if i != j and metres(a, b) < radius}
+        got = [(r.user1_id, r.user2_id) for r in proximity.near_pairs(pings, radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_empty_pings(spark):
@@ -99,7 +125,7 @@ def test_windows_overlap_by_half(spark):
     motion = kinematics.kinematics(motion_rows(spark, [("a", s, 1.0, 1.0 + s / 1e5) for s in range(0, 95, 5)]), tie="event_id")
     got = features.window_features(motion).orderBy("window").collect()
     assert [(r.window.start - T0).total_seconds() for r in got] == [-30, 0, 30, 60, 90][: len(got)]
-    assert all(r.straightness <= 1.3 and r.stop_rate == 0 for r in got)
+    assert all(r.straightness_index <= 1.3 and r.stop_rate == 0 for r in got)
     assert sum(r.total_distance for r in got) == pytest.approx(2 * motion.na.drop().agg(F.sum("distance")).first()[0])
 
 
