@@ -270,4 +270,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+SQL = """
+with texts as (
+  select row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), words as (
+  select r, doc_id, list_filter(regexp_split_to_array(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from texts
+), named as (
+  select distinct coalesce(item_id::varchar, 'null') as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from benchmark where text is not null
+), split as (
+  select id, list_filter(regexp_split_to_array(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from named
+), places as (
+  select id, w, least(10, len(w)) as n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from split where len(w) > 0
+), wins as (
+  select distinct id, n, array_to_string(w[i:i+n-1], ' ') as win from places
+), lengths as (
+  select distinct n from wins
+), spots as (
+  select r, w, n, unnest(range(1, len(w) - n + 2)) as i from words, lengths where len(w) >= n
+), hits as (
+  select r, i, n, win from (select r, i, n, array_to_string(w[i:i+n-1], ' ') as win from spots) semi join wins using (n, win)
+), covered as (
+  select r, count(distinct word) as n_hit from (select r, unnest(range(i, i + n)) as word from hits) group by r
+), occurring as (
+  select r, list_sort(list(distinct id)) as ids from (select distinct r, n, win from hits) join wins using (n, win) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(ids), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered using (r) left join occurring using (r)
+"""
+
 QUERIES = {"op4_decontaminate": query}
+ORACLES = {"op4_decontaminate": SQL}

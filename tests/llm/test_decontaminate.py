@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import pyarrow.parquet as pq
 
 from meridian.llm import decontaminate
@@ -38,6 +39,11 @@ def test_query_against_brute_force(spark):
     want = plain(zip(docs["doc_id"], docs["text"], strict=True), list(zip(items["item_id"], items["text"], strict=True)))
     got = [tuple(r) for r in decontaminate.query(spark, MEDIUM).collect()]
     assert sorted(got) == sorted(want)
+    assert sum(r[2] > 0 for r in got) > 0
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"create view {name} as select * from '{MEDIUM}/{name}.parquet'")
+    assert sorted(db.sql(decontaminate.SQL).fetchall()) == sorted(want)
     assert any(r[-1] for r in got)
 
 
