@@ -551,17 +551,22 @@ ISLANDS = f"""{TIMELINE}, marked as (
 )"""
 
 
+def _minute() -> Column:
+    """The period that timelines are divided by; the fixture's month takes seven of them."""
+    return F.date_trunc("minute", "time.event_time")
+
+
 @query("smoothed_modes", f"{TIMELINE} select user_id, event_id, case when lag(mode) over w = lead(mode) over w and lag(mode) over w <> mode then lag(mode) over w else mode end as mode from line window w as (partition by user_id order by event_time, event_id)")
 def smoothed_modes(spark, sf_dir):
     """Isolated predictions set to their neighbours'."""
-    return activity.smooth(fixtures.timeline(spark, sf_dir)).select("user_id", "time.event_id", "mode")
+    return activity.smooth(fixtures.timeline(spark, sf_dir), _minute()).select("user_id", "time.event_id", "mode")
 
 
 @query("mode_changes", f"""{ISLANDS} select user_id, event_id, time, from_mode, mode as to_mode, mode = 'transport' as alert
   from (select *, lag(mode) over (partition by user_id order by island) as from_mode from sure) where from_mode <> mode""")
 def mode_changes(spark, sf_dir):
     """Changes confirmed by three predictions in a row."""
-    found = activity.changes(fixtures.timeline(spark, sf_dir))
+    found = activity.changes(fixtures.timeline(spark, sf_dir), _minute())
     return found.select("user_id", "time.event_id", F.col("time.event_time").cast("timestamp_ntz").alias("time"), "from_mode", "to_mode", "alert")
 
 

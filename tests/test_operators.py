@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -203,6 +204,18 @@ def test_activity(spark):
     assert sum(r.share for r in activity.shares(named).collect()) == pytest.approx(1)
 
 
+def test_activity_does_not_depend_on_periods(spark):
+    """Runs over many periods, periods of one row, and null modes."""
+    rng = random.Random(5)
+    rows = [(user, k, mode) for user in ("a", "b", None) for k, mode in enumerate(m for _ in range(40) for m in [rng.choice(["walk", "bike", "transport", None])] * rng.choice([1, 1, 2, 3, 9]))]
+    line = spark.createDataFrame(rows, "user_id string, time int, mode string")
+    for form in (activity.smooth, activity.islands, activity.changes):
+        want = sorted(map(str, form(line).collect()))
+        assert len(want) > 10
+        for length in (1, 2, 5, 50):
+            assert sorted(map(str, form(line, F.floor(F.col("time") / length)).collect())) == want
+
+
 def test_model_round(spark, tmp_path):
     rows = []
     for k in range(300):
