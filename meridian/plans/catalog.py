@@ -257,13 +257,17 @@ def density_hourly_approx(spark, sf_dir):
     return density.hourly(fixtures.pings(spark, sf_dir), approximate=True).select(ntz("hour"), "cell", "visitors")
 
 
-@query("density_sketches")
-def density_sketches(spark, sf_dir):
-    """Sketches of overlapping parts of the pings, stored and merged without counting twice."""
+def _from_sketches(spark, sf_dir) -> DataFrame:
     p, path = fixtures.pings(spark, sf_dir), fresh_path(spark, "sketches")
     store.save_sketches(density.sketches(p.filter("event_id % 3 <> 0")), path, "a")
     store.save_sketches(density.sketches(p.filter("event_id % 3 <> 1")), path, "b")
-    return density.from_sketches(store.read(spark, path)).select(ntz("hour"), "cell", "visitors")
+    return density.from_sketches(store.read(spark, path))
+
+
+@query("density_sketches")
+def density_sketches(spark, sf_dir):
+    """Sketches of overlapping parts of the pings, stored and merged without counting twice."""
+    return _from_sketches(spark, sf_dir).select(ntz("hour"), "cell", "visitors")
 
 
 @query("density_partials", f"with {PINGS} select date_trunc('hour', event_time) as hour, {sql_cell()} as cell, count(*)::bigint as visitors from pings group by 1, 2")
@@ -276,6 +280,41 @@ def density_partials(spark, sf_dir):
     return store.compact(spark, path, fresh_path(spark, "merged")).select(ntz("hour"), "cell", "visitors")
 
 
+@query("density_rollup", f"with {PINGS} select date_trunc('hour', event_time) as hour, {sql_cell()} as cell, (count(*) + count(*) filter (event_id % 3 = 2 and event_time >= timestamp '2024-01-20'))::bigint as visitors from pings group by 1, 2")
+def density_rollup(spark, sf_dir):
+    """Partial sums merged, then a block of the last days added and only its dates merged again."""
+    counts = density.located(fixtures.pings(spark, sf_dir)).withColumn("visitors", F.lit(1))
+    path, into = fresh_path(spark, "partials"), fresh_path(spark, "merged")
+    store.append_partials(counts, path, "first")
+    store.compact(spark, path, into)
+    late = density.located(fixtures.pings(spark, sf_dir).filter("event_id % 3 = 2 and event_time >= '2024-01-20'")).withColumn("visitors", F.lit(1))
+    store.append_partials(late, path, "late")
+    return store.compact(spark, path, into, "late").select(ntz("hour"), "cell", "visitors")
+
+
+def _close(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """(hour, cell, close): is an estimate within one visitor or a fifth of the exact count?"""
+    exact = density.hourly(fixtures.pings(spark, sf_dir)).select("hour", "cell", F.col("visitors").alias("exact"))
+    both = found.select("hour", "cell", "visitors").join(exact, ["hour", "cell"], "full")
+    near = F.abs(F.col("visitors") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") / 5)
+    return both.select(ntz("hour"), "cell", F.coalesce(near, F.lit(False)).alias("close"))
+
+
+CLOSE = f"{HOURLY} select hour, cell, true as close from hourly"
+
+
+@query("density_hourly_approx_error", CLOSE)
+def density_hourly_approx_error(spark, sf_dir):
+    """The estimates by HyperLogLog++ against exact counts."""
+    return _close(spark, sf_dir, density.hourly(fixtures.pings(spark, sf_dir), approximate=True))
+
+
+@query("density_sketches_error", CLOSE)
+def density_sketches_error(spark, sf_dir):
+    """The estimates from merged sketches against exact counts."""
+    return _close(spark, sf_dir, _from_sketches(spark, sf_dir))
+
+
 @query("density_recent", f"{HOURLY} select hour, cell, sum(visitors)::bigint as visitors from hourly where hour >= timestamp '2024-01-14 12:00:00' and hour < timestamp '2024-01-15 12:00:00' group by 1, 2 order by 1, 2")
 def density_recent(spark, sf_dir):
     """The last 24 full hours before a given time."""
@@ -394,6 +433,15 @@ def class_weights(spark, sf_dir):
     return modes.class_weights(_labelled(spark, sf_dir))
 
 
+@query("weighted_windows", f"""{LABELLED}, weights as (select label, (select count(*) from labelled) / ((select count(distinct label) from labelled) * count(*)) as weight from labelled group by label)
+  select user_id, window_start, label, round(weight, 9) as weight from labelled join weights using (label)""")
+def weighted_windows(spark, sf_dir):
+    """Labelled windows with their label's weight."""
+    rows = _labelled(spark, sf_dir)
+    found = modes.weighted(rows, modes.class_weights(rows))
+    return found.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "label", rounded("weight", 9))
+
+
 GUESSED = f"{LABELLED}, guessed as (select label, case when avg_speed < 20 then 'walk' when avg_speed < 40 then 'bike' else 'transport' end as predicted from labelled)"
 
 
@@ -586,12 +634,31 @@ def _stream(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return fixtures.as_pings(spark.readStream.schema(events.schema).parquet(path), k)
 
 
+def _density_from_stream(spark, sf_dir) -> DataFrame:
+    path = fresh_path(spark, "stream-density")
+    jobs.run_available(jobs.hourly_density(_stream(spark, sf_dir, 1)), f"{path}/progress", jobs.into_batches(f"{path}/rows"), "update")
+    return jobs.latest_density(store.read(spark, f"{path}/rows"))
+
+
 @query("stream_density")
 def stream_density(spark, sf_dir):
     """Hourly visitors from a stream, the last update of each hour and cell."""
-    path = fresh_path(spark, "stream-density")
-    jobs.run_available(jobs.hourly_density(_stream(spark, sf_dir, 1)), f"{path}/progress", jobs.into_batches(f"{path}/rows"), "update")
-    return jobs.latest_density(store.read(spark, f"{path}/rows")).select(ntz("hour"), "cell", "visitors")
+    return _density_from_stream(spark, sf_dir).select(ntz("hour"), "cell", "visitors")
+
+
+@query("stream_density_error", CLOSE)
+def stream_density_error(spark, sf_dir):
+    """The stream's estimates against exact counts."""
+    return _close(spark, sf_dir, _density_from_stream(spark, sf_dir))
+
+
+@query("stream_partials", f"with {PINGS} select date_trunc('hour', event_time) as hour, {sql_cell()} as cell, count(*)::bigint as visitors from pings group by 1, 2")
+def stream_partials(spark, sf_dir):
+    """Pings counted by hour and cell from a stream whose batches are added as partial sums."""
+    path = fresh_path(spark, "stream-partials")
+    counts = density.located(_stream(spark, sf_dir, 1)).select("hour", "cell", F.lit(1).alias("visitors"))
+    jobs.run_available(counts, f"{path}/progress", jobs.into_partials(f"{path}/rows"))
+    return store.merged(store.read(spark, f"{path}/rows")).select(ntz("hour"), "cell", "visitors")
 
 
 @query("stream_encounters", f"{PAIRS} select distinct user1_id, user2_id from met")

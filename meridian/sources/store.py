@@ -21,9 +21,12 @@ def encounter_rows(messages: DataFrame) -> DataFrame:
 
 
 def append_encounters(rows: DataFrame, path: str) -> None:
-    """Add encounters to the table, in a folder for each date, each file sorted by time."""
+    """Add encounters to the table, in a folder for each date, each file sorted by time.
+
+    Rows are rebalanced by date: small dates share a task, a large one is divided among several.
+    """
     dated = rows.withColumn("date", F.to_date("encounter_time"))
-    dated.repartition("date").sortWithinPartitions("date", "encounter_time").write.mode("append").partitionBy("date").parquet(path)
+    dated.hint("rebalance", F.col("date")).sortWithinPartitions("date", "encounter_time").write.mode("append").partitionBy("date").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +48,20 @@ def merged(partials: DataFrame) -> DataFrame:
     return partials.groupBy("hour", "cell").agg(F.sum("visitors").alias("visitors"))
 
 
-def compact(spark: SparkSession, path: str, into: str) -> DataFrame:
-    """All blocks of a partial table merged into one table by date, sorted by hour and cell."""
-    whole = merged(read(spark, path)).withColumn("date", F.to_date("hour"))
-    whole.repartition("date").sortWithinPartitions("date", "hour", "cell").write.mode("overwrite").partitionBy("date").parquet(into)
+def compact(spark: SparkSession, path: str, into: str, block: str | None = None) -> DataFrame:
+    """All blocks of a partial table merged into one table by date, sorted by hour and cell.
+
+    With ``block`` only the dates that this block has are merged again, from all blocks, and
+    only their folders are replaced: what a new block costs doesn't grow with the table.
+    (A block that was written again without dates that it had before asks for a full run.)
+    """
+    partials = read(spark, path)
+    if block is not None:
+        touched = read(spark, f"{path}/block={block}").select(F.col("date").alias("touched")).distinct()
+        partials = partials.join(touched, F.col("date").eqNullSafe(F.col("touched")), "left_semi")
+    whole = merged(partials).withColumn("date", F.to_date("hour")).hint("rebalance", F.col("date")).sortWithinPartitions("date", "hour", "cell")
+    how = "static" if block is None else "dynamic"
+    whole.write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("date").parquet(into)
     return read(spark, into).select("hour", "cell", "visitors")
 
 
