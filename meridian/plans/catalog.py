@@ -670,6 +670,14 @@ def stream_encounters(spark, sf_dir):
     return store.read(spark, f"{path}/rows").select("user1_id", "user2_id")
 
 
+@query("stream_encounter_events", f"{PAIRS} select {SHOWN} from met")
+def stream_encounter_events(spark, sf_dir):
+    """All events with mean time and place, from a stream joined with itself."""
+    path = fresh_path(spark, "stream-encounter-events")
+    jobs.run_available(jobs.encounters(_stream(spark, sf_dir, fixtures.NEAR)).drop("time1"), f"{path}/progress", jobs.into_batches(f"{path}/rows"))
+    return _shown(store.read(spark, f"{path}/rows").select("user1_id", "user2_id", "encounter_time", "position.*"))
+
+
 @query("stream_one_per_second", f"with {NEAR} select id, count(distinct date_trunc('second', event_time)) as n from pings group by id")
 def stream_one_per_second(spark, sf_dir):
     """Pings left by a stream of at most one for each id and second."""
