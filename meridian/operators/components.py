@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import discard, fresh_path, written
 
 MOST_ROUNDS = 60
 
@@ -33,15 +33,20 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node of its component.
 
     Nodes are longs. Self loops and rows with a null end are ignored. Every round is
-    written to the shared folder, so a lost executor costs one round at most. Stars keep
-    an edge per node, so no round holds more rows than there are edges.
+    written to the shared folder, so a lost executor costs one round at most, and the round
+    before it is deleted. Stars keep an edge per node, so no round holds more rows than
+    there are edges.
     """
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
     e = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
-    e = stored(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
     seen = _mark(e)
     if seen[0]:
         for _ in range(MOST_ROUNDS):
-            e = stored(_small_star(_large_star(e)), "stars")
+            before, path = path, fresh_path(spark, "stars")
+            e = written(_small_star(_large_star(e)), path)
+            discard(spark, before)
             now = _mark(e)
             if now == seen:
                 break

@@ -23,8 +23,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet and read back: cuts lineage, survives lost executors."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to a table of its own in the shared folder."""
+    return written(df, fresh_path(df.sparkSession, label))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later step reads, on whatever file system it is."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

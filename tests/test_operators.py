@@ -196,6 +196,14 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {99: 99, 100: 99}
 
 
+def test_components_keep_one_round(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(components, "fresh_path", lambda spark, label: f"{tmp_path}/{label}-{len(made)}-{made.append(label) or ''}")
+    made = []
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert components.components(edges, "a", "b").count() == 31
+    assert len(made) > 2 and len(list(tmp_path.iterdir())) == 1
+
+
 def test_activity(spark):
     line = spark.createDataFrame([("u", k, m) for k, m in enumerate("wwwtwwtttwb")], "user_id string, time int, mode string")
     assert "".join(r.mode for r in activity.smooth(line).orderBy("time").collect()) == "wwwwwwtttwb"
