@@ -42,8 +42,8 @@ BROADCAST_ROWS = 200_000
 #: differ in the fingerprint and in a second one (of 64 bits each; at a similarity of 0.8
 #: about 10 differ in either).
 SIMILAR, WIDE, REACH, CHECK = 0.8, 5, 11, 20
-#: Bytes of shingle hashes that are verified together.
-VERIFIED = 1 << 22
+#: Bytes of shingle hashes, and texts, that are verified together.
+VERIFIED, MEMBERS = 1 << 22, 1024
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -359,11 +359,11 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 def verified_links(sets: DataFrame, distance: int, check: int, similarity: float) -> DataFrame:
     """(a, b): links within the groups (root) of sets that hold on the shingles and connect all that do.
 
-    A group of more than VERIFIED bytes is dealt as pairs of blocks to several tasks. Pairs
-    that verified links connect already aren't compared again.
+    A group of more than VERIFIED bytes or MEMBERS texts is dealt as pairs of blocks to several
+    tasks. Pairs that verified links connect already aren't compared again.
     """
-    large = sets.groupBy("root").agg(F.sum(F.length("hashes") + 64).alias("bytes")).filter(F.col("bytes") > VERIFIED)
-    large = stored(large.select("root", F.ceil(F.col("bytes") / VERIFIED).cast("int").alias("blocks")), "large-groups")
+    parts = F.greatest(F.ceil(F.sum(F.length("hashes") + 64) / VERIFIED), F.ceil(F.count("*") / MEMBERS))
+    large = stored(sets.groupBy("root").agg(parts.cast("int").alias("blocks")).filter("blocks > 1"), "large-groups")
     blocks = F.coalesce("blocks", F.lit(1))
     dealt = sets.join(large, "root", "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "fp", "check", "hashes")

@@ -128,6 +128,7 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, small):
     if small:  # every file and group is dealt in blocks
         monkeypatch.setattr(simhash, "BLOCK", 32)
         monkeypatch.setattr(simhash, "VERIFIED", 4000)
+        monkeypatch.setattr(simhash, "MEMBERS", 3)
     docs = pq.read_table(f"{MEDIUM}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     want = plain_similar(docs["text"])
     got = {r.doc_id: r.group for r in simhash.similar_texts(spark.read.parquet(f"{MEDIUM}/documents.parquet")).collect()}
