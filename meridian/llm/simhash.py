@@ -240,6 +240,23 @@ def _forest(group: np.ndarray, matching) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def _hung(node: np.ndarray, left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
+    """Links (places in node) as pairs of each node and the least node that they connect it to."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for a, b in zip(node[left].tolist(), node[right].tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return list(up), [top(x) for x in list(up)]
+
+
 def _apart(x: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     return np.bitwise_count((x[at] ^ x[at + step]).view(np.uint64))
 
@@ -280,11 +297,11 @@ def _by_group(keys: int, compare):
 
 
 def links(classes: DataFrame, distance: int = 3, check: int | None = None) -> DataFrame:
-    """(a, b): pairs of nodes within ``distance`` bits that connect all such pairs.
+    """(a, b): pairs of nodes that connect exactly what pairs within ``distance`` bits connect.
 
     classes: node, fp, check (longs; nodes distinct). With ``check``, the second fingerprints
     must be within that many bits as well. Within a file a pair is left out only if links
-    already emitted connect its ends, so components stay exact. A file with more than BLOCK
+    found before connect its ends, and the rest hang on their least node, so components stay exact. A file with more than BLOCK
     fingerprints is dealt as pairs of blocks to several tasks.
     """
     parts = plan(*bit_statistics(classes), distance)
@@ -307,8 +324,7 @@ def links(classes: DataFrame, distance: int = 3, check: int | None = None) -> Da
             at = at[ok]
             return at if check is None else at[_apart(second, at, step) <= check]
 
-        a, b = _forest(group, matching)
-        return node[a], node[b]
+        return _hung(node, *_forest(group, matching))
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_by_group(4, compare), "a long, b long")
 
@@ -357,7 +373,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def verified_links(sets: DataFrame, distance: int, check: int, similarity: float) -> DataFrame:
-    """(a, b): links within the groups (root) of sets that hold on the shingles and connect all that do.
+    """(a, b): pairs that connect exactly what links within the groups (root) connect that hold on the shingles.
 
     A group of more than VERIFIED bytes or MEMBERS texts is dealt as pairs of blocks to several
     tasks. Pairs that verified links connect already aren't compared again.
@@ -379,8 +395,7 @@ def verified_links(sets: DataFrame, distance: int, check: int, similarity: float
             at = at[_apart(second, at, step) <= check]
             return at[np.array([_alike(found[i], found[i + step], similarity) for i in at.tolist()], bool)]
 
-        a, b = _forest(group, matching)
-        return node[a], node[b]
+        return _hung(node, *_forest(group, matching))
 
     keys = ["root", "lo", "hi"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp", "node").mapInArrow(_by_group(3, compare), "a long, b long")
