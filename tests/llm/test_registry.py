@@ -6,7 +6,7 @@ from meridian.llm import registry
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES) == list(range(1, 14))
     assert {*registry.QUERIES, "pipeline"} <= set(contract.queries())
 
 
