@@ -411,14 +411,14 @@ def coded(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 columns[1].append(int(has[found].sum()))
                 columns[2].append(float(logs.sum()))
                 columns[3].append(part)
-                columns[4].append([{"word": w, "times": n} for w, n in Counter(left).items()])
+                columns[4].append([{"word": w, "times": n, "other": w not in own_code} for w, n in Counter(left).items()])
                 columns[5].append(codes.astype("<u2").tobytes())
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("other", pa.bool_())])), pa.binary()]
             arrays = [pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(2), batch.column(3)]
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays(arrays, names=["row", doc_id, "n_tokens", "n_known", "known_sum", "part_sum", "rare", "codes", "h", "learn"])
 
-    schema = f"row long, `{doc_id}` {kind}, n_tokens long, n_known long, known_sum double, part_sum double, rare array<struct<word:binary,times:bigint>>, codes binary, h long, learn boolean"
+    schema = f"row long, `{doc_id}` {kind}, n_tokens long, n_known long, known_sum double, part_sum double, rare array<struct<word:binary,times:bigint,other:boolean>>, codes binary, h long, learn boolean"
     # rows get numbers that stay, as the table is written
     return stored(rest.mapInArrow(run, schema), "coded")
 
@@ -555,14 +555,16 @@ def scores(texts: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc
     whole. Equal texts have equal scores but for rounding; extra columns of the documents
     don't take part, so none can clash.
     """
-    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
-    rare = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_sum"))
+    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.other").join(counts, "word")
+    logs = F.col("times") * F.log10(F.col("n") + 1)
+    # the net gives its own words a probability; within the classes of other words counts do
+    rare = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(logs).alias("more_sum"), F.sum(F.when(F.col("other"), logs)).alias("other_sum"))
     whole = likely(texts.drop("rare", "h", "learn"), model.net).join(rare, "row", "left")
     more = F.coalesce("more_sum", F.lit(0.0))
     base = F.col("known_sum") + more - F.col("n_tokens") * math.log10(model.tokens + model.distinct + 1)
     return whole.select(
         doc_id, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (F.col("likely") + F.col("part_sum") + more).alias("score"),
+        base.alias("base_score"), (F.col("likely") + F.col("part_sum") + F.coalesce("other_sum", F.lit(0.0))).alias("score"),
     )
 
 

@@ -167,16 +167,17 @@ def _matrix(batch: pa.RecordBatch, text: str) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``quality`` of the labelled documents outside the held-out fold.
 
-    Labels with a null id or quality are left out; a repeated label counts each time, of
-    rows that repeat an id that with the smallest text. At
-    most ``sample`` labels (16 bytes each, so what is broadcast is bounded) and as many
-    rows of features reach the driver.
+    Labels with a null id or quality are left out; an id that is labelled several times has
+    the mean of its labels and counts once, of rows that repeat an id that with the smallest
+    text is taken. At most ``sample`` ids (16 bytes each, so what is broadcast is bounded)
+    and as many rows of features reach the driver.
     """
     chosen = labels.filter("quality is not null and doc_id is not null").filter(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    chosen = chosen.select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)
+    chosen = chosen.groupBy(F.col("doc_id").alias("labelled")).agg(F.avg(F.col("quality").cast("int")).alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     chosen = stored(chosen, "labels")  # taken twice
     # one row for each id, so that rows that repeat an id don't pile up
-    texts = one_row_per(docs.select("doc_id", "text"), chosen.select(F.col("labelled").alias("picked")).distinct(), "doc_id", "text")
+    texts = one_row_per(docs.select("doc_id", "text"), chosen.select(F.col("labelled").alias("picked")), "doc_id", "text")
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "quality")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -185,9 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = _matrix(batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    found = sorted(tuple(r) for r in rows.mapInArrow(run, f"doc_id {kind}, quality int, x array<double>").collect())
+    found = sorted(tuple(r) for r in rows.mapInArrow(run, f"doc_id {kind}, quality double, x array<double>").collect())
     x = np.array([r[2] for r in found]).reshape(len(found), len(FEATURES))
-    return fit(x, np.array([float(r[1]) for r in found]))
+    return fit(x, np.array([r[1] for r in found]))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -15,7 +15,10 @@ candidates are reported as well if what they decode to is built like a secret:
 - pem: an armoured private key whose body is one of the two above, or which has headers
   that say it is encrypted.
 
-Base64 may be broken over lines, and line breaks may be escaped (as in JSON).
+Base64 may be broken over lines; line breaks may be escaped (as in JSON), quoted (as in mail)
+or stand between string literals. A key may begin inside a run, after ``/``, ``_`` or ``-``
+(a path or a name) or ``0x``, its hex bytes may be parted by colons, its base64 may be
+percent-encoded, and base64 may hold base64 or armour once more (as in cluster manifests).
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import binascii
 import json
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import chunks, fresh, table, with_columns
 
 # The patterns of the base kinds.
-KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 #: a maximal run of 16 or more is what a longest match of 16 or more is
@@ -48,7 +51,15 @@ START = r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt])|(?<=\\)(?![nrt]))"
 ENCODED = re.compile(START + RUN + "{40,}={0,2}")
 #: a line break, escaped (once or more) or not
 BREAK = r"[ \t]*(?:\\+r)?(?:\\+n|\\?\r?\n)[ \t]*"
-NEXT = re.compile(f"{BREAK}({RUN}+={{0,2}})")
+LITERAL = r"""["'][ \t]*[+.,]?[ \t]*"""
+#: a break before a key's next line: as above, quoted by mail, or from one string literal to the next
+STEP = rf"""[ \t]*(?:(?:\\+r)?\\+n{LITERAL}\\?\r?\n|{LITERAL}\\?\r?\n|(?:\\+r)?(?:\\+n|\\?\r?\n))[ \t]*(?:["']|(?:>[ ]?)+)?"""
+NEXT = re.compile(f"{STEP}({RUN}+={{0,2}})")
+#: where a key may begin inside a run: base64 of the first bytes of a SEQUENCE or of MAGIC
+INSIDE = re.compile("(?<=[/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)")
+PREFIXED = re.compile("0[xX]((?:[0-9a-f]{2}|[0-9A-F]{2}){20,})")
+COLONS = re.compile(r"(?<![0-9A-Za-z:])30:[0-9a-fA-F]{2}(?::(?:[ \t]*\r?\n[ \t]*)?[0-9a-fA-F]{2}){18,}(?![0-9A-Za-z])")
+PERCENT = re.compile(r"(?<![A-Za-z0-9+/_%-])(?:[A-Za-z0-9+/_-]|%2[BbFf]|%0[AaDd]|%3[Dd]){40,}")
 PEM = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ ){{0,3}})PRIVATE KEY-----((?:{BREAK}[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\+[rn])+?)-----END \1PRIVATE KEY-----")
 #: identifiers of password-based encryption (PKCS#5, PKCS#12) begin so
 ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
@@ -59,6 +70,10 @@ def decoded(run: str) -> bytes | None:
     """What a hex or base64 (standard or URL alphabet) run stands for."""
     if len(run) % 2 == 0 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
         return bytes.fromhex(run)
+    return _base64(run)
+
+
+def _base64(run: str) -> bytes | None:
     bare = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(bare) % 4 == 1:
         return None
@@ -184,44 +199,48 @@ def der_private_key(data: bytes) -> bool:
     return parts is not None and (_rsa(data) or _ec(data) or _pkcs8(data, parts))
 
 
-def _field(data: bytes, at: int) -> int:
-    """Where the length-prefixed field at ``at`` ends (beyond data, if that isn't there)."""
-    return at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
+class Container:
+    """An openssh-key-v1 container that is read as its bytes arrive; no byte is looked at twice.
 
+    ``at``: bytes that it has at least; ``ended`` once that is all of it.
+    """
 
-def openssh_end(data: bytes) -> int:
-    """Where the container that data begins with ends; beyond data if that can't be told yet."""
-    at = len(MAGIC)
-    for _ in range(3):  # cipher, key derivation, its options
-        at = _field(data, at)
-    n = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 1
-    at += 4
-    for _ in range(min(n, 16) + 1):  # public keys, private section
-        if at > len(data):
-            break
-        at = _field(data, at)
-    return at
+    def __init__(self) -> None:
+        self.data, self.at, self.left, self.fields, self.ended = bytearray(), len(MAGIC), 3, [], False
+
+    def take(self, more: bytes) -> None:
+        """left: fields before the number of keys, then a negative number of fields still to come."""
+        self.data += more
+        while not self.ended and self.at + 4 <= len(self.data):
+            n = int.from_bytes(self.data[self.at : self.at + 4], "big")
+            if self.left == 0:
+                # public keys, private section
+                self.at, self.left, self.keys = self.at + 4, -n - 1, n
+                continue
+            self.fields.append((self.at + 4, self.at + 4 + n))
+            self.at += 4 + n
+            self.left += 1 if self.left < 0 else -1
+            self.ended = self.left == 0 and len(self.fields) > 3
+
+    def private_key(self) -> bool:
+        """Is it whole, and are its public keys and its private section built like such?"""
+        if not self.ended or self.at != len(self.data) or not self.data.startswith(MAGIC) or self.keys < 1:
+            return False
+        for begin, end in self.fields[3:-1]:
+            name = begin + 4 + int.from_bytes(self.data[begin : begin + 4], "big")
+            if begin + 4 > end or name > end or not re.fullmatch(rb"[a-z0-9@.-]{4,64}", self.data[begin + 4 : name]):
+                return False
+        secret = self.data[slice(*self.fields[-1])]
+        # a plain section begins with one number twice
+        return len(secret) >= 16 and (self.data[slice(*self.fields[0])] != b"none" or secret[:4] == secret[4:8])
 
 
 def openssh_private_key(data: bytes) -> bool:
-    if not data.startswith(MAGIC) or openssh_end(data) != len(data):
+    if not data.startswith(MAGIC):
         return False
-    at = len(MAGIC)
-    cipher = data[at + 4 : _field(data, at)]
-    for _ in range(3):
-        at = _field(data, at)
-    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if not 1 <= n <= 16:
-        return False
-    for _ in range(n):
-        end = _field(data, at)
-        kind = data[at + 8 : _field(data, at + 4)]
-        if _field(data, at + 4) > end or not re.fullmatch(rb"[a-z0-9@.-]{4,64}", kind):
-            return False
-        at = end
-    secret = data[at + 4 :]
-    # a plain section begins with one number twice
-    return len(secret) >= 16 and (cipher != b"none" or secret[:4] == secret[4:8])
+    container = Container()
+    container.take(data)
+    return container.private_key()
 
 
 def signed_token(header: str, payload: str, signature: str) -> bool:
@@ -229,42 +248,109 @@ def signed_token(header: str, payload: str, signature: str) -> bool:
         head, body = (json.loads(decoded(x) or b"") for x in (header, payload))
     except (ValueError, RecursionError):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and bool(decoded(signature))
+    signed = isinstance(head, dict) and isinstance(head.get("alg"), str) and head["alg"].lower() != "none"
+    return signed and isinstance(body, dict) and bool(decoded(signature))
 
 
-def _kind(data: bytes | None) -> str | None:
+def _kind(data: bytes | None, nested: bool = True) -> str | None:
+    """What decoded bytes are; ``nested``: they may be armour, or base64 once more, themselves."""
     if not data:
         return None
-    return "der" if der_private_key(data) else "openssh" if openssh_private_key(data) else None
+    if der_private_key(data):
+        return "der"
+    if openssh_private_key(data):
+        return "openssh"
+    if nested and data[:1] in b"-Mb" and data[:200].isascii():
+        text = data.decode("latin-1").strip()
+        if text.startswith("-----BEGIN "):
+            m = PEM.fullmatch(text)
+            return "pem" if m and _armoured(m) else None
+        return _kind(decoded(re.sub(r"\s", "", text)), False) if text[:2] in ("MI", "MC", "MH", "b3") else None
+    return None
+
+
+def _armoured(m: re.Match) -> bool:
+    data = decoded(re.sub(r"\s|\\+[rn]", "", m[3]))
+    # with such a header the body is a cipher's output, built like nothing
+    return bool(data) and ("Proc-Type:" in m[2] and "ENCRYPTED" in m[2] or _kind(data, False) is not None)
+
 
+def _bytes_of(run: str, as_hex: bool) -> bytes:
+    return bytes.fromhex(run) if as_hex else _base64(run) or b""
 
-def _wrapped(text: str, first: re.Match) -> tuple[str, int] | None:
-    """Kind and end of a key whose first line is the run ``first``.
 
-    A DER key says its length at once, a container once enough of it is there; its lines end
-    there.
+def _wrapped(text: str, start: int, end: int, limit: list[int]) -> tuple[str, int] | None:
+    """Kind and end of a key whose first line is the run from start to end, and which has more lines.
+
+    A DER key says its length at once, a container piece by piece; its lines end there. Every
+    line is decoded once. limit: the end of a stretch of lines that was seen to end there, so
+    that keys that would have to reach beyond it are refused unread.
     """
-    head = decoded(first[0][: len(first[0]) // 4 * 4]) or b""
-    whole = _element(head, 0, 1 << 40) if head[:1] == b"\x30" else None
+    first = text[start:end].rstrip("=")
+    as_hex = re.fullmatch("[0-9a-f]+|[0-9A-F]+", first) is not None and first[:2] == "30"
+    group = 2 if as_hex else 4
+    cut = len(first) // group * group
+    head = _bytes_of(first[:cut], as_hex)
+    whole = _element(head, 0, 1 << 40) if head[:1] == b"\x30" and len(head) >= 6 else None
     if whole is None and not head.startswith(MAGIC):
         return None
-    as_hex = len(head) * 2 == len(first[0]) // 4 * 4
 
     def room(size: int) -> int:
         return 2 * size if as_hex else -(-4 * size // 3)
 
-    lines, at, size, need = [first[0]], first.end(), len(first[0].rstrip("=")), room(whole[2]) if whole else 0
-    if need > len(text) - first.start():
-        return None
+    container = Container()
+    container.take(head)
+    parts, rest, at, size = [head], first[cut:], end, len(first)
+    beyond = limit[0] if start < limit[0] else len(text)
     while True:
-        if not whole:
-            need = room(openssh_end(decoded("".join(lines).rstrip("=")[: size // 4 * 4]) or b""))
-        if size >= need or not (line := NEXT.match(text, at)):
+        need = room(whole[2] if whole else container.at)
+        if need > beyond - start:
+            return None
+        if size >= need and (whole or container.ended):
             break
-        lines.append(line[1])
-        at, size = line.end(), size + len(line[1].rstrip("="))
-    kind = _kind(decoded("".join(lines))) if len(lines) > 1 and size == need else None
-    return kind and (kind, at)
+        line = NEXT.match(text, at)
+        if not line:
+            limit[0] = max(limit[0], at)
+            return None
+        bare = line[1].rstrip("=")
+        at, size, rest = line.end(), size + len(bare), rest + bare
+        cut = len(rest) // group * group
+        try:
+            data = _bytes_of(rest[:cut], as_hex)
+        except ValueError:
+            return None
+        parts.append(data)
+        if not whole:
+            container.take(data)
+        rest = rest[cut:]
+    if at == end or size != need:
+        return None
+    last = _base64(rest) if rest else b""
+    if last is None:
+        return None
+    if whole:
+        return ("der", at) if der_private_key(b"".join([*parts, last])) else None
+    container.take(last)
+    return ("openssh", at) if container.private_key() else None
+
+
+def _within(run: str, start: int, text: str, limit: list[int]) -> tuple[str, int, int] | None:
+    """A key that begins inside a run (at start in text): after a name or path, or after 0x."""
+    if m := PREFIXED.fullmatch(run):
+        kind = _kind(bytes.fromhex(m[1]), False)
+        if kind:
+            return kind, start + 2, start + len(run)
+    bare = len(run.rstrip("="))
+    for m in INSIDE.finditer(run):
+        # the first bytes tell how long it is, so most places are refused at once
+        head = decoded(run[m.start() : m.start() + 8]) or b""
+        whole = _element(head, 0, 1 << 40) if len(head) >= 6 else None
+        if run.startswith("b3", m.start()) or whole and whole[0] == 0x30 and -(-4 * whole[2] // 3) == bare - m.start():
+            if kind := _kind(decoded(run[m.start() :]), False):
+                return kind, start + m.start(), start + len(run)
+        if found := _wrapped(text, start + m.start(), start + len(run), limit):
+            return found[0], start + m.start(), found[1]
+    return None
 
 
 def _inside(m: re.Match, spans: list[tuple[str, int, int]]) -> bool:
@@ -279,26 +365,34 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    if "." in text and "ey" in text:
+    if "." in text:
         found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if signed_token(*m.groups())]
     armoured = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = decoded(re.sub(r"\s|\\+[rn]", "", m[3]))
-            # with such a header the body is a cipher's output, built like nothing
-            if data and ("Proc-Type:" in m[2] and "ENCRYPTED" in m[2] or _kind(data)):
-                armoured.append(("pem", m.start(), m.end()))
+        armoured = [("pem", m.start(), m.end()) for m in PEM.finditer(text) if _armoured(m)]
     found += armoured
-    done = 0
+    done, limit = 0, [0]
     for m in ENCODED.finditer(text):
         if m.start() < done:
             continue
         if kind := _kind(decoded(m[0])):
-            done = m.end()
-            found.append((kind, m.start(), done))
-        elif not _inside(m, armoured) and (more := _wrapped(text, m)):
-            done = more[1]
-            found.append((more[0], m.start(), done))
+            key = kind, m.start(), m.end()
+        elif _inside(m, armoured):
+            continue
+        elif more := _wrapped(text, m.start(), m.end(), limit):
+            key = more[0], m.start(), more[1]
+        else:
+            key = _within(m[0], m.start(), text, limit)
+        if key:
+            done = key[2]
+            found.append(key)
+    if "30:" in text:
+        found += [("der", m.start(), m.end()) for m in COLONS.finditer(text) if der_private_key(bytes.fromhex(re.sub(r"[:\s]", "", m[0])))]
+    if re.search("%(?:2[BbFf]|3[Dd])", text):
+        for m in PERCENT.finditer(text):
+            if "%" in m[0] and (kind := _kind(decoded(re.sub(r"[\r\n]", "", unquote(m[0]))))):
+                found.append((kind, m.start(), m.end()))
+    found = list(dict.fromkeys(found))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

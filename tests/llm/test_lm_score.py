@@ -33,7 +33,6 @@ def same(got, want):
 
 
 def test_query_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "KNOWN", 500)
     monkeypatch.setattr(lm_score, "COUNTED", 5000)
     docs = pq.read_table(f"{MEDIUM}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     got = lm_score.query(spark, MEDIUM).collect()
@@ -45,6 +44,18 @@ def test_query_against_brute_force(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_do_not_depend_on_the_broadcast_table(spark, monkeypatch):
+    found = []
+    for known in (1, 500, lm_score.KNOWN):
+        monkeypatch.setattr(lm_score, "KNOWN", known)
+        found.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in lm_score.query(spark, "/root/testdata/sf0.001").collect()})
+    for other in found[:2]:
+        assert other.keys() == found[2].keys()
+        for doc, (n, base, score) in other.items():
+            assert n == found[2][doc][0]
+            assert math.isclose(base, found[2][doc][1], rel_tol=1e-9) and math.isclose(score, found[2][doc][2], rel_tol=1e-9)
+
+
 SMALL = lm_score.Vocabulary.of([(b"a", 9), (b"b", 5), (b"c", 3), (b"d", 2), (b"e", 1)], classes=2, rare=2)
 NAMES = "epguvbwa"
 

@@ -60,3 +60,12 @@ def test_repeated_and_string_ids(spark):
     once = docs.dropDuplicates()
     a, b = (quality.train(d, labels) for d in (docs, once))
     assert a.intercept == b.intercept and all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables, strict=True))
+
+
+def test_a_repeated_label_does_not_swallow_the_sample(spark):
+    rows = [(i, "good words in a row. " * 5 if i % 2 else "## $$ %%", i % 2) for i in range(1, 201)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(1, 1)] * 25000, "doc_id long, quality int")
+    model = quality.train(docs, labels, sample=300)
+    found = {r.doc_id: r.score for r in quality.classify(docs, model).collect()}
+    assert found[2] < 0.2 < 0.8 < found[3]
