@@ -4,7 +4,7 @@ A word of a language is known by a 64-bit hash (checked to be free of collisions
 table's own words; else another seed is taken). Passes over the texts:
 
 1. words are counted by language;
-2. pairs of frequent words are counted by a hash of the pair, which can only count too many;
+2. pairs of frequent words are counted by a key of 48 bits, which can only count too many;
 3. triples whose both pairs passed are counted likewise;
 4. phrases that passed are listed: every phrase that is frequent is among them, as its
    parts are frequent too;
@@ -36,6 +36,8 @@ TRIE = 1 << 19
 BITS_EACH, FEWEST_BITS, MOST_BITS, PART = 8, 1 << 16, 1 << 27, 1 << 20
 #: bytes of text whose words are hashed at once
 WINDOW = 1 << 20
+#: hashes that a task holds before it counts them; words of text whose phrases one task counts
+HELD, PART_TOKENS = 1 << 20, 1 << 22
 #: a word's number in a trie goes over two levels of so many bits
 DIGIT = 11
 SEEDS = 8
@@ -169,12 +171,7 @@ class Hasher:
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _counted(found: np.ndarray) -> pa.RecordBatch:
-    values, n = np.unique(found, return_counts=True)
-    return pa.RecordBatch.from_arrays([_signed(values), pa.array(n)], names=["h", "n"])
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def _links(words: Words) -> np.ndarray:
@@ -186,30 +183,83 @@ def _pairs(words: Words) -> np.ndarray:
     return then(words.hashes[:-1], words.hashes[1:])
 
 
-def _scan(texts: DataFrame, seed: int, schema: str, each: Callable[[np.ndarray, list[str], Words], pa.RecordBatch]) -> DataFrame:
+def _key(hashes: np.ndarray) -> np.ndarray:
+    """The 48 bits of a hash by which phrases are counted before they are known."""
+    return hashes >> np.uint64(16)
+
+
+def _low(bits: int) -> np.ndarray:
+    return np.uint64((1 << (48 - bits)) - 1)
+
+
+def often(texts: DataFrame, seed: int, tokens: int, fewest: int, each: Callable[[Words], np.ndarray]) -> DataFrame:
+    """(h): the keys of the hashes that ``each`` finds in windows, of those found ``fewest`` times at least.
+
+    Tasks count and pack what they found by the first bits of the key (the part); a part's
+    counts, of PART_TOKENS words of text on average, are summed by one task.
+    """
+    bits = max(8, (max(1, tokens) // PART_TOKENS).bit_length())
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        part = (keys >> np.uint64(48 - bits)).astype(np.int32)
+        start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        low = (keys & _low(bits)).view(np.uint8).reshape(-1, 8)[:, :5]
+        stop = np.append(start[1:], len(keys))
+        n = np.minimum(n, 255).astype(np.uint8) if fewest <= 255 else n.astype(np.uint32)
+        rows = zip(start.tolist(), stop.tolist(), strict=True)
+        blobs = [(low[i:j].tobytes(), n[i:j].tobytes()) for i, j in rows]
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), *(pa.array([b[k] for b in blobs], pa.binary()) for k in (0, 1))], names=["part", "keys", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(seed)
+        hasher, held, size = Hasher(seed), [], 0
         for batch in chunks(batches):
-            for window in hasher.batch(batch):
-                yield each(*window)
-
-    return texts.mapInArrow(run, schema)
+            for _, _, words in hasher.batch(batch):
+                held.append(_key(each(words)))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def merged(rows: pa.Table) -> pa.Table:
+        width = 1 if fewest <= 255 else 4
+        low = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
+        n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8 if width == 1 else np.uint32)
+        keys = np.zeros((len(low), 8), np.uint8)
+        keys[:, :5] = low
+        keys = keys.view(np.uint64).ravel()
+        by = np.argsort(keys)
+        keys = keys[by]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keep = keys[start][np.add.reduceat(n[by], start, dtype=np.int64) >= fewest]
+        return pa.table({"h": _signed(keep + (np.uint64(rows.column("part")[0].as_py()) << np.uint64(48 - bits)))})
+
+    return texts.mapInArrow(run, "part int, keys binary, n binary").groupBy("part").applyInArrow(merged, "h long")
 
 
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
     """(h, lang, word, f): occurrences of each word of each language, with the word's hash."""
 
-    def each(data: np.ndarray, names: list[str], words: Words) -> pa.RecordBatch:
-        values, at, n = np.unique(words.hashes[words.new :], return_index=True, return_counts=True)
-        said = [data[i:j].tobytes().translate(_LOWER).decode() for i, j in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
-        langs = pa.array([names[i] for i in words.docs[at].tolist()], pa.string())
-        return pa.RecordBatch.from_arrays([_signed(values), langs, pa.array(said, pa.string()), pa.array(n)], names=["h", "lang", "word", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(seed)
+        for batch in chunks(batches, most=1 << 22):
+            found = [(names, data, w) for data, names, w in hasher.batch(batch)]
+            if not found:
+                continue
+            names, data, _ = found[0]
+            values, at, n = np.unique(np.concatenate([w.hashes[w.new :] for _, _, w in found]), return_index=True, return_counts=True)
+            starts, ends, docs = (np.concatenate([getattr(w, c) for _, _, w in found])[at].tolist() for c in ("starts", "ends", "docs"))
+            whole = data.tobytes().translate(_LOWER)
+            said = [whole[i:j].decode() for i, j in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([_signed(values), pa.array([names[i] for i in docs], pa.string()), pa.array(said, pa.string()), pa.array(n)], names=["h", "lang", "word", "n"])
 
-    return _scan(texts, seed, "h long, lang string, word string, n long", each).groupBy("h", "lang", "word").agg(F.sum("n").alias("f"))
+    return texts.mapInArrow(run, "h long, lang string, word string, n long").groupBy("h", "lang", "word").agg(F.sum("n").alias("f"))
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes ``h``, put together in parts of PART bits by tasks; at most MOST_BITS."""
+    """A bitmap of the keys ``h``, put together in parts of PART bits by tasks; at most MOST_BITS."""
     count = values.count()
     bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * count).bit_length()))
     slots = values.select(F.pmod("h", F.lit(bits)).alias("slot")).distinct()
@@ -227,32 +277,27 @@ def bitmap(values: DataFrame) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(8 * len(bits) - 1)
+    slot = _key(hashes) & np.uint64(8 * len(bits) - 1)
     return ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def count_pairs(texts: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
-    """(h, n) by hash of the pairs of marked words, at least as often as any such pair occurs."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+def frequent_pairs(texts: DataFrame, seed: int, tokens: int, fewest: int, frequent: np.ndarray) -> DataFrame:
+    """(h): keys of pairs of marked words; no pair that occurs ``fewest`` times is missing."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
-    def each(_data, _names, words: Words) -> pa.RecordBatch:
+    def each(words: Words) -> np.ndarray:
         known = marked(shared.value, words.hashes)
         ends = _links(words) & known[1:] & known[:-1]
         ends[: max(words.new - 1, 0)] = False
-        return _counted(_pairs(words)[ends])
+        return _pairs(words)[ends]
 
-    return _scan(texts, seed, "h long, n long", each).groupBy("h").agg(F.sum("n").alias("n"))
+    return often(texts, seed, tokens, fewest, each)
 
 
-def count_triples(texts: DataFrame, seed: int, pairs: np.ndarray) -> DataFrame:
-    """(h, n) by hash of the triples whose both pairs are marked."""
+def frequent_triples(texts: DataFrame, seed: int, tokens: int, fewest: int, pairs: np.ndarray) -> DataFrame:
+    """(h): keys of triples whose both pairs are marked, likewise."""
     shared = texts.sparkSession.sparkContext.broadcast(pairs)
-
-    def each(_data, _names, words: Words) -> pa.RecordBatch:
-        return _counted(_marked_triples(words, shared.value)[2])
-
-    return _scan(texts, seed, "h long, n long", each).groupBy("h").agg(F.sum("n").alias("n"))
+    return often(texts, seed, tokens, fewest, lambda words: _marked_triples(words, shared.value)[2])
 
 
 def _marked_triples(words: Words, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,21 +315,31 @@ def candidates(texts: DataFrame, seed: int, pairs: np.ndarray, triples: np.ndarr
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(pairs), context.broadcast(triples)
 
-    def each(_data, _names, words: Words) -> pa.RecordBatch:
-        good, begins, hashes = _marked_triples(words, shared[0].value)
-        good[: max(words.new - 1, 0)] = False
-        at = np.flatnonzero(good)
-        begins = begins[marked(shared[1].value, hashes)]
-        h = words.hashes
-        two = np.stack([h[at], h[at + 1], np.zeros(len(at), np.uint64)])
-        rows = np.concatenate([two, np.stack([h[begins + k] for k in range(3)])], axis=1)
-        key = then(then(rows[0], rows[1]), rows[2])
-        _, first = np.unique(key, return_index=True)
-        if len(first) < len(key) and not np.array_equal(rows, rows[:, first][:, np.searchsorted(key[first], key)]):
-            first = np.arange(len(key))  # two phrases of one hash: leave repetitions to the grouping
-        return pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(r[first])) for r in rows], names=["h1", "h2", "h3"])
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held, axis=1)
+        by = np.lexsort(rows[::-1])
+        rows = rows[:, by]
+        rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))]
+        return pa.RecordBatch.from_arrays([_signed(r) for r in rows], names=["h1", "h2", "h3"])
 
-    return _scan(texts, seed, "h1 long, h2 long, h3 long", each).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(seed), [], 0
+        for batch in chunks(batches):
+            for _, _, words in hasher.batch(batch):
+                good, begins, hashes = _marked_triples(words, shared[0].value)
+                good[: max(words.new - 1, 0)] = False
+                at, h = np.flatnonzero(good), words.hashes
+                begins = begins[marked(shared[1].value, hashes)]
+                held.append(np.stack([h[at], h[at + 1], np.zeros(len(at), np.uint64)]))
+                held.append(np.stack([h[begins + k] for k in range(3)]))
+                size += len(at) + len(begins)
+                if size >= HELD:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return texts.mapInArrow(run, "h1 long, h2 long, h3 long").distinct()
 
 
 class Trie:
@@ -460,11 +515,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", fewest
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     seed, words = _words(texts)
     frequent = stored(words.filter(F.col("f") >= fewest), "frequent-words")
-    pairs = stored(count_pairs(texts, seed, bitmap(frequent.select("h"))).filter(F.col("n") >= fewest).select("h"), "pair-hashes")
+    tokens = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    known = bitmap(frequent.select(F.shiftrightunsigned("h", 16).alias("h")))
+    pairs = stored(frequent_pairs(texts, seed, tokens, fewest, known), "pair-keys")
     if pairs.isEmpty():
         return spark.createDataFrame([], SCHEMA)
     pair_bits = bitmap(pairs)
-    triples = stored(count_triples(texts, seed, pair_bits).filter(F.col("n") >= fewest).select("h"), "triple-hashes")
+    triples = stored(frequent_triples(texts, seed, tokens, fewest, pair_bits), "triple-keys")
     listed = stored(candidates(texts, seed, pair_bits, bitmap(triples)), "candidates")
     counted = stored(count_phrases(texts, seed, listed).filter(F.col("a") >= fewest), "counts")
     return ranked(counted, frequent, words.groupBy("lang").agg(F.sum("f").alias("n")), cover, top)
@@ -504,7 +561,8 @@ with texts as (
   select coalesce(lang, 'und') as lang, row_number() over () as doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
 ), pieces as (
   select lang, doc, unnest(pieces) as piece, generate_subscripts(pieces, 1) as p from (select lang, doc, regexp_split_to_array(text, '[.,;:!?
--]') as pieces from texts)
+-
+]') as pieces from texts)
 ), words as (
   select lang, doc, p, unnest(ws) as word, generate_subscripts(ws, 1) as i from (select lang, doc, p, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') as ws from pieces)
 ), grams as (
