@@ -140,6 +140,31 @@ def test_labels_at_both_ends_and_overlaps(spark):
     assert [g for g in got if g[0] > 3000] == [(s, "bike") for s in range(3510, 7301, 30)]
 
 
+def test_stretches_make_up_their_interval(spark):
+    pick = random.Random(2)
+    ends = [(a, a + pick.choice([0, 1, 2, 7, 8, 63, 1000, 10**9])) for a in [-9, -1, 0, 1, 5, 2**40] + [pick.randrange(-1000, 1000) for _ in range(60)]]
+    df = spark.createDataFrame(ends, "a long, b long").select("a", "b", features.stretches(F.col("a"), F.col("b")).alias("s"))
+    for r in df.collect():
+        parts = sorted((x.node << x.level, (x.node + 1) << x.level) for x in r.s)
+        assert parts[0][0] == r.a and parts[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert len(parts) <= 2 * (r.b - r.a + 1).bit_length()
+
+
+def test_labels_against_every_pair(spark):
+    """Nested, touching and very long intervals, and some that end before they begin."""
+    pick = random.Random(4)
+    spans = [(f"u{pick.randrange(3)}", T0 + timedelta(seconds=(a := pick.randrange(0, 9000, 15))), T0 + timedelta(seconds=a + pick.choice([0, 15, 30, 600, 7200, -30])), pick.choice(["walk", "run", "bus", "boat"])) for _ in range(150)]
+    spans += [("u0", T0, datetime(9999, 12, 31), "car"), ("u1", T0 + timedelta(seconds=600), T0 + timedelta(seconds=1200), "bike"), ("u1", T0 + timedelta(seconds=1200), T0 + timedelta(seconds=1800), "bike")]
+    df = spark.createDataFrame(spans, "user_id string, start_time timestamp, end_time timestamp, label string")
+    windows = [(f"u{u}", {"start": T0 + timedelta(seconds=s - 30), "end": T0 + timedelta(seconds=s + 30)}, *[0.0] * len(features.FEATURES)) for u in range(4) for s in range(0, 16000, 15)]
+    w = spark.createDataFrame(windows, "user_id string, window struct<start: timestamp, end: timestamp>, " + ", ".join(f"{c} double" for c in features.FEATURES))
+    got = sorted((r.user_id, r.window.start + timedelta(seconds=30), r.label) for r in features.label_windows(w, df, 60).collect())
+    want = sorted((u, x["start"] + timedelta(seconds=30), label) for u, x, *_ in windows for v, a, b, label in spans if u == v and a <= x["start"] + timedelta(seconds=30) <= b)
+    assert got == want
+    long = df.filter("label = 'car'").select(F.size(features.stretches(F.floor(F.unix_timestamp("start_time") / 60), F.floor(F.unix_timestamp("end_time") / 60))).alias("n")).first()
+    assert long.n < 100
+
+
 def test_routes(spark):
     def place(waypoints, progress):
         w = F.array(*[F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat")) for x, y in waypoints])
