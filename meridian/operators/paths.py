@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.shared import stored
 from .components import components
 
 
@@ -40,39 +42,92 @@ def frechet_m(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.get(table, F.size(b) - 1))
 
 
-def _radians(column: pa.ListArray) -> list[np.ndarray]:
-    """Latitudes and longitudes of each path, a row each."""
-    both = np.radians(np.stack([column.values.field(c).to_numpy(zero_copy_only=False) for c in ("lat", "lng")]))
-    ends = column.offsets.to_numpy()
-    return [both[:, i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+#: coupling-table cells that are filled at once (a row of each table), and pairs of paths at most
+CELLS, PAIRS = 1 << 17, 1024
 
 
-def _frechet(a: np.ndarray, b: np.ndarray, most_m: float) -> float | None:
-    """frechet_m by anti-diagonals of the coupling table; None as soon as it must exceed ``most_m``."""
-    n, m = a.shape[1], b.shape[1]
-    b = b[:, ::-1]
-    older, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # at i + 1: the diagonal's cell in row i
-    for k in range(n + m - 1):
-        lo, hi = max(0, k - m + 1), min(k, n - 1) + 1
-        p, q = a[:, lo:hi], b[:, m - 1 - k + lo : m - 1 - k + hi]
-        h = np.sin((q[0] - p[0]) / 2) ** 2 + np.cos(p[0]) * np.cos(q[0]) * np.sin((q[1] - p[1]) / 2) ** 2
-        metres = 2 * geo.EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-        best = np.minimum(np.minimum(last[lo:hi], last[lo + 1 : hi + 1]), older[lo:hi]) if k else 0.0
-        older, last = last, np.full(n + 1, np.inf)
-        last[lo + 1 : hi + 1] = np.maximum(best, metres)
-        if min(last.min(), older.min() if k else np.inf) > most_m:
-            return None
-    return float(last[n]) if last[n] <= most_m else None
+def _globe(path: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(3, places) coordinates on the globe in metres, and the paths' offsets."""
+    lat, lng = (np.radians(path.values.field(c).to_numpy(zero_copy_only=False)) for c in ("lat", "lng"))
+    xyz = geo.EARTH_RADIUS_M * np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)])
+    return xyz, path.offsets.to_numpy().astype(np.int64)
+
+
+def _padded(xyz: np.ndarray, offsets: np.ndarray, rows: np.ndarray, flip: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(3, rows, longest) coordinates of some paths (``flip``: backwards), and their lengths."""
+    size = offsets[rows + 1] - offsets[rows]
+    at = np.minimum(np.arange(size.max()), size[:, None] - 1)
+    if flip:
+        at = size[:, None] - 1 - at
+    return xyz[:, offsets[rows][:, None] + at], size
+
+
+def frechet_many(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most_m: float) -> np.ndarray:
+    """Discrete Frechet distances (nan: over most_m) of pairs of paths, row i of a to row i of b.
+
+    All coupling tables of a block are filled together, row by row of a; the running minimum
+    along a row is a scan, as max(d, min(left, best)) composes. Straight lines through the
+    globe order as distances along its surface do. A pair is given up as soon as a whole row
+    of its table is too far.
+    """
+    n, out = len(a[1]) - 1, np.full(len(a[1]) - 1, np.nan)
+    size = np.maximum(np.diff(a[1]), np.diff(b[1]))
+    order = np.argsort(size, kind="stable")
+    most = (2 * geo.EARTH_RADIUS_M * np.sin(min(most_m / geo.EARTH_RADIUS_M, np.pi) / 2)) ** 2
+    at = 0
+    while at < n:
+        longest = size[order[min(at + PAIRS, n) - 1]]
+        rows = order[at : at + max(1, min(PAIRS, CELLS // longest))]
+        at += len(rows)
+        p, n_p = _padded(*a, rows)
+        q, n_q = _padded(*b, rows)
+        last = np.arange(q.shape[2]) == (n_q - 1)[:, None]
+        table, found = None, np.full(len(rows), np.nan)
+        live = np.arange(len(rows))
+        for i in range(int(n_p.max())):
+            d = ((p[:, live, i, None] - q[:, live]) ** 2).sum(0)
+            if table is None:
+                table = np.maximum.accumulate(d, axis=1)
+            else:
+                above = np.minimum(table, np.concatenate([np.full((len(live), 1), np.inf), table[:, :-1]], axis=1))
+                table = _scan_row(d, above)
+            ended = np.flatnonzero(n_p[live] == i + 1)
+            found[live[ended]] = table[ended][last[live[ended]]]
+            stay = (n_p[live] > i + 1) & (table.min(1) <= most)
+            if not stay.all():
+                live, table = live[stay], table[stay]
+            if not len(live):
+                break
+        good = found <= most
+        metres = np.full(len(rows), np.nan)
+        metres[good] = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(found[good]) / (2 * geo.EARTH_RADIUS_M)))
+        out[rows] = metres
+    return out
+
+
+def _scan_row(d: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """t[j] = max(d[j], min(t[j - 1], above[j])) along the second axis: functions x -> max(lo, min(x, hi)), composed by doubling."""
+    lo, hi = d.copy(), np.maximum(d, above)
+    lo[:, 0] = hi[:, 0]  # nothing to the left of the first
+    step = 1
+    while step < d.shape[1]:
+        # f after g: max(lo_f, min(max(lo_g, min(x, hi_g)), hi_f))
+        new_lo = np.maximum(lo[:, step:], np.minimum(lo[:, :-step], hi[:, step:]))
+        new_hi = np.maximum(lo[:, step:], np.minimum(hi[:, :-step], hi[:, step:]))
+        lo[:, step:], hi[:, step:] = new_lo, new_hi
+        step *= 2
+    return np.minimum(lo, hi)
 
 
 def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
     """(a, b, metres): routes a < b within a Frechet distance.
 
-    Paths so close have starts, ends and the sides of their bounding boxes so close. In
-    coordinates on the globe in metres, where no distance exceeds that along the surface,
-    pairs share or adjoin the start's cell of that width and the end's layer. Pairs are
-    told apart by these, and by the boxes, before the paths are fetched. Places without
-    coordinates are left out.
+    In coordinates on the globe in metres, cut in cells of that width, every place of one of
+    two paths so close lies in or next to a cell of the other. So the rarest cell of the first
+    is enough to find the second: it is looked up, with its neighbours, among the cells of
+    all paths (none is lost; a cell that many paths share is asked for only by paths
+    that have no rarer one). What is found is told apart by starts, ends and bounding boxes
+    before the paths are fetched. Places without coordinates are left out.
     """
     radius, axes = F.lit(float(geo.EARTH_RADIUS_M)), "xyz"
 
@@ -86,27 +141,28 @@ def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
     box = F.array(*[end(F.col("at")[c]) for c in axes for end in (F.array_min, F.array_max)], *[p[c] for c in axes for p in (first, last)])
     # a hair wider, for rounding
     width = most_m + 0.01
-    keys = ["x", "y", "z", "stop"]
-    sides = sides.select("r", box.alias("box"), *[F.floor(first[c] / width).alias(c) for c in axes], F.floor(last["z"] / width).alias("stop"))
-    left = sides.select(F.col("r").alias("a"), F.col("box").alias("box_a"), *keys)
-    for c in keys:
-        left = left.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
-    right = sides.select(F.col("r").alias("b"), F.col("box").alias("box_b"), *[F.col(c).alias(f"{c}_b") for c in keys])
+    cells = F.array_distinct(F.transform("at", lambda p: F.struct(*[F.floor(p[c] / width).alias(c) for c in axes])))
+    sides = stored(sides.select("r", box.alias("box"), F.explode(cells).alias("cell")), "path-cells")
+    often = sides.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    ranked = sides.join(often, "cell").groupBy("r").agg(F.min(F.struct("n", "cell")).alias("rarest"), F.first("box").alias("box_a"))
+    around = F.explode(F.array(*[F.struct(*[(F.col(f"rarest.cell.{c}") + i).alias(c) for c, i in zip(axes, by, strict=True)]) for by in product((-1, 0, 1), repeat=3)]))
+    left = ranked.select(F.col("r").alias("a"), "box_a", around.alias("cell"))
+    right = sides.select(F.col("r").alias("b"), F.col("box").alias("box_b"), "cell")
     near = F.col("a") < F.col("b")
-    for c in keys:
-        near &= F.col(c) == F.col(f"{c}_b")
     for i in range(12):
         near &= F.abs(F.get("box_a", F.lit(i)) - F.get("box_b", F.lit(i))) <= width
-    pairs = left.join(right, near).select("a", "b")
+    pairs = left.join(right, "cell").filter(near).select("a", "b").distinct()
     # few bytes but much work, so by number and not by size
     tasks = 4 * paths.sparkSession.sparkContext.defaultParallelism
     pairs = pairs.join(located.select(F.col("r").alias("a"), F.col("path").alias("pa")), "a").join(located.select(F.col("r").alias("b"), F.col("path").alias("pb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_frechet(x, y, most_m) for x, y in zip(_radians(batch.column(2)), _radians(batch.column(3)), strict=True)]
-            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "metres"])
-            yield kept.filter(pa.array([x is not None for x in found], pa.bool_()))
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                found = frechet_many(_globe(part.column(2)), _globe(part.column(3)), most_m)
+                kept = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["a", "b", "metres"])
+                yield kept.filter(pa.array(~np.isnan(found)))
 
     kind = paths.schema[route].dataType.simpleString()
     return pairs.select("a", "b", "pa", "pb").repartition(tasks, "a", "b").mapInArrow(run, f"a {kind}, b {kind}, metres double")
