@@ -108,6 +108,38 @@ def motion_rows(spark, rows):
     return spark.createDataFrame([(u, T0 + timedelta(seconds=s), k, lat, lng) for k, (u, s, lat, lng) in enumerate(rows)], "user_id string, event_time timestamp, event_id long, lat double, lng double")
 
 
+def test_readers_never_see_half_a_rollup(spark, tmp_path, monkeypatch):
+    """A run that dies between its folder and its manifest changes nothing; a second writer's late manifest is refused."""
+    path, into = str(tmp_path / "parts"), str(tmp_path / "merged")
+
+    def add(block, days, n):
+        rows = [(T0 + timedelta(days=d, hours=h), f"{h}_1", n) for d in days for h in range(3)]
+        store.append_partials(spark.createDataFrame(rows, "hour timestamp, cell string, visitors long"), path, block)
+
+    def seen():
+        return {(r.hour.day, r.hour.hour): r.visitors for r in store.snapshot(spark, into).collect()}
+
+    assert store.snapshot(spark, into).collect() == []
+    add("a", range(3), 1)
+    store.compact(spark, path, into)
+    first = seen()
+    assert len(first) == 9 and set(first.values()) == {1}
+    add("b", [1, 5], 10)
+    monkeypatch.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        store.compact(spark, path, into, "b")
+    assert seen() == first
+    monkeypatch.undo()
+    held = store.snapshot(spark, into)  # a reader that began before
+    store.compact(spark, path, into, "b")
+    assert seen() == first | {(2, h): 11 for h in range(3)} | {(6, h): 10 for h in range(3)}
+    assert {r.visitors for r in held.collect()} == {1}
+    with pytest.raises(RuntimeError):
+        store._publish(spark, into, 2, {})
+    store.vacuum(spark, into, keep=1)
+    assert len(seen()) == 12 and len([p for p in (tmp_path / "merged").iterdir() if p.name.startswith("merged-")]) == 2
+
+
 def test_kinematics_across_days_and_equal_times(spark):
     day = 86400
     rows = [("a", day - 20, 1.0, 1.0), ("a", day - 10, 1.0, 1.001), ("a", day + 10, 1.001, 1.001), ("a", day + 10, 1.002, 1.001), ("a", 3 * day, 1.0, 1.0), ("b", 5, 2.0, 2.0)]
