@@ -33,7 +33,7 @@ from .common import chunks, hot_values, small_batches, spread_join, table
 #: candidates of a trie
 TRIE = 1 << 19
 #: bits of a bitmap: so many a value, a power of two between these; and of the part that a task puts together
-BITS_EACH, FEWEST_BITS, MOST_BITS, PART = 8, 1 << 16, 1 << 27, 1 << 20
+BITS_EACH, FEWEST_BITS, MOST_BITS, PART = 32, 1 << 16, 1 << 29, 1 << 20
 #: bytes of text whose words are hashed at once
 WINDOW = 1 << 20
 #: hashes that a task holds before it counts them; words of text whose phrases one task counts
@@ -41,6 +41,8 @@ HELD, PART_TOKENS = 1 << 20, 1 << 22
 #: a word's number in a trie goes over two levels of so many bits
 DIGIT = 11
 SEEDS = 8
+#: bits that a key is shifted by for its second place in a bitmap
+SECOND = 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -259,10 +261,14 @@ def count_words(texts: DataFrame, seed: int) -> DataFrame:
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
-    """A bitmap of the keys ``h``, put together in parts of PART bits by tasks; at most MOST_BITS."""
+    """A bitmap of the keys ``h``, two bits for each, put together in parts of PART bits by tasks; at most MOST_BITS.
+
+    With BITS_EACH bits a key, one key in 256 passes that isn't among them; never one too few.
+    """
     count = values.count()
-    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * count).bit_length()))
-    slots = values.select(F.pmod("h", F.lit(bits)).alias("slot")).distinct()
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * count - 1).bit_length()))
+    both = F.array(F.pmod("h", F.lit(bits)), F.pmod(F.shiftrightunsigned("h", SECOND), F.lit(bits)))
+    slots = values.select(F.explode(both).alias("slot")).distinct()
     parts = slots.select(F.floor(F.col("slot") / PART).cast("int").alias("part"), (F.col("slot") % PART).cast("int").alias("at"))
 
     def put(rows: pa.Table) -> pa.Table:
@@ -277,8 +283,15 @@ def bitmap(values: DataFrame) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = _key(hashes) & np.uint64(8 * len(bits) - 1)
-    return ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    """Which hashes' keys have both their bits."""
+    mask, keys = np.uint64(8 * len(bits) - 1), _key(hashes)
+
+    def bit(slot: np.ndarray) -> np.ndarray:
+        return ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+    found = bit(keys & mask)
+    found[found] = bit((keys[found] >> np.uint64(SECOND)) & mask)
+    return found
 
 
 def frequent_pairs(texts: DataFrame, seed: int, tokens: int, fewest: int, frequent: np.ndarray) -> DataFrame:
@@ -486,7 +499,7 @@ def _score(left: str, right: str) -> Column:
 RESULT = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 SCHEMA = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 #: places that a language's phrases are ranked in first
-SHARDS = 64
+SHARDS = 16
 
 
 def _words(texts: DataFrame) -> tuple[int, DataFrame]:
