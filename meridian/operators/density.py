@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import chunks
 
 
 def located(pings: DataFrame) -> DataFrame:
@@ -44,6 +45,11 @@ def by_hour(density: DataFrame) -> DataFrame:
     return density.groupBy("hour").agg(F.sort_array(F.collect_list(F.struct("cell", "visitors"))).alias("cells"))
 
 
+def by_hour_chunks(density: DataFrame, most: int = chunks.MOST) -> DataFrame:
+    """(hour, part, cells): by_hour() in rows of at most ``most`` cells; joined in order of part they are its list."""
+    return chunks.chunked(density, "hour", ["cell", "visitors"], F.struct("cell", "visitors"), "cells", most)
+
+
 def hours(density: DataFrame) -> DataFrame:
     return density.select("hour").distinct().orderBy("hour")
 

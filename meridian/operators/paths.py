@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.shared import stored
+from . import chunks
 from .components import components
 
 
@@ -22,6 +23,11 @@ def reconstruct(pings: DataFrame, route: str, tie: str) -> DataFrame:
     return pings.groupBy(route).agg(path.alias("path"))
 
 
+def reconstruct_chunks(pings: DataFrame, route: str, tie: str, most: int = chunks.MOST) -> DataFrame:
+    """(route, part, path): reconstruct() in rows of at most ``most`` places; joined in order of part they are the path."""
+    return chunks.chunked(pings.select(route, "event_time", tie, "lng", "lat"), route, ["event_time", tie, "lng", "lat"], F.struct("lng", "lat"), "path", most)
+
+
 def frechet_m(a: Column, b: Column) -> Column:
     """Discrete Frechet distance in metres of two paths, row by row of the coupling table; null if one is empty."""
 

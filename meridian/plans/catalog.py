@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +153,32 @@ def rejected_pings(spark, sf_dir):
     return rejected.groupBy("why").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("accepted_messages", f"{SENT} select id as key, event_time, lat, lng, 'route-' || (user_id % 5) as route_id from sent where not cut and sent_as = id and not timeless and not placeless")
+def accepted_messages(spark, sf_dir):
+    """Key and content of each accepted message."""
+    accepted, _ = wire.accept(fixtures.messages(spark, sf_dir), "sent_as")
+    found = wire.decode(accepted).select("key", "id", parse.event_time(F.col("timestamp")).alias("event_time"), "position", "route_id")
+    return found.filter("key = id").select("key", ntz("event_time"), "position.lat", "position.lng", "route_id")
+
+
+@query("rejected_messages", f"""{SENT} select case when cut then 'malformed' when sent_as <> id then 'id mismatch' when timeless then 'no time' else 'no position' end as why,
+  substr('{{"id":"' || id || '","route_id":"', 1, 20) as begins from sent where cut or sent_as <> id or timeless or placeless""")
+def rejected_messages(spark, sf_dir):
+    """Reason and beginning of each rejected message, kept as it came."""
+    _, rejected = wire.accept(fixtures.messages(spark, sf_dir), "sent_as")
+    return rejected.select("why", F.substring("value", 1, 20).alias("begins"))
+
+
+@query("raw_messages", f"{SENT} select sent_as as key, substr('{{\"id\":\"' || id || '\",\"route_id\":\"', 1, 20) as begins, 'pings' as topic, (event_id % 3)::int as \"partition\", event_id // 3 as \"offset\" from sent")
+def raw_messages(spark, sf_dir):
+    """Binary messages as text, with what the broker knows about them."""
+    sent = fixtures.messages(spark, sf_dir).select(
+        F.col("sent_as").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("pings").alias("topic"),
+        (F.col("event_id") % 3).cast("int").alias("partition"), F.expr("event_id div 3").alias("offset"),
+    )
+    return wire.raw(sent).select("key", F.substring("value", 1, 20).alias("begins"), "topic", "partition", "offset")
+
+
 @query("json_paths", "select event_id, coalesce(try_cast(props ->> '$.k' as bigint), 0) as k, coalesce(try_cast(props ->> '$.k' as double), 0.0::double) as k_number, coalesce(props ->> '$.missing', '') as missing from events")
 def json_paths(spark, sf_dir):
     """Typed extraction by JSON path, with defaults."""
@@ -292,27 +319,55 @@ def density_rollup(spark, sf_dir):
     return store.compact(spark, path, into, "late").select(ntz("hour"), "cell", "visitors")
 
 
-def _close(spark, sf_dir, found: DataFrame) -> DataFrame:
-    """(hour, cell, close): is an estimate within one visitor or a fifth of the exact count?"""
-    exact = density.hourly(fixtures.pings(spark, sf_dir)).select("hour", "cell", F.col("visitors").alias("exact"))
+def _close(pings: DataFrame, found: DataFrame, same_below: int, share: float) -> DataFrame:
+    """(hour, cell, close): is an estimate the exact count below a size, and within a share of it (one visitor at least) from there on?"""
+    exact = density.hourly(pings).select("hour", "cell", F.col("visitors").alias("exact"))
     both = found.select("hour", "cell", "visitors").join(exact, ["hour", "cell"], "full")
-    near = F.abs(F.col("visitors") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") / 5)
+    off = F.abs(F.col("visitors") - F.col("exact"))
+    near = F.when(F.col("exact") < same_below, off == 0).otherwise(off <= F.greatest(F.lit(1.0), F.col("exact") * share))
     return both.select(ntz("hour"), "cell", F.coalesce(near, F.lit(False)).alias("close"))
 
 
+#: equal below, and within a share of the count from there on: 512 registers have a standard error
+#: of 5 % and may take two ids for one; a sketch of 4096 holds small sets as they are
+REGISTERS, SKETCH = (2, 0.2), (100, 0.05)
 CLOSE = f"{HOURLY} select hour, cell, true as close from hourly"
 
 
 @query("density_hourly_approx_error", CLOSE)
 def density_hourly_approx_error(spark, sf_dir):
     """The estimates by HyperLogLog++ against exact counts."""
-    return _close(spark, sf_dir, density.hourly(fixtures.pings(spark, sf_dir), approximate=True))
+    p = fixtures.pings(spark, sf_dir)
+    return _close(p, density.hourly(p, approximate=True), *REGISTERS)
 
 
 @query("density_sketches_error", CLOSE)
 def density_sketches_error(spark, sf_dir):
     """The estimates from merged sketches against exact counts."""
-    return _close(spark, sf_dir, _from_sketches(spark, sf_dir))
+    return _close(fixtures.pings(spark, sf_dir), _from_sketches(spark, sf_dir), *SKETCH)
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    """Pings of a whole day in one place: large counts."""
+    return fixtures.pings(spark, sf_dir).withColumns({"event_time": F.date_trunc("day", "event_time"), "lat": F.lit(37.5), "lng": F.lit(127.0)})
+
+
+CLOSE_DAILY = f"with {PINGS} select distinct date_trunc('day', event_time) as hour, '37500_127000' as cell, true as close from pings"
+
+
+@query("density_daily_approx_error", CLOSE_DAILY)
+def density_daily_approx_error(spark, sf_dir):
+    """Daily counts (over a hundred, at sf0.01 and more) by HyperLogLog++ against exact ones."""
+    p = _daily(spark, sf_dir)
+    return _close(p, density.hourly(p, approximate=True), *REGISTERS)
+
+
+@query("density_daily_sketches_error", CLOSE_DAILY)
+def density_daily_sketches_error(spark, sf_dir):
+    """Daily counts from sketches of overlapping parts against exact ones."""
+    p = _daily(spark, sf_dir)
+    parts = [density.sketches(p.filter(f"event_id % 3 <> {k}")) for k in (0, 1)]
+    return _close(p, density.from_sketches(parts[0].union(parts[1])), *SKETCH)
 
 
 @query("density_recent", f"{HOURLY} select hour, cell, sum(visitors)::bigint as visitors from hourly where hour >= timestamp '2024-01-14 12:00:00' and hour < timestamp '2024-01-15 12:00:00' group by 1, 2 order by 1, 2")
@@ -467,6 +522,27 @@ def metrics(spark, sf_dir):
     return modes.metrics(_guessed(spark, sf_dir)).select(rounded("accuracy", 9), rounded("f1", 9))
 
 
+@query("split_windows", f"{LABELLED} select user_id, window_start, label, 1::bigint as sides, 1::bigint as user_sides from labelled")
+def split_windows(spark, sf_dir):
+    """On how many sides of the split by users a labelled window is, and its user."""
+    parts = [part.withColumn("side", F.lit(k)) for k, part in enumerate(modes.split(_labelled(spark, sf_dir)))]
+    both = parts[0].union(parts[1])
+    users = both.groupBy("user_id").agg(F.count_distinct("side").alias("user_sides"))
+    rows = both.groupBy("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "label").agg(F.count_distinct("side").alias("sides"))
+    return rows.join(users, "user_id")
+
+
+@query("indexed_windows", f"""{LABELLED}, ranked as (select label, row_number() over (order by count(*) desc, label) - 1 as i from labelled group by label)
+  select user_id, window_start, label, i::double as label_index, {ROUNDED} from labelled join ranked using (label)""")
+def indexed_windows(spark, sf_dir):
+    """Labels by index and features as a vector, as the forest gets them."""
+    rows = stored(_labelled(spark, sf_dir), "labelled")
+    stages = modes.pipeline().getStages()[:2]
+    found = modes.Pipeline(stages=stages).fit(rows).transform(rows).withColumn("v", vector_to_array("features"))
+    at = {c: F.get("v", F.lit(i)) for i, c in enumerate(features.FEATURES)}
+    return _windows(found.select("user_id", "window", "label", "label_index", *[v.alias(c) for c, v in at.items()]), "label", "label_index")
+
+
 @query("forest_predictions")
 def forest_predictions(spark, sf_dir):
     """Weighted random forest: trained on most users, predictions for the others."""
@@ -649,7 +725,7 @@ def stream_density(spark, sf_dir):
 @query("stream_density_error", CLOSE)
 def stream_density_error(spark, sf_dir):
     """The stream's estimates against exact counts."""
-    return _close(spark, sf_dir, _density_from_stream(spark, sf_dir))
+    return _close(fixtures.pings(spark, sf_dir), _density_from_stream(spark, sf_dir), *REGISTERS)
 
 
 @query("stream_partials", f"with {PINGS} select date_trunc('hour', event_time) as hour, {sql_cell()} as cell, count(*)::bigint as visitors from pings group by 1, 2")

@@ -70,6 +70,39 @@ def test_pairs_at_any_latitude_and_across_the_meridian(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_stadium_is_dealt_to_several_tasks(spark):
+    """A crowd in one place and time: same pairs, and no key of the join with over four times the usual rows."""
+    crowd = [(f"s{k}", k % 4 + k / 1000, 37.5 + (k % 7) / 1e6, 127.0) for k in range(600)]
+    rest = [(f"r{k}", 20 * (k // 40), 37.6 + (k % 40) / 10, 127.0 + k / 50) for k in range(400)]
+    p = pings(spark, crowd + rest)
+    assert proximity.near_pairs(p, crowd=50).exceptAll(proximity.near_pairs(p, crowd=10**9)).count() == 0
+    assert proximity.near_pairs(p, crowd=50).count() == proximity.near_pairs(p, crowd=10**9).count() > 100_000
+    _, right = proximity.sides(p, 20.0, 5, 50)
+    sizes = [r["count"] for r in right.groupBy(*proximity.KEYS, "part").count().collect()]
+    assert max(sizes) <= 4 * 50
+    _, whole = proximity.sides(p, 20.0, 5, 10**9)
+    assert max(r["count"] for r in whole.groupBy(*proximity.KEYS, "part").count().collect()) > 500
+
+
+def test_chunks_of_long_groups(spark):
+    from meridian.operators import chunks
+
+    pick = random.Random(9)
+    rows = [(pick.choice(["a", "a", "a", "b", None]), pick.choice([None, *range(30)]), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = chunks.chunked(df, "g", ["o", "v"], F.struct("o", "v"), "items", 64).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for g in ("a", "b", None):
+        want = sorted(((o, v) for x, o, v in rows if x == g), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        parts = sorted((r.part, [tuple(x) for x in r["items"]]) for r in got if r.g == g)
+        assert [p for p, _ in parts] == list(range(len(parts))) and all(len(x) == 64 for _, x in parts[:-1])
+        assert [x for _, items in parts for x in items] == want
+
+
 def test_empty_pings(spark):
     none = pings(spark, [])
     assert proximity.near_pairs(none).collect() == []

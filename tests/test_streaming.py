@@ -139,3 +139,80 @@ def test_live_predictions(spark, tmp_path):
     jobs.run_available(modes.predict(model, live), str(tmp_path / "cp"), jobs.into_batches(str(tmp_path / "rows")))
     got = {(r.avg_speed >= 6, r.avg_speed >= 12, r.predicted) for r in store.read(spark, str(tmp_path / "rows")).collect()}
     assert got == {(False, False, "walk"), (True, False, "bike"), (True, True, "transport")}
+
+
+def test_state_on_disk_lasts_over_restarts(spark, tmp_path):
+    """Pairs that met are remembered for ever, in a store outside the heap, from run to run; crowded keys in parts."""
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
+    before = {n: spark.conf.get(n, None) for n in names}
+    jobs.keep_state_on_disk(spark)
+    try:
+        feed, out, place = Feed(spark, tmp_path / "in"), str(tmp_path / "rows"), (37.5, 127.0)
+        for s in (100, 1000, 2000):
+            feed.add([("a", at(s), *place), ("b", at(s + 1), *place), (f"x{s}", at(s), *place)])
+            events = jobs.first_encounters(jobs.encounters(feed.stream(), parts=3), for_ever=True).drop("time1")
+            query = jobs.run_available(events, str(tmp_path / "cp"), jobs.into_batches(out))
+        got = [(r.user1_id, r.user2_id) for r in store.read(spark, out).collect()]
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert len(got) == len(set(got)) == 2 + 3 * 4
+    assert any("rocksdb" in k for s in query.lastProgress["stateOperators"] for k in s["customMetrics"])
+
+
+def test_metrics_of_batches_are_a_table(spark, tmp_path):
+    from meridian.streaming import metrics
+
+    feed, recorder = Feed(spark, tmp_path / "in"), metrics.Recorder(spark, str(tmp_path / "metrics"))
+    spark.streams.addListener(recorder)
+    try:
+        for rows in ([("a", at(5000), 1.0, 1.0), ("b", at(5000), None, 1.0)], [("c", at(10), 1.0, 1.0), ("d", at(5001), 1.0, 1.0)]):
+            feed.add(rows)
+            jobs.run_available(jobs.one_per_second(wire.tapped(feed.stream(), "tap")), str(tmp_path / "cp"), jobs.into_batches(str(tmp_path / "rows")))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(recorder)
+    assert recorder.failed == []
+    found = {(r.source, r.metric): r.v for r in recorder.table().groupBy("source", "metric").agg(F.sum("value").alias("v")).collect()}
+    assert found["tap", "rows"] == 4 and found["tap", "no_lat"] == 1
+    assert metrics.late_rows(recorder.table()).first().late == 1
+
+
+class Calls:
+    """Stands for a reader or writer and keeps what it is told."""
+
+    def __init__(self):
+        self.told = {}
+
+    def option(self, name, value):
+        self.told[name] = value
+        return self
+
+    def __getattr__(self, name):
+        def call(*values):
+            self.told[name] = values
+            return self
+
+        return call
+
+
+def test_options_of_topics():
+    class Session:
+        readStream = Calls()
+
+    wire.topic(Session, "one:9092,two:9092", "pings")
+    assert Session.readStream.told == {"format": ("kafka",), "kafka.bootstrap.servers": "one:9092,two:9092", "subscribe": "pings", "startingOffsets": "earliest", "load": ()}
+
+    class Messages:
+        writeStream = Calls()
+
+    wire.to_topic(Messages, "one:9092", "encounters", "/cp", "update")
+    assert Messages.writeStream.told == {"format": ("kafka",), "outputMode": ("update",), "kafka.bootstrap.servers": "one:9092", "topic": "encounters", "checkpointLocation": "/cp"}
+
+
+def test_what_is_sent_has_key_and_value(spark):
+    rows = spark.createDataFrame([("a", 1, (2.0, 3.0))], "id string, n long, position struct<lat: double, lng: double>")
+    sent = wire.encode(rows, "id")
+    assert sent.dtypes == [("key", "string"), ("value", "string")]
+    assert tuple(sent.first()) == ("a", '{"id":"a","n":1,"position":{"lat":2.0,"lng":3.0}}')
+    assert wire.encode(rows).columns == ["value"]
