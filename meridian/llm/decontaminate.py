@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, stored, table, text_bytes
+from .common import chunks, fresh, hot_values, spread_join, stored, table, text_bytes
 
 WINDOW = 10
 WIDTH = 3
@@ -39,8 +39,8 @@ BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 12, 1 << 26
 PART = 1 << 18
 #: hashes of words that a worker keeps
 CACHED = 60_000
-#: results by row (a number, some spans and ids) that are broadcast; more are joined by a shuffle
-BROADCAST_ROWS = 20_000
+#: bytes of results by row (a number, spans and ids) that are broadcast; more are joined by a shuffle
+BROADCAST_BYTES = 8 << 20
 #: ASCII letters and digits and all bytes above 127 are word bytes; the rest divides words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -223,16 +223,23 @@ def _hits(segments: DataFrame, wins: DataFrame) -> DataFrame:
     return fits.join(words, "seg").filter((F.col("at") + F.col("length") <= F.size("words")) & same).select("seg", "at", "length", "win")
 
 
+def _key() -> Column:
+    """A digest of a stretch and the length of its windows."""
+    return F.md5(F.concat_ws(" ", "length", "words").cast("binary"))
+
+
 def found_in(rows: DataFrame, items: DataFrame, wins: DataFrame) -> DataFrame:
     """(_row, n_hit, spans, items) of the rows of scanned() with an occurrence."""
     placed = rows.filter(F.size("_segments") > 0).select("_row", F.explode("_segments").alias("s")).select("_row", "s.*")
     segments = placed.groupBy("length", "words").agg(F.count("*").alias("n")).withColumn("seg", F.monotonically_increasing_id())
-    segments = stored(segments, "stretches")
+    segments = stored(segments.withColumn("key", _key()), "stretches")
     hits = stored(_hits(segments, wins.dropDuplicates(["win"])), "hits")
     spans = hits.groupBy("seg").agg(_spans(F.col("at"), F.col("at") + F.col("length")).alias("inside"))
     texts = hits.select("seg", "win").distinct().join(wins.select("win", "text_key"), "win").groupBy("seg").agg(F.collect_set("text_key").alias("texts"))
-    verdicts = stored(segments.join(spans, "seg").join(texts, "seg").select("length", "words", "inside", "texts"), "verdicts")
-    own = placed.join(verdicts, ["length", "words"]).select("_row", "start", "inside", "texts")
+    verdicts = stored(segments.join(spans, "seg").join(texts, "seg").select("key", "n", "inside", "texts"), "verdicts")
+    # a passage may be in a third of the documents; what is shuffled for each is a digest
+    keyed = placed.select("_row", "start", _key().alias("key"))
+    own = spread_join(keyed, verdicts.drop("n"), "key", hot_values(verdicts, "key", "n")).select("_row", "start", "inside", "texts")
     covered = own.select("_row", F.explode("inside").alias("s"), "start").groupBy("_row").agg(_spans(F.col("start") + F.col("s.start"), F.col("start") + F.col("s.end")).alias("spans"))
     # item ids are listed once for each set of texts, however many rows have it
     sets = stored(own.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("texts")))).alias("texts")), "text-sets")
@@ -259,7 +266,8 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     ids = named.select("text_key", "id").distinct()
     rows = scanned(fresh(docs, *RESULTS, "_row", "_segments"), bitmaps(wins), text, keep_text)
     found = stored(found_in(rows, ids, wins), "found")
-    if found.count() <= BROADCAST_ROWS:
+    ids_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 24)
+    if found.agg(F.coalesce(F.sum(ids_bytes + F.size("spans") * 32 + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         found = F.broadcast(found)
     whole = rows.drop("_segments").join(found, "_row", "left").drop("_row")
     return whole.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "spans": F.coalesce("spans", F.array().cast(SPANS)), "items": F.coalesce("items", F.array().cast("array<string>"))})

@@ -6,9 +6,10 @@ relative distance to the runner-up is the margin. Predictions with a margin unde
 NARROW are flagged as rejected.
 
 Dictionaries are the classifier's fit and use a bounded sample of labelled rows: per
-language the documents of lowest hash in each of BUCKETS buckets, SLICE bytes of each
-(several slices spread over a longer text), at most DICTIONARY bytes, whatever other
-languages have. Predictions read whole texts, all in one way.
+language the documents of lowest hash in each of BUCKETS buckets, in order of a hash, whole
+texts of up to WHOLE bytes (of a longer one a window of that size, at a place by the hash),
+as many as fit DICTIONARY bytes, whatever other languages have. Predictions read whole
+texts, all in one way.
 
 TOGETHER languages are learned and compared at a time, which bounds what is collected and
 broadcast. More languages (of noisy labels, say) take more passes, and the smallest two
@@ -18,7 +19,7 @@ results are carried from one to the next, so every language is compared.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, crc_mod, fresh, stored, table, with_columns
 
 FOLDS, HELD_OUT = 4, 2
-BUCKETS, SLICE, DICTIONARY = 96, 1536, 110_000
+BUCKETS, WHOLE, DICTIONARY = 96, 6_875, 110_000
 TOGETHER = 64
 LEVEL = 6
 NARROW = 0.01
@@ -38,12 +39,13 @@ PAD = bytes(64)
 UNKNOWN = "und"
 
 
-def _slices(text: str) -> bytes:
+def _part(text: str, h: int) -> bytes:
+    """What a text gives to its language's dictionary."""
     data = text.lower().encode()
-    if len(data) <= SLICE:
-        return data + b"\n"
-    part, gap = SLICE // 3, (len(data) - SLICE // 3) // 2
-    return b"".join(data[i : i + part] + b"\n" for i in (0, gap, 2 * gap))
+    if len(data) > WHOLE:
+        begin = h % (len(data) - WHOLE + 1)
+        data = data[begin : begin + WHOLE].decode(errors="ignore").encode()
+    return data + b"\n"
 
 
 def _known(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
@@ -78,15 +80,19 @@ def train(docs: DataFrame, only: list[str] | None = None, doc_id: str = "doc_id"
     rows = known.join(picks, (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang")), "left_semi")
     rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 40)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_slices(t) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "lang", "part"])
+            parts = [_part(t, h) for t, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), pa.array(parts, pa.binary())], names=["h", "lang", "part"])
 
-    kind = known.schema["doc_id"].dataType.simpleString()
-    parts: dict[str, list[bytes]] = {}
-    for _, name, part in sorted((r.doc_id, r.lang, bytes(r.part)) for r in rows.mapInArrow(run, f"doc_id {kind}, lang string, part binary").collect()):
-        parts.setdefault(name, []).append(part)
-    return {name: b"".join(p)[:DICTIONARY] for name, p in sorted(parts.items())}
+    # at most BUCKETS parts a language
+    found: dict[str, bytes] = {}
+    for _, name, part in sorted((r.h, r.lang, bytes(r.part)) for r in rows.select("doc_id", "lang", "text", "h").mapInArrow(run, "h long, lang string, part binary").collect()):
+        if len(found.get(name, b"")) + len(part) <= DICTIONARY:
+            found[name] = found.get(name, b"") + part
+    return dict(sorted(found.items()))
 
 
 @functools.cache
@@ -149,16 +155,20 @@ def identify(docs: DataFrame, *models: dict[str, bytes], text: str = "text") ->
     was learned. Ties go to the alphabetically first language and are rejected. Repeated
     rows stay repeated. Columns with those names give way. Each model is a pass over docs.
     """
-    rest = fresh(docs, "lang_pred", "score", "rejected", "_best")
-    for k, model in enumerate(models):
-        rest = _compared(rest, model, text)
-        if k + 1 < len(models):
-            rest = stored(rest, "compared")
+    return identified(docs, models, text)
+
+
+def identified(docs: DataFrame, models: Iterable[dict[str, bytes]], text: str = "text") -> DataFrame:
+    """identify() with models taken one at a time, so that one set of dictionaries is held at once."""
+    rest, any_model = fresh(docs, "lang_pred", "score", "rejected", "_best"), False
+    for model in models:
+        rest = _compared(stored(rest, "compared") if any_model else rest, model, text)
+        any_model = True
     columns = [f for f in rest.schema if f.name != "_best"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = batch.column(batch.schema.get_field_index("_best")).to_pylist() if models else [None] * batch.num_rows
+            best = batch.column(batch.schema.get_field_index("_best")).to_pylist() if any_model else [None] * batch.num_rows
             found = [judged(b and (b["size"], b["lang"], b["second"])) for b in best]
             extra = [("lang_pred", pa.string(), [x[0] for x in found]), ("score", pa.float64(), [x[1] for x in found]), ("rejected", pa.bool_(), [x[2] for x in found])]
             yield with_columns(batch, extra, ("_best",))
@@ -184,17 +194,17 @@ def _compared(docs: DataFrame, model: dict[str, bytes], text: str) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, _best struct<size:double,lang:string,second:double>")
 
 
-def models_of(docs: DataFrame, **columns: str) -> list[dict[str, bytes]]:
+def models_of(docs: DataFrame, **columns: str) -> Iterator[dict[str, bytes]]:
     """The dictionaries of all languages, TOGETHER at a time."""
     names = languages(docs, **columns)
-    return [train(docs, names[i : i + TOGETHER], **columns) for i in range(0, len(names), TOGETHER)]
+    for i in range(0, len(names), TOGETHER):
+        yield train(docs, names[i : i + TOGETHER], **columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    models = models_of(docs)
     held_out = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
-    return identify(docs.select("doc_id", "text"), *models).select("doc_id", held_out, "lang_pred", "score", "rejected")
+    return identified(docs.select("doc_id", "text"), models_of(docs)).select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op5_language": query}

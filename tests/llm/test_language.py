@@ -62,11 +62,11 @@ def test_query_is_the_brute_force_prediction(spark):
 def test_many_languages_take_more_passes(spark, monkeypatch):
     rows = [(f"n{i}", TEXTS[k] * 9, k) for i, k in enumerate(["en", "de"] * 20)] + [(f"m{i}", f"word{i} " * 30, f"x{i:02}") for i in range(7)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
-    whole = language.models_of(docs)
+    whole = list(language.models_of(docs))
     assert len(whole) == 1
     want = sorted(map(tuple, language.identify(docs, *whole).collect()))
     monkeypatch.setattr(language, "TOGETHER", 2)
-    parts = language.models_of(docs)
+    parts = list(language.models_of(docs))
     assert len(parts) > 3
     assert sorted(map(tuple, language.identify(docs, *parts).collect())) == want
 
@@ -89,3 +89,23 @@ def test_short_texts(spark):
     for n, least in ((60, 0.8), (120, 0.9)):
         right = [language.predict(r.text[:n], model)[0] == r.lang for r in held]
         assert sum(right) / len(right) > least
+
+
+def test_dictionaries_hold_whole_texts_in_order_of_a_hash():
+    assert language._part("Ab é", 5) == "ab é\n".encode()
+    long = "é" * 10_000
+    parts = {language._part(long, h) for h in range(1, 4000, 13)}
+    assert all(len(p) <= language.WHOLE + 1 and p.decode() for p in parts)
+    windows = {language._part("".join(chr(97 + k % 26) for k in range(40_000)), h)[:20] for h in range(0, 30_000, 777)}
+    assert len(windows) > 10  # anywhere in the text
+
+
+def test_no_id_is_left_out_for_its_order(spark):
+    """Texts fill the dictionary by hash: both low and high ids are in it."""
+    rows = [(i, f"word{i} " + "filler text of some length here " * 60, "en") for i in range(400)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    ids = [int(w[4:]) for w in model["en"].decode().split() if w.startswith("word")]
+    assert len(model["en"]) <= language.DICTIONARY and len(ids) > 40
+    assert min(ids) < 100 and max(ids) > 300 and ids != sorted(ids)
+    assert all(model["en"].decode().count(rows[i][1]) == 1 for i in ids)
+    assert language.identify(spark.createDataFrame([("x " * 300_000,)], "text string"), model).first().lang_pred == "en"
