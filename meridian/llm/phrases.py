@@ -194,13 +194,17 @@ def _low(bits: int) -> np.ndarray:
     return np.uint64((1 << (48 - bits)) - 1)
 
 
+def _part_bits(tokens: int) -> int:
+    return max(8, (max(1, tokens) // PART_TOKENS).bit_length())
+
+
 def often(texts: DataFrame, seed: int, tokens: int, fewest: int, each: Callable[[Words], np.ndarray]) -> DataFrame:
     """(h): the keys of the hashes that ``each`` finds in windows, of those found ``fewest`` times at least.
 
     Tasks count and pack what they found by the first bits of the key (the part); a part's
     counts, of PART_TOKENS words of text on average, are summed by one task.
     """
-    bits = max(8, (max(1, tokens) // PART_TOKENS).bit_length())
+    bits = _part_bits(tokens)
 
     def packed(found: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(found), return_counts=True)
@@ -323,20 +327,31 @@ def _marked_triples(words: Words, pairs: np.ndarray) -> tuple[np.ndarray, np.nda
     return good, begins, then(found[begins], words.hashes[begins + 2])
 
 
-def candidates(texts: DataFrame, seed: int, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
-    """(h1, h2, h3): the marked pairs (h3 is 0) and triples that occur, each once."""
-    context = texts.sparkSession.sparkContext
+def _once(rows: np.ndarray) -> np.ndarray:
+    """The different columns of (3, n), sorted."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))] if rows.shape[1] else rows
+
+
+def candidates(texts: DataFrame, seed: int, tokens: int, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(h1, h2, h3): the marked pairs (h3 is 0) and triples that occur, each once.
+
+    Tasks hand on what they have seen, once each, packed by a hash's first bits (the part);
+    a part's phrases are put together by one task.
+    """
+    context, bits = texts.sparkSession.sparkContext, _part_bits(tokens)
     shared = context.broadcast(pairs), context.broadcast(triples)
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held, axis=1)
-        by = np.lexsort(rows[::-1])
-        rows = rows[:, by]
-        rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))]
-        return pa.RecordBatch.from_arrays([_signed(r) for r in rows], names=["h1", "h2", "h3"])
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        part = (then(then(rows[0], rows[1]), rows[2]) >> np.uint64(64 - bits)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        part, rows = part[by], rows[:, by]
+        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        blobs = [rows[:, i:j].tobytes() for i, j in zip(start.tolist(), np.append(start[1:], len(part)).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(blobs, pa.binary())], names=["part", "phrases"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(seed), [], 0
+        hasher, known, held, size = Hasher(seed), np.zeros((3, 0), np.uint64), [], 0
         for batch in chunks(batches):
             for _, _, words in hasher.batch(batch):
                 good, begins, hashes = _marked_triples(words, shared[0].value)
@@ -347,12 +362,19 @@ def candidates(texts: DataFrame, seed: int, pairs: np.ndarray, triples: np.ndarr
                 held.append(np.stack([h[begins + k] for k in range(3)]))
                 size += len(at) + len(begins)
                 if size >= HELD:
-                    yield packed(held)
-                    held, size = [], 0
-        if size:
-            yield packed(held)
+                    known, held, size = _once(np.concatenate([known, *held], axis=1)), [], 0
+                    if known.shape[1] >= 2 * HELD:
+                        yield packed(known)
+                        known = known[:, :0]
+        known = _once(np.concatenate([known, *held], axis=1))
+        if known.shape[1]:
+            yield packed(known)
+
+    def merged(rows: pa.Table) -> pa.Table:
+        found = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in rows.column("phrases").to_pylist()]
+        return pa.table([_signed(r) for r in _once(np.concatenate(found, axis=1))], names=["h1", "h2", "h3"])
 
-    return texts.mapInArrow(run, "h1 long, h2 long, h3 long").distinct()
+    return texts.mapInArrow(run, "part int, phrases binary").groupBy("part").applyInArrow(merged, "h1 long, h2 long, h3 long")
 
 
 class Trie:
@@ -535,7 +557,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", fewest
         return spark.createDataFrame([], SCHEMA)
     pair_bits = bitmap(pairs)
     triples = stored(frequent_triples(texts, seed, tokens, fewest, pair_bits), "triple-keys")
-    listed = stored(candidates(texts, seed, pair_bits, bitmap(triples)), "candidates")
+    listed = stored(candidates(texts, seed, tokens, pair_bits, bitmap(triples)), "candidates")
     counted = stored(count_phrases(texts, seed, listed).filter(F.col("a") >= fewest), "counts")
     return ranked(counted, frequent, words.groupBy("lang").agg(F.sum("f").alias("n")), cover, top)
 
