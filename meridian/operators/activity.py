@@ -17,13 +17,16 @@ UNIT = ["user_id", "_period"]
 
 
 def _with_neighbours(rows: DataFrame, time: str) -> DataFrame:
-    """rows with ``_before`` and ``_after``: structs with the mode of the user's row before and after (null: none)."""
-    one, within, periods = F.struct("mode"), Window.partitionBy(*UNIT).orderBy(time), Window.partitionBy("_user").orderBy("_of")
-    ends = rows.groupBy(F.col("user_id").alias("_user"), F.col("_period").alias("_of")).agg(F.min_by(one, time).alias("first"), F.max_by(one, time).alias("last"))
-    ends = ends.select("_user", "_of", F.lag("last").over(periods).alias("_earlier"), F.lead("first").over(periods).alias("_later"))
-    inside = rows.withColumns({"_before": F.lag(one).over(within), "_after": F.lead(one).over(within)})
-    joined = inside.join(ends, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_period").eqNullSafe(F.col("_of")), "left")
-    return joined.withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")}).drop("_user", "_of", "_earlier", "_later")
+    """rows with ``_before`` and ``_after``: structs with the mode of the user's row before and after (null: none).
+
+    Neighbours inside a period are found there; only a period's first and last rows go on to
+    the user's window.
+    """
+    one, unit, user = F.struct("mode"), Window.partitionBy(*UNIT).orderBy(time), Window.partitionBy("user_id").orderBy("_period", time)
+    marked = rows.withColumns({"_before": F.lag(one).over(unit), "_after": F.lead(one).over(unit)})
+    at_edge = F.col("_before").isNull() | F.col("_after").isNull()
+    found = {"_before": F.coalesce("_before", F.lag(one).over(user)), "_after": F.coalesce("_after", F.lead(one).over(user))}
+    return marked.filter(~at_edge).unionByName(marked.filter(at_edge).withColumns(found))
 
 
 def _dealt(timeline: DataFrame, period: Column | None) -> DataFrame:
