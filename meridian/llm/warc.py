@@ -8,12 +8,18 @@ The archives are written deduplicated, with fresh headers, and read back record
 Archives are gzipped text files of Spark's own writer, whose line separator is the blank
 line that ends a WARC record, so any file system that Spark knows will do; a gzipped file
 isn't split, so the reader gets each archive's lines in order and follows Content-Length.
+
+Payloads stay where they are: what is shuffled by digest are headers. Verdicts come back by
+a broadcast while they are few; beyond that a bitmap of the repeated digests is broadcast,
+and only pages whose digest is marked there (copies, and one in 16 others) are joined by a
+shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,23 +30,54 @@ from .common import fresh_path, stored, table
 REVISIT_FROM = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BREAK = "\r\n"
+#: repeated digests (about 100 bytes each) that are broadcast
+BROADCAST_ROWS = 200_000
+#: bits of the bitmap of repeated digests: so many each, a power of two between these; and of one row of it
+BITS_EACH, FEWEST_BITS, MOST_BITS, ROW_BITS = 16, 1 << 15, 1 << 29, 1 << 15
 
 
 def page_urn(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+    """A record's name by its page's id of any type, percent-encoded; without an id it is empty."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("")), F.lit(">"))
+
+
+def _slot(digest: Column, bits: int) -> Column:
+    """A digest's place in a bitmap of that many bits."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % bits
+
+
+def _marked(headed: DataFrame, repeats: DataFrame, count: int) -> DataFrame:
+    """headed with ``maybe``: may the digest be one of the repeated ones? (never false for one of them)"""
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * count - 1).bit_length()))
+    slots = repeats.select(_slot(F.col("payload_digest"), bits).alias("slot"))
+    rows = slots.groupBy(F.floor(F.col("slot") / ROW_BITS).alias("bits_row")).agg(F.bitmap_construct_agg(F.col("slot") % ROW_BITS).alias("bits"))
+    # at most MOST_BITS
+    placed = headed.withColumn("slot", _slot(F.col("payload_digest"), bits)).withColumn("row", F.floor(F.col("slot") / ROW_BITS))
+    joined = placed.join(F.broadcast(rows), F.col("row") == F.col("bits_row"), "left")
+    at = F.col("slot") % ROW_BITS
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    bit = F.expr("shiftright({b}, cast(slot % 8 as int))".format(b="byte"))
+    maybe = F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return joined.withColumn("byte", byte).withColumn("maybe", maybe).drop("slot", "row", "bits_row", "bits", "byte")
 
 
 def resolved(pages: DataFrame) -> DataFrame:
     """pages with ``payload``, ``payload_bytes``, ``payload_digest`` and ``refers_to`` (null: a response).
 
-    Only digests that occur twice or more are written out and joined back: Spark
-    broadcasts them while they are small and splits a hot digest otherwise.
+    Only digests that occur twice or more are written out and come back as verdicts; no
+    payload of a page without copies is shuffled for them but by chance of the bitmap.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     headed = pages.select("page_id", "url", payload.alias("payload"), F.length(payload.cast("binary")).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
     groups = headed.filter(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("original")).filter("n > 1")
     repeats = stored(groups.select("payload_digest", "original"), "repeats")
-    joined = headed.join(repeats, "payload_digest", "left")
+    count = repeats.count()
+    if count <= BROADCAST_ROWS:
+        joined = headed.join(F.broadcast(repeats), "payload_digest", "left")
+    else:
+        flagged = _marked(headed, repeats, count)
+        alone = flagged.filter(~F.col("maybe")).withColumn("original", F.lit(None).cast(repeats.schema["original"].dataType))
+        joined = flagged.filter("maybe").join(repeats, "payload_digest", "left").unionByName(alone).drop("maybe")
     return joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("original")), F.col("original"))).drop("original")
 
 
@@ -114,13 +151,12 @@ class _Reader:
         return _id(head["warc-record-id"]), head["warc-target-uri"], kind, stated, self.size, _id(head.get("warc-refers-to", ""))
 
 
-def _id(urn: str) -> int | None:
-    found = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(found) if found else None
+def _id(urn: str) -> str | None:
+    return unquote_plus(urn.removeprefix("<urn:page:").removesuffix(">")) or None
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_type, payload_digest, block_bytes, refers_to) of every record.
+def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """(page_id, url, record_type, payload_digest, block_bytes, refers_to) of every record, ids of a type.
 
     Payload digests of responses are computed anew and must be as stated.
     """
@@ -136,10 +172,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if found := reader.take(line):
                     out.append(found)
             columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "url", "record_type", "payload_digest", "block_bytes", "refers_to"])
 
-    return lines.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, block_bytes long, refers_to long")
+    read = lines.mapInArrow(run, "page_id string, url string, record_type string, payload_digest string, block_bytes long, refers_to string")
+    return read.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -149,12 +186,14 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
     Revisits are joined to the responses they refer to, whose payload length is theirs. A
     null html is an empty payload; payloads under REVISIT_FROM bytes are always responses.
     Rows that repeat an id with equal payloads are all responses if theirs is the smallest
-    id; if no page of a group has an id, all stay responses. A null url reads empty.
+    id; if no page of a group has an id, all stay responses. A null url reads empty. Ids may
+    be of any type; an empty string reads as null. Other columns, whatever their names, don't
+    take part.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "archives")
     write_archives(pages, path)
-    headers = stored(read_archives(spark, path), "headers")
+    headers = stored(read_archives(spark, path, pages.schema["page_id"].dataType.simpleString()), "headers")
     revisits = headers.filter("record_type = 'revisit'")
     originals = headers.filter((F.col("record_type") == "response") & (F.col("block_bytes") >= REVISIT_FROM)).groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.max("block_bytes").alias("payload_bytes"))
     full = revisits.join(originals, "payload_digest", "left").select("page_id", "url", "record_type", "payload_digest", "payload_bytes", F.col("original").alias("refers_to"))

@@ -54,3 +54,27 @@ def test_archive_is_cut_by_length_alone(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_many_repeated_digests_go_by_a_bitmap(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast bound the results are the same, and no page without copies is shuffled with its payload."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    pages = spark.createDataFrame([(*r, "k") for r in ROWS], "page_id long, url string, html string, refers_to string")
+    got = warc.archived(pages.coalesce(2), str(tmp_path / "w")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == plain(ROWS)
+    rows = [(k, "u", f"page {k // 2 if k < 400 else k} " + "x" * 100) for k in range(4000)]
+    flagged = warc.resolved(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert flagged.filter("refers_to is not null").count() == 200
+    headed = spark.createDataFrame([(hashlib.sha256(h.encode()).hexdigest(),) for _, _, h in rows], "payload_digest string")
+    repeats = headed.groupBy("payload_digest").count().filter("count > 1")
+    marked = warc._marked(headed, repeats, repeats.count())
+    assert 400 <= marked.filter("maybe").count() < 900
+    assert marked.join(repeats, "payload_digest").filter("not maybe").count() == 0
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    body = "z" * 200
+    rows = [("b/ü <x>\n", "u", body, "k", 1), ("a b", "u", body, "k", 1), ("", "u", "short", "k", 1), (None, "u", body, "k", 1)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, payload string, original int")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archived(pages).collect()}
+    assert got == {("a b", "response", None), ("b/ü <x>\n", "revisit", "a b"), (None, "response", None), (None, "revisit", "a b")}
