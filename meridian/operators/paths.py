@@ -48,8 +48,10 @@ def frechet_m(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.get(table, F.size(b) - 1))
 
 
-#: coupling-table cells that are filled at once (a row of each table), and pairs of paths at most
+#: coupling-table cells that are filled at once (a diagonal of each table), and pairs of paths at most
 CELLS, PAIRS = 1 << 17, 1024
+#: diagonals after which pairs that are too far are given up
+GIVE_UP = 16
 
 
 def _globe(path: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,22 +61,18 @@ def _globe(path: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return xyz, path.offsets.to_numpy().astype(np.int64)
 
 
-def _padded(xyz: np.ndarray, offsets: np.ndarray, rows: np.ndarray, flip: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(3, rows, longest) coordinates of some paths (``flip``: backwards), and their lengths."""
+def _padded(xyz: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(3, longest, rows) coordinates of some paths; the last place of a shorter one is repeated, which changes no distance."""
     size = offsets[rows + 1] - offsets[rows]
-    at = np.minimum(np.arange(size.max()), size[:, None] - 1)
-    if flip:
-        at = size[:, None] - 1 - at
-    return xyz[:, offsets[rows][:, None] + at], size
+    return xyz[:, offsets[rows] + np.minimum(np.arange(size.max())[:, None], size - 1)]
 
 
 def frechet_many(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most_m: float) -> np.ndarray:
     """Discrete Frechet distances (nan: over most_m) of pairs of paths, row i of a to row i of b.
 
-    All coupling tables of a block are filled together, row by row of a; the running minimum
-    along a row is a scan, as max(d, min(left, best)) composes. Straight lines through the
-    globe order as distances along its surface do. A pair is given up as soon as a whole row
-    of its table is too far.
+    The coupling tables of a block of pairs are filled together, one anti-diagonal at a time.
+    Straight lines through the globe order as distances along its surface do. Pairs whose last
+    two diagonals are too far are given up.
     """
     n, out = len(a[1]) - 1, np.full(len(a[1]) - 1, np.nan)
     size = np.maximum(np.diff(a[1]), np.diff(b[1]))
@@ -85,46 +83,28 @@ def frechet_many(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
         longest = size[order[min(at + PAIRS, n) - 1]]
         rows = order[at : at + max(1, min(PAIRS, CELLS // longest))]
         at += len(rows)
-        p, n_p = _padded(*a, rows)
-        q, n_q = _padded(*b, rows)
-        last = np.arange(q.shape[2]) == (n_q - 1)[:, None]
-        table, found = None, np.full(len(rows), np.nan)
-        live = np.arange(len(rows))
-        for i in range(int(n_p.max())):
-            d = ((p[:, live, i, None] - q[:, live]) ** 2).sum(0)
-            if table is None:
-                table = np.maximum.accumulate(d, axis=1)
-            else:
-                above = np.minimum(table, np.concatenate([np.full((len(live), 1), np.inf), table[:, :-1]], axis=1))
-                table = _scan_row(d, above)
-            ended = np.flatnonzero(n_p[live] == i + 1)
-            found[live[ended]] = table[ended][last[live[ended]]]
-            stay = (n_p[live] > i + 1) & (table.min(1) <= most)
-            if not stay.all():
-                live, table = live[stay], table[stay]
-            if not len(live):
-                break
+        p, q = _padded(*a, rows), _padded(*b, rows)[:, ::-1]
+        rows_p, rows_q = p.shape[1], q.shape[1]
+        # at i + 1: the diagonal's cell in row i
+        older, last = (np.full((rows_p + 1, len(rows)), np.inf) for _ in range(2))
+        for k in range(rows_p + rows_q - 1):
+            lo, hi = max(0, k - rows_q + 1), min(k, rows_p - 1) + 1
+            squared = ((p[:, lo:hi] - q[:, rows_q - 1 - k + lo : rows_q - 1 - k + hi]) ** 2).sum(0)
+            new = np.full_like(last, np.inf)
+            new[lo + 1 : hi + 1] = np.maximum(squared, np.minimum(np.minimum(last[lo:hi], last[lo + 1 : hi + 1]), older[lo:hi])) if k else squared
+            older, last = last, new
+            if k % GIVE_UP == GIVE_UP - 1:
+                live = np.minimum(older.min(0), last.min(0)) <= most
+                if not live.all():
+                    rows, p, q, older, last = rows[live], p[:, :, live], q[:, :, live], older[:, live], last[:, live]
+                    if not len(rows):
+                        break
+        found = last[rows_p] if len(rows) else np.zeros(0)
         good = found <= most
-        metres = np.full(len(rows), np.nan)
-        metres[good] = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(found[good]) / (2 * geo.EARTH_RADIUS_M)))
-        out[rows] = metres
+        out[rows[good]] = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(found[good]) / (2 * geo.EARTH_RADIUS_M)))
     return out
 
 
-def _scan_row(d: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """t[j] = max(d[j], min(t[j - 1], above[j])) along the second axis: functions x -> max(lo, min(x, hi)), composed by doubling."""
-    lo, hi = d.copy(), np.maximum(d, above)
-    lo[:, 0] = hi[:, 0]  # nothing to the left of the first
-    step = 1
-    while step < d.shape[1]:
-        # f after g: max(lo_f, min(max(lo_g, min(x, hi_g)), hi_f))
-        new_lo = np.maximum(lo[:, step:], np.minimum(lo[:, :-step], hi[:, step:]))
-        new_hi = np.maximum(lo[:, step:], np.minimum(hi[:, :-step], hi[:, step:]))
-        lo[:, step:], hi[:, step:] = new_lo, new_hi
-        step *= 2
-    return np.minimum(lo, hi)
-
-
 def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
     """(a, b, metres): routes a < b within a Frechet distance.
 

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from meridian.plans import fixtures
 from meridian.sources import pings as wire
 from meridian.sources import store, trajectories
 
-from .conftest import SMALL
+from .conftest import MEDIUM, SMALL
 
 T0 = datetime(2024, 1, 1)
 
@@ -388,3 +389,64 @@ def test_paths_are_whole(spark):
     sf_dir = "/root/testdata/sf0.001"
     places = {r.user_id: r["count"] for r in fixtures.events(spark, sf_dir).groupBy("user_id").count().collect()}
     assert {r.user_id: len(r.path) for r in catalog._paths(spark, sf_dir).collect()} == places
+
+
+def test_path_clusters_against_brute_force(spark):
+    """The registered query against all pairs and a plain search of clusters."""
+    from meridian.plans import catalog
+
+    got = catalog.path_clusters(spark, MEDIUM).collect()
+    whole = sorted((r.user_id, [(p.lng, p.lat) for p in r.path]) for r in catalog._paths(spark, MEDIUM).collect())
+    users, places = [u for u, _ in whole], [pa.array([{"lng": x, "lat": y} for x, y in path]) for _, path in whole]
+    every = [(i, j) for j in range(len(users)) for i in range(j)]
+
+    def side(k):
+        column = pa.array([places[p[k]].to_pylist() for p in every], pa.list_(pa.struct([("lng", pa.float64()), ("lat", pa.float64())])))
+        return paths._globe(column)
+
+    # distances themselves are tested against every pair above
+    metres = paths.frechet_many(side(0), side(1), 170.0)
+    far = {(min(users[i], users[j]), max(users[i], users[j])): m for (i, j), m in zip(every, metres.tolist(), strict=True) if m == m}
+    near = {u: {v for v in users if (min(u, v), max(u, v)) in far} for u in users}
+    cores = {u for u in users if len(near[u]) + 1 >= 3}
+    cluster = {u: u for u in cores}
+    changed = True
+    while changed:
+        changed = False
+        for u in cores:
+            least = min([cluster[u], *(cluster[v] for v in near[u] & cores)])
+            changed |= least < cluster[u]
+            cluster[u] = least
+    for u in users:
+        if u not in cores:
+            cluster[u] = min((cluster[v] for v in near[u] & cores), default=None)
+    assert {r.user_id: r.cluster for r in got} == cluster and any(cluster.values())
+    for c in {c for c in cluster.values() if c is not None}:
+        mine = [u for u in users if cluster[u] == c]
+        links = {u: [far[min(u, v), max(u, v)] for v in mine if v in near[u]] for u in mine}
+        central = min((u for u in mine if links[u]), key=lambda u: (-len(links[u]), sum(links[u]) / len(links[u]), u))
+        assert {(r.medoid, r.n) for r in got if r.cluster == c} == {(central, len(mine))}
+
+
+def test_forest_predicts_each_row_of_the_test_side(spark):
+    from meridian.plans import catalog
+
+    got = sorted((r.user_id, r.window_start, r.label) for r in catalog.forest_predictions(spark, SMALL).collect())
+    _, test = modes.split(catalog._labelled(spark, SMALL))
+    want = sorted((r.user_id, r.s, r.label) for r in test.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("s"), "label").collect())
+    assert got == want
+    assert {r.predicted for r in catalog.forest_predictions(spark, SMALL).collect()} <= set(modes.LABELS)
+
+
+def test_tuning_takes_the_better_forest(spark):
+    """Two classes that one cut can't part: the deeper trees win, on a fixed seed."""
+    pick = random.Random(6)
+    rows = []
+    for k in range(240):
+        x, y = pick.random(), pick.random()
+        rows.append((f"u{k % 12}", *[x if i % 2 else y for i in range(len(features.FEATURES))], "walk" if (x < 0.5) == (y < 0.5) else "bike", 1.0))
+    table = spark.createDataFrame(rows, "user_id string, " + ", ".join(f"{c} double" for c in features.FEATURES) + ", label string, weight double")
+    found = modes.tune(table, trees=(3,), depths=(1, 6), folds=2)
+    assert found.avgMetrics[1] > found.avgMetrics[0] + 0.1
+    assert found.bestModel.stages[-1].getOrDefault("maxDepth") == 6
+    assert modes.metrics(modes.predict(found.bestModel, table)).first().accuracy > 0.9
