@@ -105,42 +105,59 @@ def frechet_many(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return out
 
 
-def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
-    """(a, b, metres): routes a < b within a Frechet distance.
+AXES = "xyz"
 
-    In coordinates on the globe in metres, cut in cells of that width, every place of one of
-    two paths so close lies in or next to a cell of the other. So the rarest cell of the first
-    is enough to find the second: it is looked up, with its neighbours, among the cells of
-    all paths (none is lost; a cell that many paths share is asked for only by paths
-    that have no rarer one). What is found is told apart by starts, ends and bounding boxes
-    before the paths are fetched. Places without coordinates are left out.
-    """
-    radius, axes = F.lit(float(geo.EARTH_RADIUS_M)), "xyz"
 
-    def globe(p: Column) -> Column:
-        lat, lng = F.radians(p["lat"]), F.radians(p["lng"])
-        return F.struct((radius * F.cos(lat) * F.cos(lng)).alias("x"), (radius * F.cos(lat) * F.sin(lng)).alias("y"), (radius * F.sin(lat)).alias("z"))
+def _located(paths: DataFrame, route: str) -> DataFrame:
+    """(r, path) of the paths that have places with coordinates, and these alone."""
+    known = F.filter("path", lambda p: p["lat"].isNotNull() & p["lng"].isNotNull())
+    return paths.select(F.col(route).alias("r"), known.alias("path")).filter(F.size("path") > 0)
+
+
+def _on_globe(p: Column) -> Column:
+    radius, lat, lng = F.lit(float(geo.EARTH_RADIUS_M)), F.radians(p["lat"]), F.radians(p["lng"])
+    return F.struct((radius * F.cos(lat) * F.cos(lng)).alias("x"), (radius * F.cos(lat) * F.sin(lng)).alias("y"), (radius * F.sin(lat)).alias("z"))
+
 
-    located = paths.select(F.col(route).alias("r"), F.filter("path", lambda p: p["lat"].isNotNull() & p["lng"].isNotNull()).alias("path")).filter(F.size("path") > 0)
-    sides = located.withColumn("at", F.transform("path", globe))
+def _cell(p: Column, width: float) -> Column:
+    return F.struct(*[F.floor(p[c] / width).alias(c) for c in AXES])
+
+
+def _sides(located: DataFrame, most_m: float) -> DataFrame:
+    """(r, box, cell): every cell that a path has places in; box: bounds, start and end."""
+    sides = located.withColumn("at", F.transform("path", _on_globe))
     first, last = F.get("at", F.lit(0)), F.get("at", F.size("at") - 1)
-    box = F.array(*[end(F.col("at")[c]) for c in axes for end in (F.array_min, F.array_max)], *[p[c] for c in axes for p in (first, last)])
-    # a hair wider, for rounding
-    width = most_m + 0.01
-    cells = F.array_distinct(F.transform("at", lambda p: F.struct(*[F.floor(p[c] / width).alias(c) for c in axes])))
-    sides = stored(sides.select("r", box.alias("box"), F.explode(cells).alias("cell")), "path-cells")
-    often = sides.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    box = F.array(*[end(F.col("at")[c]) for c in AXES for end in (F.array_min, F.array_max)], *[p[c] for c in AXES for p in (first, last)])
+    cells = F.array_distinct(F.transform("at", lambda p: _cell(p, _wide(most_m))))
+    return stored(sides.select("r", box.alias("box"), F.explode(cells).alias("cell")), "path-cells")
+
+
+def _wide(most_m: float) -> float:
+    """A hair wider, for rounding."""
+    return most_m + 0.01
+
+
+def _probes(sides: DataFrame, among: DataFrame) -> DataFrame:
+    """(r, box_a, cell): the rarest cell of each path of sides, and those around it; rare among the paths of ``among``."""
+    often = among.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     ranked = sides.join(often, "cell").groupBy("r").agg(F.min(F.struct("n", "cell")).alias("rarest"), F.first("box").alias("box_a"))
-    around = F.explode(F.array(*[F.struct(*[(F.col(f"rarest.cell.{c}") + i).alias(c) for c, i in zip(axes, by, strict=True)]) for by in product((-1, 0, 1), repeat=3)]))
-    left = ranked.select(F.col("r").alias("a"), "box_a", around.alias("cell"))
-    right = sides.select(F.col("r").alias("b"), F.col("box").alias("box_b"), "cell")
-    near = F.col("a") < F.col("b")
+    steps = product((-1, 0, 1), repeat=3)
+    around = F.array(*[F.struct(*[(F.col(f"rarest.cell.{c}") + i).alias(c) for c, i in zip(AXES, by, strict=True)]) for by in steps])
+    return ranked.select("r", "box_a", F.explode(around).alias("cell"))
+
+
+def _boxes_near(most_m: float) -> Column:
+    near = F.lit(True)
     for i in range(12):
-        near &= F.abs(F.get("box_a", F.lit(i)) - F.get("box_b", F.lit(i))) <= width
-    pairs = left.join(right, "cell").filter(near).select("a", "b").distinct()
+        near &= F.abs(F.get("box_a", F.lit(i)) - F.get("box_b", F.lit(i))) <= _wide(most_m)
+    return near
+
+
+def _verified(pairs: DataFrame, located: DataFrame, most_m: float) -> DataFrame:
+    """(a, b, metres) of the pairs (a, b) within a Frechet distance."""
     # few bytes but much work, so by number and not by size
-    tasks = 4 * paths.sparkSession.sparkContext.defaultParallelism
-    pairs = pairs.join(located.select(F.col("r").alias("a"), F.col("path").alias("pa")), "a").join(located.select(F.col("r").alias("b"), F.col("path").alias("pb")), "b")
+    tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism
+    whole = pairs.join(located.select(F.col("r").alias("a"), F.col("path").alias("pa")), "a").join(located.select(F.col("r").alias("b"), F.col("path").alias("pb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +167,84 @@ def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
                 kept = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["a", "b", "metres"])
                 yield kept.filter(pa.array(~np.isnan(found)))
 
-    kind = paths.schema[route].dataType.simpleString()
-    return pairs.select("a", "b", "pa", "pb").repartition(tasks, "a", "b").mapInArrow(run, f"a {kind}, b {kind}, metres double")
+    kind = located.schema["r"].dataType.simpleString()
+    return whole.select("a", "b", "pa", "pb").repartition(tasks, "a", "b").mapInArrow(run, f"a {kind}, b {kind}, metres double")
+
+
+def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
+    """(a, b, metres): routes a < b within a Frechet distance.
+
+    In coordinates on the globe in metres, cut in cells of that width, every place of one of
+    two paths so close lies in or next to a cell of the other. So the rarest cell of the first
+    is enough to find the second: it is looked up, with its neighbours, among the cells of
+    all paths (none is lost; a cell that many paths share is asked for only by paths
+    that have no rarer one). What is found is told apart by starts, ends and bounding boxes
+    before the paths are fetched. Places without coordinates are left out.
+    """
+    located = _located(paths, route)
+    sides = _sides(located, most_m)
+    right = sides.select(F.col("r").alias("b"), F.col("box").alias("box_b"), "cell")
+    found = _probes(sides, sides).withColumnRenamed("r", "a").join(right, "cell").filter((F.col("a") < F.col("b")) & _boxes_near(most_m))
+    return _verified(found.select("a", "b").distinct(), located, most_m)
+
+
+def balls(located: DataFrame, most_m: float, fewest: int) -> DataFrame:
+    """(r, ball): paths of dense balls, named by their pivots.
+
+    Of the paths with start and end in the same cells the least is the pivot; those within
+    half the reach of it are its ball, and within reach of each other by the triangle
+    inequality. A ball of ``fewest`` paths is dense. Each path is compared once.
+    """
+    ends = [_cell(_on_globe(F.get("path", at)), most_m / 2) for at in (F.lit(0), F.size("path") - 1)]
+    keyed = located.select("r", F.struct(*[e.alias(n) for e, n in zip(ends, ("start", "stop"), strict=True)]).alias("ends"))
+    pivots = keyed.groupBy("ends").agg(F.min("r").alias("pivot"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest)
+    pairs = keyed.join(pivots, "ends").filter("r <> pivot").select(F.col("pivot").alias("a"), F.col("r").alias("b"))
+    inside = stored(_verified(pairs, located, most_m / 2).select(F.col("a").alias("ball"), F.col("b").alias("r")), "balls")
+    dense = inside.groupBy("ball").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= fewest).select("ball")
+    return inside.join(dense, "ball").select("r", "ball").union(dense.select(F.col("ball").alias("r"), "ball"))
+
+
+def links_outside_balls(located: DataFrame, members: DataFrame, most_m: float) -> tuple[DataFrame, DataFrame]:
+    """(links of paths outside the dense balls with any path, links between balls), each (a, b).
+
+    Between two balls one link is enough: that of their pivots, if these are in reach; only if
+    they are not, but within twice the reach, are the balls' paths compared.
+    """
+    sides = _sides(located, most_m)
+    outside = sides.join(members.select("r"), "r", "left_anti")
+    right = sides.join(members, "r", "left").select(F.col("r").alias("b"), F.col("box").alias("box_b"), "cell", F.col("ball").isNotNull().alias("inside"))
+    once = (F.col("r") != F.col("b")) & (F.col("inside") | (F.col("r") < F.col("b")))
+    found = _probes(outside, sides).join(right, "cell").filter(once & _boxes_near(most_m))
+    ends = [F.least("r", "b").alias("a"), F.greatest("r", "b").alias("b")]
+    loose = stored(_verified(found.select(*ends).distinct(), located, most_m).select("a", "b"), "loose-links")
+    pivots = located.join(members.filter("r = ball").select("r"), "r", "left_semi")
+    apart = stored(similar(pivots.select("r", "path"), "r", 2 * most_m), "pivots")
+    near, unsure = apart.filter(F.col("metres") <= most_m).select("a", "b"), apart.filter(F.col("metres") > most_m)
+    of = [members.select(F.col("ball").alias(k), F.col("r").alias(f"r{k}")) for k in ("a", "b")]
+    pairs = unsure.select("a", "b").join(of[0], "a").join(of[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    return loose, near.union(_verified(pairs, located, most_m).select("a", "b"))
+
+
+def dense_clusters(paths: DataFrame, route: str, most_m: float, fewest: int = 3) -> DataFrame:
+    """(route, cluster): clusters() of similar() paths, without the pairs inside dense balls.
+
+    Paths of a dense ball are cores of one cluster whatever else there is, so a hub of N paths
+    along one way takes N comparisons. The others' neighbours are found and counted exactly.
+    """
+    located = stored(_located(paths, route), "located")
+    members = stored(balls(located, most_m, fewest), "members")
+    loose, between = links_outside_balls(located, members, most_m)
+    both = loose.select(F.col("a").alias("r"), F.col("b").alias("o")).union(loose.select(F.col("b").alias("r"), F.col("a").alias("o")))
+    counted = both.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= fewest).select("r")
+    if fewest <= 1:
+        counted = located.select("r")
+    cores = stored(counted.union(members.select("r")).distinct(), "cores")
+    inner = loose.join(cores.select(F.col("r").alias("a")), "a", "left_semi").join(cores.select(F.col("r").alias("b")), "b", "left_semi")
+    spokes = members.filter("r <> ball").select(F.col("ball").alias("a"), F.col("r").alias("b"))
+    roots = components(inner.select("a", "b").union(between).union(spokes), "a", "b").select(F.col("node").alias("r"), "root")
+    named = stored(cores.join(roots, "r", "left").select("r", F.coalesce("root", "r").alias("cluster")), "named")
+    edge = both.join(cores, "r", "left_anti").join(named.select(F.col("r").alias("o"), "cluster"), "o").groupBy("r").agg(F.min("cluster").alias("cluster"))
+    return paths.select(F.col(route).alias("r")).distinct().join(named.union(edge), "r", "left").select(F.col("r").alias(route), "cluster")
 
 
 def clusters(routes: DataFrame, links: DataFrame, route: str, fewest: int = 3) -> DataFrame:

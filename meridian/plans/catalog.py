@@ -661,6 +661,12 @@ def path_clusters(spark, sf_dir):
     return members.join(central, "cluster", "left").select("user_id", "cluster", "medoid", "n")
 
 
+@query("path_dense_clusters")
+def path_dense_clusters(spark, sf_dir):
+    """The same clusters by dense balls, without the pairs inside them."""
+    return paths.dense_clusters(stored(_paths(spark, sf_dir), "paths"), "user_id", 170.0, 3)
+
+
 TIMELINE = f"""with {MOTION}, line as (
   select id as user_id, event_time, event_id, case event_type when 'click' then 'walk' when 'purchase' then 'bike' else 'transport' end as mode from pings
 )"""

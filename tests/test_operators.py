@@ -421,6 +421,7 @@ def test_path_clusters_against_brute_force(spark):
         if u not in cores:
             cluster[u] = min((cluster[v] for v in near[u] & cores), default=None)
     assert {r.user_id: r.cluster for r in got} == cluster and any(cluster.values())
+    assert {r.user_id: r.cluster for r in catalog.path_dense_clusters(spark, MEDIUM).collect()} == cluster
     for c in {c for c in cluster.values() if c is not None}:
         mine = [u for u in users if cluster[u] == c]
         links = {u: [far[min(u, v), max(u, v)] for v in mine if v in near[u]] for u in mine}
@@ -428,6 +429,43 @@ def test_path_clusters_against_brute_force(spark):
         assert {(r.medoid, r.n) for r in got if r.cluster == c} == {(central, len(mine))}
 
 
+def ways(spark):
+    """Bundles of like paths, two bundles a little apart, chains between bundles, and strays."""
+    pick, rows = random.Random(12), []
+
+    def add(n, lat, lng, spread, step=0.0004):
+        for _ in range(n):
+            a, b = lat + pick.uniform(-spread, spread), lng + pick.uniform(-spread, spread)
+            rows.append((len(rows), [(b + k * step, a) for k in range(pick.randint(8, 11))]))
+
+    add(40, 37.5, 127.0, 0.0002)
+    add(12, 37.5013, 127.0, 0.0002)
+    add(9, 37.5025, 127.0, 0.0007)
+    add(30, 37.52, 127.0, 0.0003)
+    add(25, 37.53, 127.02, 0.004)
+    rows.append((len(rows), []))
+    return spark.createDataFrame(rows, "r long, path array<struct<lng: double, lat: double>>")
+
+
+@pytest.mark.parametrize(("most", "fewest"), [(170.0, 3), (120.0, 6), (90.0, 1)])
+def test_dense_balls_give_the_clusters_of_all_pairs(spark, most, fewest):
+    table = ways(spark)
+    want = {r.r: r.cluster for r in paths.clusters(table, paths.similar(table, "r", most), "r", fewest).collect()}
+    got = {r.r: r.cluster for r in paths.dense_clusters(table, "r", most, fewest).collect()}
+    # a route without places is in reach of nothing
+    assert {k: v for k, v in got.items() if k != len(want) - 1} == {k: v for k, v in want.items() if k != len(want) - 1}
+    assert len(set(got.values())) > 2
+
+
+def test_a_hub_of_like_paths_takes_no_pairs(spark):
+    rows = [(k, [(127.0 + i * 0.0004, 37.5 + k % 9 * 1e-5) for i in range(12)]) for k in range(300)]
+    located = paths._located(spark.createDataFrame(rows, "r long, path array<struct<lng: double, lat: double>>"), "r")
+    members = paths.balls(located, 170.0, 3)
+    assert members.count() == 300
+    loose, between = paths.links_outside_balls(located, members, 170.0)
+    assert loose.count() == 0 and between.count() <= 10
+
+
 def test_forest_predicts_each_row_of_the_test_side(spark):
     from meridian.plans import catalog
 
