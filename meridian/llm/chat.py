@@ -182,7 +182,9 @@ def _chunk_rows(batch: pa.RecordBatch, template: Template) -> tuple[list, pa.Arr
     return [pa.array((stop - start).astype(np.int64)), formatted, *lists], ids.take(pa.array(start))
 
 
-def format_chats(conversations: DataFrame, template: Template = Template(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_chats(
+    conversations: DataFrame, template: Template = Template(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
     """(conv_id, part, chunk, whole, turns, formatted, loss_from, loss_to): formatted conversations.
 
     Chunks of a conversation in order of (part, chunk), joined, are its formatted text; one
@@ -268,11 +270,15 @@ def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
                 said = "".join(f"{role}\n{content}\n" for role, content in turns).encode()
                 loss = "".join(template.unescape(text[i:j]) for i, j in zip(begin, end, strict=True))
                 masked = loss.encode()
-                row = (len(turns), done and hashlib.sha256(said).hexdigest() or None, len(loss), done and hashlib.sha256(masked).hexdigest() or None, len(text), None if done else said, None if done else masked)
+                digest = [hashlib.sha256(x).hexdigest() if done else None for x in (said, masked)]
+                left = [None, None] if done else [said, masked]
+                row = (len(turns), digest[0], len(loss), digest[1], len(text), *left)
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in ("conv_id", "part", "chunk")], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["conv_id", "part", "chunk", *DIGESTS, "said", "masked"])
+            keys = ["conv_id", "part", "chunk"]
+            arrays = [*(batch.column(names.index(c)) for c in keys), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *DIGESTS, "said", "masked"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums, hashes = None, None, None

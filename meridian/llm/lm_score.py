@@ -418,7 +418,8 @@ def coded(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays(arrays, names=["row", doc_id, "n_tokens", "n_known", "known_sum", "part_sum", "rare", "codes", "h", "learn"])
 
-    schema = f"row long, `{doc_id}` {kind}, n_tokens long, n_known long, known_sum double, part_sum double, rare array<struct<word:binary,times:bigint,other:boolean>>, codes binary, h long, learn boolean"
+    schema = f"row long, `{doc_id}` {kind}, n_tokens long, n_known long, known_sum double, part_sum double, "
+    schema += "rare array<struct<word:binary,times:bigint,other:boolean>>, codes binary, h long, learn boolean"
     # rows get numbers that stay, as the table is written
     return stored(rest.mapInArrow(run, schema), "coded")
 

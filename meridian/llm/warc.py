@@ -195,7 +195,8 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
     write_archives(pages, path)
     headers = stored(read_archives(spark, path, pages.schema["page_id"].dataType.simpleString()), "headers")
     revisits = headers.filter("record_type = 'revisit'")
-    originals = headers.filter((F.col("record_type") == "response") & (F.col("block_bytes") >= REVISIT_FROM)).groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.max("block_bytes").alias("payload_bytes"))
+    originals = headers.filter((F.col("record_type") == "response") & (F.col("block_bytes") >= REVISIT_FROM))
+    originals = originals.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.max("block_bytes").alias("payload_bytes"))
     full = revisits.join(originals, "payload_digest", "left").select("page_id", "url", "record_type", "payload_digest", "payload_bytes", F.col("original").alias("refers_to"))
     return headers.filter("record_type = 'response'").select("page_id", "url", "record_type", "payload_digest", F.col("block_bytes").alias("payload_bytes"), "refers_to").union(full)
 
