@@ -78,7 +78,8 @@ def stretches(first: Column, last: Column) -> Column:
         a, b = s["a"] + F.when(odd, 1).otherwise(0), s["b"] - F.when(even, 1).otherwise(0)
         done = s["a"] > s["b"]
         # an empty rest stays empty
-        return F.struct(F.when(done | (a > b), F.lit(1)).otherwise(F.shiftright(a, 1)).cast("long").alias("a"), F.when(done | (a > b), F.lit(0)).otherwise(F.shiftright(b, 1)).cast("long").alias("b"), out.alias("out"))
+        ends = [F.when(done | (a > b), F.lit(empty)).otherwise(F.shiftright(x, 1)).cast("long").alias(name) for x, empty, name in ((a, 1, "a"), (b, 0, "b"))]
+        return F.struct(*ends, out.alias("out"))
 
     return F.aggregate(levels, begin, step, lambda s: s["out"])
 

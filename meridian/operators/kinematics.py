@@ -44,7 +44,9 @@ def kinematics(points: DataFrame, tie: str | None = None, wrap: bool = False) ->
     def per_second(change: Column) -> Column:
         return F.when(F.col("dt") > 0, change / F.col("dt")).otherwise(0.0)
 
-    step = _with_earlier(base).withColumns({"dt": seconds, "distance": geo.distance_m(F.col("lat"), F.col("lng"), *before, on_null=0.0), "bearing": geo.bearing_deg(*before, F.col("lat"), F.col("lng"), on_null=0.0)})
+    here = F.col("lat"), F.col("lng")
+    moved = {"distance": geo.distance_m(*here, *before, on_null=0.0), "bearing": geo.bearing_deg(*before, *here, on_null=0.0)}
+    step = _with_earlier(base).withColumns({"dt": seconds, **moved})
     step = step.withColumn("speed", per_second(F.col("distance")))
     step = step.withColumn("accel", per_second(F.col("speed") - F.lag("speed").over(w)))
     turn = F.col("bearing") - F.lag("bearing").over(w)

@@ -90,7 +90,8 @@ PARTS = f"""with {PINGS}, hub as (
 )
 def geo_functions(spark, sf_dir):
     """Distance, bearing, destination and interpolation against each user's hub."""
-    p = fixtures.pings(spark, sf_dir).withColumns({"hlat": F.expr("37.485D + 0.0027D * (user_id % 12)"), "hlng": F.expr("126.985D + 0.0043D * (user_id % 12)"), "b": F.expr("cast(user_id * 37 % 360 as double)")})
+    hub = {"hlat": "37.485D + 0.0027D * (user_id % 12)", "hlng": "126.985D + 0.0043D * (user_id % 12)", "b": "cast(user_id * 37 % 360 as double)"}
+    p = fixtures.pings(spark, sf_dir).withColumns({c: F.expr(e) for c, e in hub.items()})
     lat, lng, hlat, hlng = (F.col(c) for c in ("lat", "lng", "hlat", "hlng"))
     to = geo.destination(lat, lng, F.lit(250.0), F.col("b"))
     return p.select("event_id", rounded(geo.distance_m(hlat, hlng, lat, lng)).alias("metres"), rounded(geo.bearing_deg(hlat, hlng, lat, lng)).alias("bearing"), rounded(to["lat"], 9).alias("to_lat"), rounded(to["lng"], 9).alias("to_lng"), rounded(geo.lerp(hlat, lat, F.lit(0.25)), 9).alias("quarter_lat"))
@@ -99,7 +100,8 @@ def geo_functions(spark, sf_dir):
 @query(
     "grid_cells",
     f"""with {PINGS} select event_id, {sql_cell()} as cell, trunc(lat * 1000)::int / 1000.0::double as south, (trunc(lng * 1000)::int + 1) / 1000.0::double as east,
-  array_to_string(list_transform([[-1,-1],[-1,0],[-1,1],[0,-1],[0,0],[0,1],[1,-1],[1,0],[1,1]], lambda s: (trunc(lat * 1000)::int + s[1]) || '_' || (trunc(lng * 1000)::int + s[2])), ' ') as around from pings""",
+  array_to_string(list_transform([[-1,-1],[-1,0],[-1,1],[0,-1],[0,0],[0,1],[1,-1],[1,0],[1,1]],
+    lambda s: (trunc(lat * 1000)::int + s[1]) || '_' || (trunc(lng * 1000)::int + s[2])), ' ') as around from pings""",
 )
 def grid_cells(spark, sf_dir):
     """Cell, bounds and the nine cells around each ping."""
@@ -191,7 +193,8 @@ def json_paths(spark, sf_dir):
 PAIRS = f"""with {NEAR}, spans as (
   select *, epoch_us(event_time) as us, trunc(lat * 1000)::int as y, trunc(lng * 1000)::int as x from pings
 ), pairs as (
-  select a.id as user1_id, b.id as user2_id, a.us as us1, b.us as us2, a.event_time as time1, b.event_time as time2, a.lat as lat1, a.lng as lng1, b.lat as lat2, b.lng as lng2, {sql_metres("a.lat", "a.lng", "b.lat", "b.lng")} as metres
+  select a.id as user1_id, b.id as user2_id, a.us as us1, b.us as us2, a.event_time as time1, b.event_time as time2,
+    a.lat as lat1, a.lng as lng1, b.lat as lat2, b.lng as lng2, {sql_metres("a.lat", "a.lng", "b.lat", "b.lng")} as metres
   from spans a join spans b on b.us between a.us - 5000000 and a.us + 5000000
   where a.id <> b.id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and {sql_metres("a.lat", "a.lng", "b.lat", "b.lng")} < 20
 ), met as (
@@ -235,7 +238,8 @@ def first_encounters(spark, sf_dir):
     return _shown(proximity.first_of_pair(_met(spark, sf_dir)))
 
 
-@query("recent_encounters", f"""{PAIRS} select {SHOWN} from (select * from met qualify row_number() over (partition by least(user1_id, user2_id), greatest(user1_id, user2_id), encounter_time order by user1_id, user2_id, lat, lng) = 1)
+@query("recent_encounters", f"""{PAIRS} select {SHOWN} from (
+    select * from met qualify row_number() over (partition by least(user1_id, user2_id), greatest(user1_id, user2_id), encounter_time order by user1_id, user2_id, lat, lng) = 1)
   order by encounter_time desc, user1_id, user2_id, lat, lng limit 30""")
 def recent_encounters(spark, sf_dir):
     """The 30 latest events without mirrors."""

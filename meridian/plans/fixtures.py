@@ -33,7 +33,8 @@ def as_pings(rows: DataFrame, k: int = 1) -> DataFrame:
     """id, user_id, event_id, event_type, event_time, lat, lng; time runs k times faster."""
     start = "unix_micros(timestamp '2024-01-01 00:00:00')"
     time = F.expr(f"timestamp_micros({start} + (unix_micros(ts) - {start}) div {k})")
-    return rows.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id"), "user_id", "event_id", "event_type", time.alias("event_time"), F.expr(LAT).alias("lat"), F.expr(LNG).alias("lng"))
+    named = F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id")
+    return rows.select(named, "user_id", "event_id", "event_type", time.alias("event_time"), F.expr(LAT).alias("lat"), F.expr(LNG).alias("lng"))
 
 
 def pings(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
