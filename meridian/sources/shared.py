@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,33 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+#: for each open scope() the paths that were made in it
+_MADE: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables made inside are deleted when it ends well, but for the paths that are put on the list it gives.
+
+    For work whose result is written before the scope ends; what is still to be read stays.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+    _MADE.append(made)
+    try:
+        yield kept
+    finally:
+        _MADE.remove(made)
+    for path in made:
+        if path not in kept:
+            discard(spark, path)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

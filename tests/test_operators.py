@@ -142,6 +142,26 @@ def motion_rows(spark, rows):
     return spark.createDataFrame([(u, T0 + timedelta(seconds=s), k, lat, lng) for k, (u, s, lat, lng) in enumerate(rows)], "user_id string, event_time timestamp, event_id long, lat double, lng double")
 
 
+def test_a_scope_leaves_only_what_is_kept(spark, tmp_path):
+    from pathlib import Path
+
+    from meridian.sources import shared
+
+    def there(df):
+        return Path(df.inputFiles()[0].removeprefix("file://")).exists()
+
+    with shared.scope(spark) as kept:
+        one = shared.stored(spark.range(3), "one")
+        kept.append(shared.fresh_path(spark, "two"))
+        two = shared.written(one.union(one), kept[0])
+        was = one.inputFiles()[0]
+    assert two.count() == 6 and there(two) and not Path(was.removeprefix("file://")).exists()
+    with pytest.raises(ValueError), shared.scope(spark):
+        three = shared.stored(spark.range(3), "three")
+        raise ValueError
+    assert three.count() == 3  # after a failure nothing is deleted
+
+
 def test_readers_never_see_half_a_rollup(spark, tmp_path, monkeypatch):
     """A run that dies between its folder and its manifest changes nothing; a second writer's late manifest is refused."""
     path, into = str(tmp_path / "parts"), str(tmp_path / "merged")
