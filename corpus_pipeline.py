@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm import bpe, decontaminate, quality, secrets, simhash
 from meridian.llm.common import hot_values, spread_join, stored, table
+from meridian.sources.shared import fresh_path, scope, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: rows (a digest and an id, about 100 bytes) that are broadcast; more are joined by a shuffle
@@ -59,8 +60,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark text.
 
-    Null and empty texts have no words, so they stay; repeated rows fare alike; an empty
-    benchmark drops nothing. Columns other than those of documents don't get through.
+    Null and empty texts have no words, so they stay; texts of any length are searched whole;
+    repeated rows fare alike; an empty benchmark drops nothing. Columns other than those of documents don't get through.
     """
     return decontaminate.contained(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(COLUMNS)
 
@@ -68,7 +69,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in them replaced; n_chars follows the text.
 
-    A null text stays null and keeps its n_chars; repeated rows stay repeated.
+    A null text stays null and keeps its n_chars, an empty one stays empty; texts of any length
+    are scanned whole; repeated rows stay repeated. Columns other than those of documents
+    don't get through.
     """
     clean = secrets.redact(secrets.scan(docs.select(COLUMNS)))
     changed = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
@@ -78,11 +81,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document with the offsets of their bytes, checked by decoding them again.
 
-    Null and empty texts have no tokens; repeated rows stay repeated.
+    Null and empty texts have no tokens; texts of any length are encoded whole; repeated rows
+    stay repeated. Columns other than those of documents don't get through.
     """
     path = bpe.default_path()
     tokens = bpe.encode(docs.select(COLUMNS), path).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text")
-    return bpe.digests(bpe.decode(tokens, path)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "token_ends", "ids_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+    same = (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip")
+    return bpe.digests(bpe.decode(tokens, path)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "token_ends", "ids_sha256", same)
 
 
 STAGES = [
@@ -97,8 +102,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; what a stage wrote besides is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark) as kept:
+            kept.append(fresh_path(spark, name))
+            docs = written(stage(spark, docs, sf_dir), kept[0])
     return STAGES[-1][1](spark, docs, sf_dir)

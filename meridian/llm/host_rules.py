@@ -123,6 +123,10 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFram
     The measures (a few numbers a document) are written to the shared folder, so texts are
     read once. Hosts are as many as there are; the join is left to Spark, which broadcasts
     verdicts only while they are small and splits a hot host otherwise.
+
+    A null text has no words and fails the base rules; texts of any length are measured whole.
+    Repeated rows count each time and stay repeated. Documents without a host are judged as
+    one host. An empty table gives no rows. Columns named as results give way.
     """
     measured = stored(measure(fresh(docs, "kept", "host_rate", "host_bound"), text).drop(text), "measured")
     verdicts = host_verdicts(measured, host).select("host", F.col("shrunk").alias("host_rate"), F.col("bound").alias("host_bound"), "blocked")

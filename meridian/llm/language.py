@@ -152,8 +152,9 @@ def identify(docs: DataFrame, *models: dict[str, bytes], text: str = "text") ->
     """docs with ``lang_pred``, ``score`` (0 to 1; 0 for und) and ``rejected`` (margin too narrow).
 
     lang_pred is ``und`` for a null text and one without a letter, and where no language
-    was learned. Ties go to the alphabetically first language and are rejected. Repeated
-    rows stay repeated. Columns with those names give way. Each model is a pass over docs.
+    was learned. Ties go to the alphabetically first language and are rejected. Texts of any
+    length are compressed whole; repeated rows stay repeated; an empty table gives no rows.
+    Columns with those names give way. Each model is a pass over docs.
     """
     return identified(docs, models, text)
 

@@ -334,7 +334,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     component_id is the smallest id reachable (null only where every id reachable is null).
     Equal fingerprints are one class, so exact copies make no pairs. Repeated rows stay
-    repeated; an empty table gives an empty result; null texts have fingerprint zero.
+    repeated; an empty table gives an empty result; null texts have fingerprint zero; texts
+    of any length are read whole. Other columns, whatever their names, don't take part.
     """
     printed = stored(fingerprints(docs.select(doc_id, text), text), "fingerprints")
     classes = stored(printed.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("n")), "classes")

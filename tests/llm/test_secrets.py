@@ -93,6 +93,15 @@ def test_redaction(spark, text, want):
     assert secrets.redact(docs).first().text == want
 
 
+def test_redaction_leaves_other_columns(spark):
+    """Columns that are named like results, and repeated, empty and very long texts."""
+    long = "word " * 400_000 + "token=abcdefghijkl"
+    rows = [("a token=abcdefghijkl", "mine", 1), ("a token=abcdefghijkl", "mine", 1), ("", None, 2), (long, "x", 3)]
+    docs = spark.createDataFrame(rows, "text string, kind string, start int")
+    got = sorted(map(tuple, secrets.redact(secrets.scan(docs)).collect()))
+    assert got == sorted([("a [secret]", "mine", 1)] * 2 + [("", None, 2), ("word " * 400_000 + "[secret]", "x", 3)])
+
+
 def wrapped(text, by):
     return by.join(text[i : i + 64] for i in range(0, len(text), 64))
 
