@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, fresh_path, written
+from .skew import hot_values, spread_join
 
 MOST_ROUNDS = 60
+#: edges up to which no centre is looked for that has very many
+SMALL = 10_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -15,17 +18,24 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(u as decimal(38,0)))")).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _on_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges with the least neighbour m of their u; the edges of a centre with very many are dealt to several tasks."""
+    if total <= SMALL:
+        return edges.join(least.drop("n"), "u")
+    return spread_join(edges, least.drop("n"), "u", hot_values(least, "u", "n"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Hang every larger neighbour of u on the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _on_least(both.filter("v > u"), least, total).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Hang u and its smaller neighbours on the least of them (edges have u > v)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _on_least(edges, least, total).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -45,7 +55,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     if seen[0]:
         for _ in range(MOST_ROUNDS):
             before, path = path, fresh_path(spark, "stars")
-            e = written(_small_star(_large_star(e)), path)
+            e = written(_small_star(_large_star(e, seen[0]), seen[0]), path)
             discard(spark, before)
             now = _mark(e)
             if now == seen:

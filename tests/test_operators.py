@@ -315,6 +315,15 @@ def test_components_keep_one_round(spark, tmp_path, monkeypatch):
     assert len(made) > 2 and len(list(tmp_path.iterdir())) == 1
 
 
+def test_a_centre_with_most_edges(spark, monkeypatch):
+    """Stars with very many edges, chains and a tail of each, dealt out or not."""
+    rows = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5040)] + [(2999, 5000), (9001, 9000), (9002, 9001)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    monkeypatch.setattr(components, "SMALL", 0)
+    got = {r.node: r.root for r in components.components(edges, "a", "b").collect()}
+    assert got == {n: 9000 if n >= 9000 else 0 for row in rows for n in row}
+
+
 def test_activity(spark):
     line = spark.createDataFrame([("u", k, m) for k, m in enumerate("wwwtwwtttwb")], "user_id string, time int, mode string")
     assert "".join(r.mode for r in activity.smooth(line).orderBy("time").collect()) == "wwwwwwtttwb"
