@@ -165,14 +165,14 @@ def test_similar_texts_of_odd_rows(spark):
 
 
 def test_hot_keys_are_spread(spark, monkeypatch):
-    from meridian.llm import common
+    from meridian.operators import skew
 
-    monkeypatch.setattr(common, "HOT", 4)
+    monkeypatch.setattr(skew, "HOT", 4)
     left = spark.range(5000).selectExpr("if(id < 4000, 7, id) as k", "id")
     right = left.select("k").distinct().selectExpr("k", "k * 2 as v")
-    hot = common.hot_values(left.groupBy("k").count(), "k", "count")
+    hot = skew.hot_values(left.groupBy("k").count(), "k", "count")
     assert hot == [7]
-    assert sorted(map(tuple, common.spread_join(left, right, "k", hot).collect())) == sorted((7 if i < 4000 else i, i, 14 if i < 4000 else 2 * i) for i in range(5000))
+    assert sorted(map(tuple, skew.spread_join(left, right, "k", hot).collect())) == sorted((7 if i < 4000 else i, i, 14 if i < 4000 else 2 * i) for i in range(5000))
 
 
 def test_components_of_a_path_and_a_star(spark):
