@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from .common import chunks, fresh, table, text_bytes, with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: pre-tokens that a worker keeps, in two generations
-CACHE = 300_000
+CACHE = 160_000
+#: bytes of text that are encoded at once
+ENCODED = 1 << 20
 #: code points scanned at once
 SCAN = 1 << 19
 
@@ -179,14 +182,16 @@ class Encoder(dict):
         self.old: dict[str, bytes] = {}
         self.ranks = vocabulary(path)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.uint32)
-        pairs = {}
+        pairs, made = array("I"), array("i")
         for piece, rank in self.ranks.items():
             for i in range(1, len(piece)):
                 a, b = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    pairs[a << 16 | b] = rank
-        self.pairs = np.array(sorted(pairs), np.uint32)
-        self.pair_rank = np.array([pairs[k] for k in self.pairs.tolist()], np.int32)
+                    pairs.append(a << 16 | b)
+                    made.append(rank)
+        order = np.argsort(np.frombuffer(pairs, np.uint32))
+        self.pairs = np.frombuffer(pairs, np.uint32)[order]
+        self.pair_rank = np.frombuffer(made, np.int32)[order]
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
@@ -380,7 +385,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True)
         sizes = np.zeros(max(ids_of.ranks.values()) + 1, np.uint32)
         for piece, rank in ids_of.ranks.items():
             sizes[rank] = len(piece)
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, ENCODED):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ids = list(encode_texts(texts, ids_of))
             extra = [("token_ids", pa.binary(), pa.array(ids, pa.binary()))]
