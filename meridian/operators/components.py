@@ -10,7 +10,7 @@ from .skew import hot_values, spread_join
 
 MOST_ROUNDS = 60
 #: edges up to which no centre is looked for that has very many
-SMALL = 10_000
+SMALL = 1 << 17
 
 
 def _mark(edges: DataFrame) -> tuple:
