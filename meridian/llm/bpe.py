@@ -25,7 +25,7 @@ from .common import chunks, fresh, table, text_bytes, with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: pre-tokens that a worker keeps, in two generations
-CACHE = 160_000
+CACHE = 300_000
 #: bytes of text that are encoded at once
 ENCODED = 1 << 20
 #: code points scanned at once
