@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -16,9 +16,18 @@ def located(pings: DataFrame) -> DataFrame:
     return pings.select("id", F.date_trunc("hour", "event_time").alias("hour"), geo.cell_id(F.col("lat"), F.col("lng")).alias("cell"))
 
 
+def estimated(c: str) -> Column:
+    """About how many distinct values a column has, by a HyperLogLog sketch.
+
+    A sketch keeps a small set as it is, so few values are counted as they are, and many with a
+    standard error under 2 %. (Registers alone take two of nine for one in one cell of fourteen.)
+    """
+    return F.hll_sketch_estimate(F.hll_sketch_agg(c))
+
+
 def hourly(pings: DataFrame, approximate: bool = False) -> DataFrame:
-    """(hour, cell, visitors): distinct ids, exact or by HyperLogLog++ with its default error."""
-    count = F.approx_count_distinct("id") if approximate else F.count_distinct("id")
+    """(hour, cell, visitors): distinct ids, exact or estimated()."""
+    count = estimated("id") if approximate else F.count_distinct("id")
     return located(pings).groupBy("hour", "cell").agg(count.alias("visitors"))
 
 
