@@ -188,48 +188,59 @@ def similar(paths: DataFrame, route: str, most_m: float) -> DataFrame:
     return _verified(found.select("a", "b").distinct(), located, most_m)
 
 
+#: paths of like ends that the others of their kind are compared with
+PIVOTS = 8
+
+
 def balls(located: DataFrame, most_m: float, fewest: int) -> DataFrame:
-    """(r, ball): paths of dense balls, named by their pivots.
+    """(r, ball): paths that are known to be cores, by the cluster that they are known to share, named by its least.
 
-    Of the paths with start and end in the same cells the least is the pivot; those within
-    half the reach of it are its ball, and within reach of each other by the triangle
-    inequality. A ball of ``fewest`` paths is dense. Each path is compared once.
+    Of the paths with start and end in the same cells a few, dealt out by a hash, are
+    pivots: each path is compared with these, and one pivot of each kind with those of
+    other kinds in reach. So work and tables grow with the paths, not with their pairs. What
+    is found are links; a path with links to ``fewest`` paths, itself included, is a core
+    whatever else there is, and linked cores are in one cluster.
     """
-    ends = [_cell(_on_globe(F.get("path", at)), most_m / 2) for at in (F.lit(0), F.size("path") - 1)]
+    ends = [_cell(_on_globe(F.get("path", at)), most_m) for at in (F.lit(0), F.size("path") - 1)]
     keyed = located.select("r", F.struct(*[e.alias(n) for e, n in zip(ends, ("start", "stop"), strict=True)]).alias("ends"))
-    pivots = keyed.groupBy("ends").agg(F.min("r").alias("pivot"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest)
-    pairs = keyed.join(pivots, "ends").filter("r <> pivot").select(F.col("pivot").alias("a"), F.col("r").alias("b"))
-    inside = stored(_verified(pairs, located, most_m / 2).select(F.col("a").alias("ball"), F.col("b").alias("r")), "balls")
-    dense = inside.groupBy("ball").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= fewest).select("ball")
-    return inside.join(dense, "ball").select("r", "ball").union(dense.select(F.col("ball").alias("r"), "ball"))
+    dealt = F.pmod(F.xxhash64("r"), F.lit(PIVOTS))
+    least = F.array_compact(F.array(*[F.min(F.when(dealt == k, F.col("r"))) for k in range(PIVOTS)]))
+    kinds = stored(keyed.groupBy("ends").agg(least.alias("pivots")), "kinds")
+    pairs = keyed.join(kinds, "ends").select("r", F.explode("pivots").alias("pivot")).filter("r <> pivot")
+    near = _verified(pairs.select(F.least("r", "pivot").alias("a"), F.greatest("r", "pivot").alias("b")).distinct(), located, most_m)
+    firsts = located.join(kinds.select(F.get("pivots", F.lit(0)).alias("r")), "r", "left_semi")
+    links = stored(near.union(similar(firsts, "r", most_m)).select("a", "b").distinct(), "pivot-links")
+    both = links.union(links.select("b", "a"))
+    cores = stored(both.groupBy(F.col("a").alias("r")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= fewest).select("r"), "known-cores")
+    inner = links.join(cores.select(F.col("r").alias("a")), "a", "left_semi").join(cores.select(F.col("r").alias("b")), "b", "left_semi")
+    roots = components(inner, "a", "b").select(F.col("node").alias("r"), "root")
+    return cores.join(roots, "r", "left").select("r", F.coalesce("root", "r").alias("ball"))
 
 
 def links_outside_balls(located: DataFrame, members: DataFrame, most_m: float) -> tuple[DataFrame, DataFrame]:
-    """(links of paths outside the dense balls with any path, links between balls), each (a, b).
+    """(links of paths outside the balls with any path, links between paths of different balls), each (a, b).
 
-    Between two balls one link is enough: that of their pivots, if these are in reach; only if
-    they are not, but within twice the reach, are the balls' paths compared.
+    Paths of two balls are compared only where a path's rarest cell, or one next to it, is a cell
+    of the other ball.
     """
     sides = _sides(located, most_m)
     outside = sides.join(members.select("r"), "r", "left_anti")
-    right = sides.join(members, "r", "left").select(F.col("r").alias("b"), F.col("box").alias("box_b"), "cell", F.col("ball").isNotNull().alias("inside"))
-    once = (F.col("r") != F.col("b")) & (F.col("inside") | (F.col("r") < F.col("b")))
+    right = sides.join(members, "r", "left").select(F.col("r").alias("b"), F.col("box").alias("box_b"), "cell", F.col("ball").alias("other"))
+    once = (F.col("r") != F.col("b")) & (F.col("other").isNotNull() | (F.col("r") < F.col("b")))
     found = _probes(outside, sides).join(right, "cell").filter(once & _boxes_near(most_m))
     ends = [F.least("r", "b").alias("a"), F.greatest("r", "b").alias("b")]
     loose = stored(_verified(found.select(*ends).distinct(), located, most_m).select("a", "b"), "loose-links")
-    pivots = located.join(members.filter("r = ball").select("r"), "r", "left_semi")
-    apart = stored(similar(pivots.select("r", "path"), "r", 2 * most_m), "pivots")
-    near, unsure = apart.filter(F.col("metres") <= most_m).select("a", "b"), apart.filter(F.col("metres") > most_m)
-    of = [members.select(F.col("ball").alias(k), F.col("r").alias(f"r{k}")) for k in ("a", "b")]
-    pairs = unsure.select("a", "b").join(of[0], "a").join(of[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    return loose, near.union(_verified(pairs, located, most_m).select("a", "b"))
+    inside = right.filter("other is not null")
+    meeting = _probes(sides.join(members, "r", "left_semi"), sides).join(members, "r").join(inside.select("cell", "other").distinct(), "cell").filter("ball < other")
+    pairs = meeting.join(inside, ["cell", "other"]).filter(_boxes_near(most_m)).select(*ends).distinct()
+    return loose, _verified(pairs, located, most_m).select("a", "b")
 
 
 def dense_clusters(paths: DataFrame, route: str, most_m: float, fewest: int = 3) -> DataFrame:
-    """(route, cluster): clusters() of similar() paths, without the pairs inside dense balls.
+    """(route, cluster): clusters() of similar() paths, without the pairs inside balls.
 
-    Paths of a dense ball are cores of one cluster whatever else there is, so a hub of N paths
-    along one way takes N comparisons. The others' neighbours are found and counted exactly.
+    Paths of a ball are cores of one cluster whatever else there is, so a hub of N paths
+    takes PIVOTS times N comparisons. The others' neighbours are found and counted exactly.
     """
     located = stored(_located(paths, route), "located")
     members = stored(balls(located, most_m, fewest), "members")
