@@ -28,3 +28,14 @@ def test_box_of_pings_over_the_180th_meridian_and_of_none(spark):
     assert proximity.box_of_pings(pings).collect() == want
     none = proximity.box_of_pings(pings.filter("id = 'a'")).collect()
     assert none == proximity.box_of_pings(pings.filter("false")).collect() and none[0].south is None
+
+
+def test_first_encounters_are_told_apart_before_pairs_are_turned_round(spark, tmp_path):
+    """Half the rows are grouped, and both orders of a pair have the same first event."""
+    from meridian.plans import catalog
+
+    found = catalog.QUERIES["first_encounters"](spark, "/root/testdata/sf0.01")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Generate explode(array(struct(user1_id") < plan.index("Aggregate [user1_id")
+    both = found.join(found.toDF("user2_id", "user1_id", "t", "a", "b"), ["user1_id", "user2_id"])
+    assert both.filter("t = encounter_time and a = lat and b = lng").count() == found.count() > 0
