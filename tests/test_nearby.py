@@ -1,0 +1,39 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from meridian.operators import nearby, proximity
+from meridian.plans import fixtures
+
+from .conftest import MEDIUM
+
+
+def test_a_ping_is_shuffled_twice_on_average(spark):
+    pings = fixtures.pings(spark, MEDIUM, fixtures.NEAR).select("id", "event_time", "lat", "lng")
+    left, right = proximity.sides(pings, 20.0, 5, proximity.CROWD)
+    assert right.count() == pings.count() and left.count() < 2.5 * pings.count()
+
+
+def test_blocks_in_pieces_against_brute_force(monkeypatch):
+    """Small blocks together and large ones piece by piece, a rank's candidates over the limit too."""
+    draw = random.Random(3)
+    rows = []
+    for key, n in enumerate((3, 400, 1, 2, 150)):
+        of = [(f"u{draw.randrange(60)}", draw.randrange(30_000_000), 37.5 + draw.random() / 2000, 127 + draw.random() / 2000, key, draw.random() < 0.4) for _ in range(n)]
+        rows += sorted(of, key=lambda r: not r[5])
+    want = sorted((a[0], b[0], a[1], b[1]) for a in rows for b in rows if a[4] == b[4] and b[5] and a[0] < b[0] and abs(a[1] - b[1]) <= 5_000_000 and near(a, b) < 20)
+    names = ["id", "event_time", "lat", "lng", "key", "own"]
+    table = pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=names).set_column(1, "event_time", pa.array([r[1] for r in rows], pa.timestamp("us", "UTC")))
+    for together, candidates in ((1 << 16, 1 << 20), (40, 50), (1, 1)):
+        monkeypatch.setattr(nearby, "TOGETHER", together)
+        monkeypatch.setattr(nearby, "CANDIDATES", candidates)
+        monkeypatch.setattr(nearby, "LOOKED_UP", together)
+        found = pa.Table.from_batches(nearby.pairs(iter(table.to_batches(max_chunksize=37)), ["key"], 20.0, 5))
+        got = sorted(zip(*[found[c].to_pylist() for c in ("user1_id", "user2_id")], *[found[c].cast(pa.int64()).to_pylist() for c in ("time1", "time2")], strict=True))
+        assert got == want and len(want) > 100
+
+
+def near(a, b):
+    one = [nearby.Pings(np.zeros(1), np.zeros(1), np.array([r[1]]), np.array([r[2]]), np.array([r[3]])) for r in (a, b)]
+    return nearby.metres(*one)[0]
