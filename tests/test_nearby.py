@@ -37,3 +37,12 @@ def test_blocks_in_pieces_against_brute_force(monkeypatch):
 def near(a, b):
     one = [nearby.Pings(np.zeros(1), np.zeros(1), np.array([r[1]]), np.array([r[2]]), np.array([r[3]])) for r in (a, b)]
     return nearby.metres(*one)[0]
+
+
+def test_pairs_are_counted_by_groups_of_ids(spark):
+    pings = fixtures.pings(spark, MEDIUM, fixtures.NEAR)
+    pairs = proximity.near_pairs(pings, canonical=True).select("user1_id", "user2_id").collect()
+    got = {(r.user1_id, r.user2_id): r.n for r in proximity.pair_counts(pings, groups=3).collect()}
+    assert sum(got.values()) == len(pairs) > len(got) and set(got) == {tuple(r) for r in pairs}
+    dealt = proximity.by_groups(pings.limit(100), 3)
+    assert dealt.count() == 300 and dealt.filter("mine <> one and mine <> two").count() == 0
