@@ -45,13 +45,16 @@ def pipeline(trees: int = 100, depth: int = 15, labels: tuple[str, ...] | None =
     """Label indexing (an unseen label keeps an index of its own), assembly, weighted forest, names."""
     indexer = StringIndexer(inputCol="label", outputCol="label_index", handleInvalid="keep")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    forest = RandomForestClassifier(labelCol="label_index", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED)
+    forest = RandomForestClassifier(labelCol="label_index", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED, cacheNodeIds=True)
     return Pipeline(stages=[indexer, assembler, forest])
 
 
 def train(rows: DataFrame, trees: int = 100, depth: int = 15) -> PipelineModel:
-    """rows: FEATURES, label, weight; read once per level of the trees, so store them first."""
-    return pipeline(trees, depth).fit(rows)
+    """rows: FEATURES, label, weight; read once per level of the trees, so store them first.
+
+    Rows are dealt to a task a core: few bytes but much work, so by number and not by size.
+    """
+    return pipeline(trees, depth).fit(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism))
 
 
 def tune(rows: DataFrame, trees: tuple[int, ...] = TREES, depths: tuple[int, ...] = DEPTH, folds: int = 3) -> CrossValidatorModel:
