@@ -6,14 +6,15 @@ table's own words; else another seed is taken). Passes over the texts:
 1. words are counted by language;
 2. pairs of frequent words are counted by a key of 48 bits, which can only count too many;
 3. triples whose both pairs passed are counted likewise;
-4. phrases that passed are listed: every phrase that is frequent is among them, as its
-   parts are frequent too;
-5. tries of these candidates, TRIE at most in each, are broadcast one after another. In
-   numpy all places of a text take their states from level to level at once; accepting
-   states are counted by bincount in each task, and the tasks' counts summed.
-
-The counts of the last pass are exact and are those that scores rest on. What is broadcast
-is a bitmap of at most MOST_BITS or one trie; what a task holds is a window of text and these.
+4. places of phrases that passed are dealt to parts by a hash of the phrase, equal ones of a
+   task's text as one with its count: every phrase that is frequent is among them, as its
+   parts are frequent too. A part's task builds tries of its phrases, TRIE at most in each. In
+   numpy all places take their states from level to level at once; accepting states are
+   counted by bincount.
+
+The number of passes doesn't grow with the table. The counts of the last pass are exact and are
+those that scores rest on. What is broadcast is a bitmap of at most MOST_BITS; what a task holds
+is a window of text and these, or a part's phrases (of PART_TOKENS words of text) and one trie.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import fresh_path, stored
+from ..sources.shared import stored
 from .common import chunks, hot_values, small_batches, spread_join, table
 
 #: candidates of a trie
@@ -327,31 +328,42 @@ def _marked_triples(words: Words, pairs: np.ndarray) -> tuple[np.ndarray, np.nda
     return good, begins, then(found[begins], words.hashes[begins + 2])
 
 
-def _once(rows: np.ndarray) -> np.ndarray:
-    """The different columns of (3, n), sorted."""
-    rows = rows[:, np.lexsort(rows[::-1])]
-    return rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))] if rows.shape[1] else rows
+def _once(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of (3, n) put together by a hash of theirs, equal ones as one; n summed.
 
+    (Columns that share a hash may be left as several.)
+    """
+    if not rows.shape[1]:
+        return rows, n
+    by = np.argsort(then(then(rows[0], rows[1]), rows[2]))
+    rows = rows[:, by]
+    start = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0)))
+    return rows[:, start], np.add.reduceat(n[by], start, dtype=np.uint32)
 
-def candidates(texts: DataFrame, seed: int, tokens: int, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
-    """(h1, h2, h3): the marked pairs (h3 is 0) and triples that occur, each once.
 
-    Tasks hand on what they have seen, once each, packed by a hash's first bits (the part);
-    a part's phrases are put together by one task.
-    """
+def _places(texts: DataFrame, seed: int, tokens: int, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(part, phrases, n): the marked pairs (h3 is 0) and triples that tasks have seen, once each
+    with their places' number, packed by a hash's first bits (the part)."""
     context, bits = texts.sparkSession.sparkContext, _part_bits(tokens)
     shared = context.broadcast(pairs), context.broadcast(triples)
 
-    def packed(rows: np.ndarray) -> pa.RecordBatch:
+    def packed(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         part = (then(then(rows[0], rows[1]), rows[2]) >> np.uint64(64 - bits)).astype(np.int32)
         by = np.argsort(part, kind="stable")
-        part, rows = part[by], rows[:, by]
+        part, rows, n = part[by], rows[:, by], n[by]
         start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        blobs = [rows[:, i:j].tobytes() for i, j in zip(start.tolist(), np.append(start[1:], len(part)).tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(blobs, pa.binary())], names=["part", "phrases"])
+        spans = list(zip(start.tolist(), np.append(start[1:], len(part)).tolist(), strict=True))
+        blobs = [[c[..., i:j].tobytes() for i, j in spans] for c in (rows, n)]
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), *(pa.array(b, pa.binary()) for b in blobs)], names=["part", "phrases", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known, held, size = Hasher(seed), np.zeros((3, 0), np.uint64), [], 0
+        nothing = np.zeros((3, 0), np.uint64), np.zeros(0, np.uint32)
+        hasher, known, held, size = Hasher(seed), nothing, [], 0
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            found = np.concatenate(held, axis=1) if held else nothing[0]
+            return _once(np.concatenate([known[0], found], axis=1), np.append(known[1], np.ones(found.shape[1], np.uint32)))
+
         for batch in chunks(batches):
             for _, _, words in hasher.batch(batch):
                 good, begins, hashes = _marked_triples(words, shared[0].value)
@@ -362,19 +374,41 @@ def candidates(texts: DataFrame, seed: int, tokens: int, pairs: np.ndarray, trip
                 held.append(np.stack([h[begins + k] for k in range(3)]))
                 size += len(at) + len(begins)
                 if size >= HELD:
-                    known, held, size = _once(np.concatenate([known, *held], axis=1)), [], 0
-                    if known.shape[1] >= 2 * HELD:
-                        yield packed(known)
-                        known = known[:, :0]
-        known = _once(np.concatenate([known, *held], axis=1))
-        if known.shape[1]:
-            yield packed(known)
+                    known, held, size = together(), [], 0
+                    # so that no count passes 32 bits, too
+                    if len(known[1]) >= 2 * HELD or int(known[1].max(initial=0)) >= 1 << 31:
+                        yield packed(*known)
+                        known = nothing
+        known = together()
+        if len(known[1]):
+            yield packed(*known)
+
+    return texts.mapInArrow(run, "part int, phrases binary, n binary")
 
-    def merged(rows: pa.Table) -> pa.Table:
-        found = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in rows.column("phrases").to_pylist()]
-        return pa.table([_signed(r) for r in _once(np.concatenate(found, axis=1))], names=["h1", "h2", "h3"])
 
-    return texts.mapInArrow(run, "part int, phrases binary").groupBy("part").applyInArrow(merged, "h1 long, h2 long, h3 long")
+def count_candidates(texts: DataFrame, seed: int, tokens: int, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(h1, h2, h3, a): exact occurrences of the marked pairs (h3 is 0) and triples, in one pass over the texts.
+
+    A part's places, and no others, are taken through tries of the part's phrases by one task.
+    """
+
+    def counted(rows: pa.Table) -> pa.Table:
+        places = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in rows.column("phrases").to_pylist()], axis=1)
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("n").to_pylist()])
+        found = []
+        phrases = _different(places)
+        for at in range(0, phrases.shape[1], TRIE):
+            trie = Trie(phrases[:, at : at + TRIE])
+            found.append(trie.count_places(places, n))
+        return pa.table([*[_signed(r) for r in phrases], pa.array(np.concatenate(found))], names=["h1", "h2", "h3", "a"])
+
+    return _places(texts, seed, tokens, pairs, triples).groupBy("part").applyInArrow(counted, "h1 long, h2 long, h3 long, a long")
+
+
+def _different(rows: np.ndarray) -> np.ndarray:
+    """The different columns of (3, n), sorted."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))]
 
 
 class Trie:
@@ -468,38 +502,24 @@ class Trie:
             counts += np.bincount(done[done >= 0], minlength=len(counts))
 
 
-def count_phrases(texts: DataFrame, seed: int, phrases: DataFrame) -> DataFrame:
-    """(h1, h2, h3, a): exact occurrences of the given phrases, a pass over the texts for each trie."""
-    spark, path = texts.sparkSession, fresh_path(texts.sparkSession, "phrases")
-    tries = max(1, -(-phrases.count() // TRIE))
-    dealt = stored(phrases.withColumn("trie", F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(tries))), "dealt") if tries > 1 else phrases.withColumn("trie", F.lit(0))
-    schema = "h1 long, h2 long, h3 long, n long"
-    for k in range(tries):
-        # about TRIE rows
-        rows = dealt.filter(F.col("trie") == k).select("h1", "h2", "h3").toArrow()
-        if not rows.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(Trie(np.stack([rows.column(c).to_numpy() for c in range(3)]).view(np.uint64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie, hasher = shared.value, Hasher(seed)
-            counts = np.zeros(trie.phrases.shape[1], np.int64)
-            for batch in chunks(batches):
-                for _, _, words in hasher.batch(batch):
-                    trie.count(words, counts)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([*[_signed(np.ascontiguousarray(p[at])) for p in trie.phrases], pa.array(counts[at])], names=["h1", "h2", "h3", "n"])
-
-        texts.mapInArrow(run, schema).groupBy("h1", "h2", "h3").agg(F.sum("n").alias("a")).write.parquet(f"{path}/trie={k}")
-        shared.destroy()
-    if not spark_exists(spark, path):
-        return spark.createDataFrame([], "h1 long, h2 long, h3 long, a long")
-    return spark.read.schema("h1 long, h2 long, h3 long, a long, trie int").parquet(path).drop("trie")
-
-
-def spark_exists(spark: SparkSession, path: str) -> bool:
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    def count_places(self, places: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How often each phrase occurs, from places (3, n) of phrases, known here or not, and how often each was seen."""
+        counts = np.zeros(self.phrases.shape[1], np.int64)
+        for begin in range(0, len(n), HELD):
+            part, times = places[:, begin : begin + HELD], n[begin : begin + HELD]
+            numbers = np.minimum(np.searchsorted(self.words, part), len(self.words) - 1)
+            known, single = self.words[numbers] == part, part[2] == 0
+            at = np.flatnonzero(known[0] & known[1] & (single | known[2]))
+            states = np.zeros(len(at), np.int64)
+            for level in (0, 1, 2):
+                on = (level < 2) | ~single[at]
+                states[on] = self._step(states[on], numbers[level, at[on]])
+            at, done = at[states >= 0], self.accept[states[states >= 0]]
+            at, done = at[done >= 0], done[done >= 0]
+            # halves, as bincount adds doubles
+            for shift in (0, 16):
+                counts += np.bincount(done, (times[at] >> shift) & 0xFFFF, len(counts)).astype(np.int64) << shift
+        return counts
 
 
 def _looked_up(rows: DataFrame, words: DataFrame, key: str, **columns: str) -> DataFrame:
@@ -557,8 +577,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", fewest
         return spark.createDataFrame([], SCHEMA)
     pair_bits = bitmap(pairs)
     triples = stored(frequent_triples(texts, seed, tokens, fewest, pair_bits), "triple-keys")
-    listed = stored(candidates(texts, seed, tokens, pair_bits, bitmap(triples)), "candidates")
-    counted = stored(count_phrases(texts, seed, listed).filter(F.col("a") >= fewest), "counts")
+    counted = stored(count_candidates(texts, seed, tokens, pair_bits, bitmap(triples)).filter(F.col("a") >= fewest), "counts")
     return ranked(counted, frequent, words.groupBy("lang").agg(F.sum("f").alias("n")), cover, top)
 
 

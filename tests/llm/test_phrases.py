@@ -131,3 +131,31 @@ def test_trie_knows_its_phrases_and_no_others():
             if tuple(part) in known:
                 want[known[tuple(part)]] += 1
     assert (counts == want).all()
+
+
+def test_passes_over_the_texts_do_not_grow_with_the_candidates(spark, monkeypatch):
+    """However many tries the candidates take, texts are hashed by four kinds of tasks and no trie is sent to all."""
+    rows, passes, sent = texts(200, 8), [], []
+    frame, send = type(spark.range(0)), type(spark.sparkContext).broadcast
+    found = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: passes.append(f) or found(self, f, *a, **b))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(type(x)) or send(self, x))
+    for trie in (1 << 19, 7):
+        monkeypatch.setattr(phrases, "TRIE", trie)
+        assert mined(spark, rows, fewest=2) == plain(rows, 2, 50, 2000)
+    assert len(passes) == 8 and set(sent) == {np.ndarray}
+
+
+def test_places_are_counted_by_how_often_they_were_seen():
+    draw = np.random.default_rng(7)
+    words = draw.integers(1, 1 << 63, 300).astype(np.uint64)
+    places = words[draw.integers(0, len(words), (3, 9000))]
+    places[2, ::2] = 0
+    n = draw.integers(1, 1 << 32, 9000).astype(np.uint32)
+    different = phrases._different(places)
+    known = different[:, ::3]
+    want = {tuple(p): 0 for p in known.T.tolist()}
+    for p, k in zip(places.T.tolist(), n.tolist(), strict=True):
+        if tuple(p) in want:
+            want[tuple(p)] += k
+    assert phrases.Trie(known).count_places(places, n).tolist() == list(want.values())
