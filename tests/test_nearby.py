@@ -46,3 +46,26 @@ def test_pairs_are_counted_by_groups_of_ids(spark):
     assert sum(got.values()) == len(pairs) > len(got) and set(got) == {tuple(r) for r in pairs}
     dealt = proximity.by_groups(pings.limit(100), 3)
     assert dealt.count() == 300 and dealt.filter("mine <> one and mine <> two").count() == 0
+
+
+def test_a_pair_of_groups_stays_small_and_no_pair_is_shuffled(spark):
+    """Groups have so many pings at most, a ping goes with few of them, and counts and first events are those of all pairs."""
+    pings = fixtures.pings(spark, MEDIUM, fixtures.NEAR)
+    known = pings.select("id", "event_time", "lat", "lng")
+    dealt = proximity.by_home(known, 20.0, most=200).groupBy("one", "two").count().collect()
+    assert max(r["count"] for r in dealt) <= 800 and known.count() < sum(r["count"] for r in dealt) < 15 * known.count()
+    events = proximity.encounters(proximity.near_pairs(pings, canonical=True))
+    want = sorted(map(tuple, proximity.first_of_pair(events).collect()))
+    for how in ({"most": 200}, {"groups": 1}):
+        assert sorted(map(tuple, proximity.first_of_pings(pings, **how).collect())) == want
+        assert sum(r.n for r in proximity.pair_counts(pings, **how).collect()) == events.count()
+
+
+def test_first_events_of_ids_that_roam(spark):
+    """Ids without one home, over borders of blocks and ties of time."""
+    draw = random.Random(9)
+    rows = [(f"u{draw.randrange(40)}", draw.randrange(0, 40), 37.5 + draw.randrange(60) / 10000, 127.0 + draw.randrange(4) / 10000) for _ in range(4000)]
+    pings = spark.createDataFrame(rows, "id string, s int, lat double, lng double").selectExpr("id", "timestamp_seconds(s) as event_time", "lat", "lng")
+    events = proximity.encounters(proximity.near_pairs(pings, canonical=True))
+    want = sorted(map(tuple, proximity.first_of_pair(events).collect()))
+    assert len(want) > 400 and sorted(map(tuple, proximity.first_of_pings(pings, most=100).collect())) == want
